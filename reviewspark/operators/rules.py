@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,6 +137,3 @@ def result_projection(results: DataFrame) -> DataFrame:
         *fields, decision.alias("decision"), "probability", prediction_confidence().alias("confidence")
     )
 
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(Column.__or__, conditions, F.lit(False))
