@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -86,8 +88,8 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(spark: SparkSession, path: str) -> PipelineModel:
-    jvm = spark._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
-        raise ValueError("Model must be trained before making predictions")
-    return PipelineModel.load(path)
+    """A saved screener; the error names the missing model rather than a missing file."""
+    try:
+        return PipelineModel.load(path)
+    except (Py4JJavaError, PySparkException) as error:
+        raise ValueError(f"Model must be trained before making predictions (nothing usable at {path})") from error
