@@ -7,7 +7,6 @@ import json
 import random
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
@@ -19,9 +18,9 @@ from ..operators.metrics import METRICS, binary_metrics, confusion_metrics, long
 from ..operators.ranking import ranked_by_hash
 from ..operators.resample import SEED, stratified_folds
 from ..session import checkpoint
+from .parallel import PARALLELISM, run_all
 
 N_FOLDS, N_ITER = 5, 20
-PARALLELISM = 4
 
 
 def _scored(model, rows: DataFrame) -> DataFrame:
@@ -32,11 +31,6 @@ def _scored(model, rows: DataFrame) -> DataFrame:
     )
 
 
-def _run(tasks: Sequence, parallelism: int) -> list:
-    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
-        return pool.map(lambda task: task(), tasks)
-
-
 def folded(rows: DataFrame, n_folds: int = N_FOLDS, seed: int = SEED, n: int | None = None) -> tuple[DataFrame, int]:
     n = rows.count() if n is None else n
     return checkpoint(stratified_folds(rows, n_folds, seed, n=n)), max(1, min(n_folds, n))
@@ -52,7 +46,7 @@ def out_of_fold(estimator: Estimator, folds: DataFrame, k: int, parallelism: int
 
         return task
 
-    return reduce(DataFrame.unionByName, _run([one(i) for i in range(k)], parallelism))
+    return reduce(DataFrame.unionByName, run_all([one(i) for i in range(k)], parallelism))
 
 
 def cross_validate(
@@ -116,7 +110,7 @@ def learning_curve(
         train = folds.filter(F.col("fold") != i).withColumn("_all", F.lit(1)) if k > 1 else folds.withColumn("_all", F.lit(1))
         ordered = checkpoint(ranked_by_hash(train, ["_all"], "entry_id", seed + 1, "_rank").drop("_all"))
         tasks += [one(i, ordered, size) for size in sizes]
-    scores = reduce(DataFrame.unionByName, _run(tasks, parallelism))
+    scores = reduce(DataFrame.unionByName, run_all(tasks, parallelism))
     summary = metric_summary(scores.withColumnRenamed("f1", "value"), ["size", "part"])
     pick = lambda part, col: F.max(F.when(F.col("part") == part, F.col(col)))
     return summary.groupBy(F.col("size").alias("train_size")).agg(
@@ -143,7 +137,7 @@ def _search(
 
         return task
 
-    parts = _run([one(j, i) for j in range(len(combos)) for i in range(k)], parallelism)
+    parts = run_all([one(j, i) for j in range(len(combos)) for i in range(k)], parallelism)
     scored = checkpoint(reduce(DataFrame.unionByName, parts))
     values = long_metrics(binary_metrics(scored, ["combo", "fold"]), ["combo", "fold"], [scoring])
     summary = metric_summary(values, ["combo"]).collect()

@@ -7,6 +7,7 @@ small column-expression transformers, so they save and load with Spark ML persis
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
@@ -20,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import resample as rs
+from .parallel import run_all
 
-# Forest and regression settings, ensemble threshold, seed.
+# Forest and regression settings, solver tolerance, ensemble threshold, seed.
+TOLERANCE = 1e-4
 SEED = 42
 FOREST_TREES, SELECTION_TREES = 100, 50
 INVERSE_REGULARIZATION = 1.0
@@ -86,25 +89,23 @@ class ScreenClassifier(Estimator, HasSeed, DefaultParamsReadable, DefaultParamsW
     def _logistic(self, n: int, probability: str) -> LogisticRegression:
         return LogisticRegression(
             regParam=1.0 / (self.getOrDefault("c") * n), elasticNetParam=0.0, standardization=False,
-            maxIter=100, probabilityCol=probability, **self._columns(),
+            maxIter=100, tol=TOLERANCE, probabilityCol=probability, **self._columns(),
         )
 
     def _fit_svm(self, rows: DataFrame, n: int, probability: str) -> PipelineModel:
         """Margins of rows left out of the fit are turned into probabilities by a logistic curve (Platt 1999)."""
         prefix = self.getOrDefault("prefix")
         columns = {**self._columns(), "rawPredictionCol": f"{prefix}margin", "predictionCol": f"{prefix}side"}
-        svc = LinearSVC(regParam=1.0 / (self.getOrDefault("c") * n), standardization=False, maxIter=50, **columns)
+        svc = LinearSVC(regParam=1.0 / (self.getOrDefault("c") * n), standardization=False, maxIter=100, tol=TOLERANCE, **columns)
         fold = F.pmod(F.xxhash64(F.col("features").cast("string"), F.lit(self.getSeed())), F.lit(CALIBRATION_FOLDS))
         folds = rows.withColumn("_fold", fold)
-        held_out = None
-        for i in range(CALIBRATION_FOLDS):
-            rest = folds.filter(F.col("_fold") != i)
-            if rest.select("label").distinct().count() < 2:
-                continue
-            scored = svc.fit(rest).transform(folds.filter(F.col("_fold") == i))
-            held_out = scored if held_out is None else held_out.unionByName(scored)
-        model = svc.fit(rows)
-        if held_out is None or held_out.select("label").distinct().count() < 2:
+        parts = [folds.filter(F.col("_fold") != i) for i in range(CALIBRATION_FOLDS)]
+        fits = [lambda part=part: svc.fit(part) for part in parts if part.select("label").distinct().count() == 2]
+        model, *others = run_all([lambda: svc.fit(rows), *fits])
+        if len(others) == CALIBRATION_FOLDS:
+            scored = [m.transform(folds.filter(F.col("_fold") == i)) for i, m in enumerate(others)]
+            held_out = reduce(DataFrame.unionByName, scored)
+        else:  # too few rows to leave any out
             held_out = model.transform(rows)
         curve = LogisticRegression(
             labelCol="label", featuresCol=f"{prefix}margin", weightCol="_weight", regParam=1e-6,
@@ -219,7 +220,8 @@ class Ensemble(Estimator):
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         prefixes = [f"{name}_" for name, _ in self.members]
-        fitted = [m.copy({m.prefix: p}).fit(dataset) for p, (_, m) in zip(prefixes, self.members)]
+        named = [m.copy({m.prefix: p}) for p, (_, m) in zip(prefixes, self.members)]
+        fitted = run_all([lambda m=m: m.fit(dataset) for m in named])
         combiner = VoteCombiner(
             inputCols=prefixes, voting=self.voting, threshold=self.threshold,
             weights=None if self.weights is None else [float(w) for w in self.weights],

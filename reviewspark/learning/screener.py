@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -18,7 +19,7 @@ from . import evaluate
 from .models import Ensemble, ImportanceSelector, ResampledEstimator, ScreenClassifier
 from .tfidf import TfidfVectorizer, vocabulary
 
-TRAINING_PARTITIONS = 8
+ROWS_PER_PARTITION = 1000
 NAMES_SHOWN = 20
 MODELS = ("random_forest", "logistic_regression", "svm", "ensemble", "weighted_ensemble")
 
@@ -44,8 +45,9 @@ def screener_pipeline(
 def training_rows(articles: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled articles with cleaned text, in a partitioning and order that depend on the ids only."""
     rows = drop_empty_text(articles).select("entry_id", "clean").join(labels.select("entry_id", "label"), "entry_id")
-    placed = rows.repartition(TRAINING_PARTITIONS, "entry_id").sortWithinPartitions("entry_id")
-    return checkpoint(placed)
+    rows = checkpoint(rows)
+    parts = max(1, math.ceil(rows.count() / ROWS_PER_PARTITION))
+    return checkpoint(rows.repartition(parts, "entry_id").sortWithinPartitions("entry_id"))
 
 
 @dataclass

@@ -12,6 +12,9 @@ from ..schema import position, to_articles
 # Fixed value: address of a record page.
 PUBMED_URL = "https://pubmed.ncbi.nlm.nih.gov/"
 
+# Tags around one record.
+RECORD_START, RECORD_END = r"(?s)<PubmedArticle[\s>].*", "</PubmedArticle>"
+
 _TAGGED = "struct<_VALUE:string>"
 PUBMED_SCHEMA = f"""
 MedlineCitation struct<
@@ -66,8 +69,24 @@ def _pages(spark: SparkSession, path: str, schema: str, root: str, multi_line: b
 
 
 def scan_pubmed(spark: SparkSession, path: str, default_year: str, source: str = "pubmed") -> DataFrame:
-    """Articles of bulk record XML. ``default_year`` stands in where a record has no year at all."""
-    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(PUBMED_SCHEMA).load(path)
+    """Articles of bulk record XML. ``default_year`` stands in where a record has no year at all.
+
+    The text scan cuts files at the end tag of a record, so one large file is read by many tasks; a record that
+    is not well formed is an error.
+    """
+    cut = spark.read.option("lineSep", RECORD_END).text(path)
+    record = F.regexp_extract("value", RECORD_START, 0)
+    rows = (
+        cut.select(
+            record.alias("record"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("number"),
+        )
+        .filter(F.col("record") != "")
+        .withColumn("r", F.from_xml(F.concat("record", F.lit(RECORD_END)), PUBMED_SCHEMA, {"mode": "FAILFAST"}))
+        .select("file", "block", "number", "r.*")
+    )
     article = F.col("MedlineCitation.Article")
     issue = article["Journal"]["JournalIssue"]
     pmid = tx.text(F.col("MedlineCitation.PMID._VALUE"))
@@ -88,12 +107,7 @@ def scan_pubmed(spark: SparkSession, path: str, default_year: str, source: str =
     return to_articles(
         rows,
         source,
-        position(
-            F.lit(source),
-            F.col("_metadata.file_path"),
-            F.col("_metadata.file_block_start"),
-            F.monotonically_increasing_id(),
-        ),
+        position(F.lit(source), *[F.col(c) for c in ("file", "block", "number")]),
         F.concat(F.lit(f"{source}_"), records.author_year_key(authors, year, pmid)),
         title=article["ArticleTitle"],
         abstract=records.structured_abstract(article["Abstract"]["AbstractText"]),
