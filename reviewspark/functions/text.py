@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed character classes: a word character is a letter, a number or the underscore, and white space is the
-# Unicode kind. Spelled out because the shorthand classes of the regex engines cover ASCII only.
-WORD = r"\p{L}\p{N}_"
+# Unicode kind. Spelled out because the shorthand classes of the regex engines cover ASCII only. Plain letters come
+# first because they are the quickest to test.
+WORD = r"a-zA-Z\p{L}\p{N}_"
 SPACE = r"\t\n\x0b\f\r\x1c-\x1f \x85\p{Z}"
 
 
@@ -33,13 +35,18 @@ def normalize_doi(doi: Column | str) -> Column:
 
 def normalize_title(title: Column | str) -> Column:
     """Lower case without punctuation: 'Non-Small  cell!' becomes 'nonsmall cell'."""
-    return squeeze(F.regexp_replace(F.lower(text(title)), f"[^{WORD}{SPACE}]", ""))
+    return squeeze(F.regexp_replace(F.lower(text(title)), f"[^{WORD}{SPACE}]+", ""))
 
 
 def clean_text(*parts: Column | str) -> Column:
     """The text classifiers see: the parts in order, punctuation turned into spaces, lower case."""
     joined = F.concat_ws(" ", *[text(p) for p in parts])
-    return F.lower(squeeze(F.regexp_replace(joined, f"[^{WORD}{SPACE}]", " ")))
+    return F.lower(F.trim(F.regexp_replace(joined, f"[^{WORD}]+", " ")))
+
+
+def has_words(*parts: Column | str) -> Column:
+    """Whether the cleaned text would not be blank; stops at the first word character."""
+    return reduce(Column.__or__, [text(p).rlike(f"[{WORD}]") for p in parts])
 
 
 def author_key(author: Column | str) -> Column:

@@ -106,9 +106,8 @@ def lookup_by_id(articles: DataFrame, ids: DataFrame, id_type: str = "embase") -
 
 def drop_empty_text(articles: DataFrame, *parts: str) -> DataFrame:
     """Articles with something to score, with the cleaned text in ``clean``."""
-    return articles.withColumn("clean", tx.clean_text(*(parts or ("title", "abstract", "keywords")))).filter(
-        F.col("clean") != ""
-    )
+    parts = parts or ("title", "abstract", "keywords")
+    return articles.filter(tx.has_words(*parts)).withColumn("clean", tx.clean_text(*parts))
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

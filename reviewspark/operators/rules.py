@@ -19,30 +19,39 @@ ML_INCLUDE_REASON = "ML model predicts inclusion (probability: %.2f)"
 ML_EXCLUDE_REASON = "ML model predicts exclusion (probability: %.2f)"
 
 
-def first_phrase(body: Column, phrases: Sequence[str]) -> Column:
-    """First of ``phrases`` contained in the lower-case text, null when none is."""
-    if not phrases:
-        return F.lit(None).cast("string")
-    return F.coalesce(*[F.when(body.contains(p.lower()), F.lit(p)) for p in phrases])
+def first_criterion(body: Column, exclusion: Sequence[str], inclusion: Sequence[str]) -> Column:
+    """Decision and phrase of the first criterion met: exclusion phrases in order, then inclusion phrases."""
+    criteria = [("exclude", p) for p in exclusion] + [("include", p) for p in inclusion]
+    return F.coalesce(
+        *[
+            F.when(body.contains(phrase.lower()), F.struct(F.lit(kind).alias("kind"), F.lit(phrase).alias("phrase")))
+            for kind, phrase in criteria
+        ],
+        F.struct(F.lit("uncertain").alias("kind"), F.lit("").alias("phrase")),
+    )
 
 
 def rule_screen(articles: DataFrame, exclusion: Sequence[str], inclusion: Sequence[str]) -> DataFrame:
-    """Add decision, reason and confidence. An exclusion phrase wins; phrases may sit inside words."""
+    """Add decision, reason and confidence. An exclusion phrase wins; phrases may sit inside words.
+
+    The lower-case text and the criterion found are columns of their own, so each is worked out once per article.
+    """
     body = F.concat(F.lower(tx.text("title")), F.lit(" "), F.lower(tx.text("abstract")))
-    rule = F.struct(first_phrase(body, exclusion).alias("out"), first_phrase(body, inclusion).alias("into"))
-    screened = articles.withColumn("_rule", rule)
-    out, into = F.col("_rule.out"), F.col("_rule.into")
-    return screened.withColumns(
+    found = articles.withColumn("_body", body).withColumn(
+        "_found", first_criterion(F.col("_body"), exclusion, inclusion)
+    )
+    kind, phrase = F.col("_found.kind"), F.col("_found.phrase")
+    return found.withColumns(
         {
-            "decision": F.when(out.isNotNull(), "exclude").when(into.isNotNull(), "include").otherwise("uncertain"),
-            "reason": F.when(out.isNotNull(), F.concat(F.lit(EXCLUDE_REASON), out))
-            .when(into.isNotNull(), F.concat(F.lit(INCLUDE_REASON), into))
+            "decision": kind,
+            "reason": F.when(kind == "exclude", F.concat(F.lit(EXCLUDE_REASON), phrase))
+            .when(kind == "include", F.concat(F.lit(INCLUDE_REASON), phrase))
             .otherwise(UNCERTAIN_REASON),
-            "confidence": F.when(out.isNotNull(), EXCLUDE_CONFIDENCE)
-            .when(into.isNotNull(), INCLUDE_CONFIDENCE)
+            "confidence": F.when(kind == "exclude", EXCLUDE_CONFIDENCE)
+            .when(kind == "include", INCLUDE_CONFIDENCE)
             .otherwise(UNCERTAIN_CONFIDENCE),
         }
-    ).drop("_rule")
+    ).drop("_body", "_found")
 
 
 def decision_counts(results: DataFrame) -> DataFrame:
