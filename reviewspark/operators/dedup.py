@@ -52,7 +52,7 @@ def deduplicate(articles: DataFrame) -> Deduplicated:
 def duplicate_report(articles: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both sides of every pair with source, title, authors and year."""
     sizes = pairs.groupBy("primary_id").agg(F.count(F.lit(1)).alias("n"))
-    hot = skew.hot_keys(sizes, "primary_id", "n", exact.ROWS_PER_TASK)
+    hot = skew.crowded(sizes, "primary_id", "n", exact.ROWS_PER_TASK)
 
     def side(name: str) -> DataFrame:
         return articles.select(

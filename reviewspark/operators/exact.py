@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import checkpoint
 from . import skew
 
 # Confidence and reason of the two exact passes, and the status of a sure duplicate.
@@ -44,10 +45,10 @@ def first_of_groups(keyed: DataFrame) -> DataFrame:
     return keyed.filter(F.col("key").isNotNull()).groupBy("key").agg(first, F.count(F.lit(1)).alias("n"))
 
 
-def group_pairs(keyed: DataFrame, groups: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def group_pairs(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     """Every later member of a group as a duplicate of the first one; a huge group is spread over tasks."""
     repeated = groups.filter(F.col("n") > 1)
-    hot = skew.hot_keys(repeated, "key", "n", rows_per_task)
+    hot = skew.crowded(repeated, "key", "n", ROWS_PER_TASK)
     members = keyed.filter(F.col("key").isNotNull()).select("entry_id", "key")
     survivors = repeated.select("key", F.col("first.entry_id").alias("primary_id"))
     by_doi = F.col("key").startswith("doi:")
@@ -64,14 +65,17 @@ def group_pairs(keyed: DataFrame, groups: DataFrame, rows_per_task: int = ROWS_P
     )
 
 
+def _one_pass(articles: DataFrame, key: Column) -> DataFrame:
+    keyed = comparison_columns(articles).withColumn("key", key)
+    return group_pairs(keyed, checkpoint(first_of_groups(keyed)))
+
+
 def dedup_doi(articles: DataFrame) -> DataFrame:
-    keyed = comparison_columns(articles).withColumn("key", doi_key())
-    return group_pairs(keyed, first_of_groups(keyed))
+    return _one_pass(articles, doi_key())
 
 
 def dedup_title_year(articles: DataFrame) -> DataFrame:
-    keyed = comparison_columns(articles).withColumn("key", title_key())
-    return group_pairs(keyed, first_of_groups(keyed))
+    return _one_pass(articles, title_key())
 
 
 def last_value_wins(articles: DataFrame) -> DataFrame:

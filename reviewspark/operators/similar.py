@@ -129,8 +129,7 @@ def with_keys(df: DataFrame, frequencies: Column) -> DataFrame:
 def crowded_keys(sources: DataFrame) -> DataFrame | None:
     """Candidate keys whose leftovers have to be spread over tasks, or None when there are none."""
     counts = sources.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = checkpoint(skew.hot_keys(counts, "key", "n", ROWS_PER_TASK))
-    return None if hot.isEmpty() else hot
+    return skew.crowded(counts, "key", "n", ROWS_PER_TASK)
 
 
 def similar_pairs(
@@ -287,7 +286,7 @@ def _copies(leftovers: DataFrame, signatures: DataFrame, later_edges: DataFrame)
     many = signatures.filter(F.col("n") > 1)
     sized = many.select(*SIGNATURE, "sid", F.col("ord").alias("first_ord"), "best", "n")
     sized = sized.withColumn("key", F.xxhash64(*SIGNATURE))
-    hot = skew.hot_keys(sized, "key", "n", ROWS_PER_TASK)
+    hot = skew.crowded(sized, "key", "n", ROWS_PER_TASK)
     rows = leftovers.select("entry_id", "ord", *SIGNATURE).withColumn("key", F.xxhash64(*SIGNATURE))
     same = reduce(Column.__and__, [F.col(c) == F.col(f"r_{c}") for c in SIGNATURE])
     members = skew.salted_join(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 # At most this many keys are salted, so the broadcast list of hot keys has a fixed size bound
 # (one 8-byte hash and one int each).
 MAX_HOT_KEYS = 1000
@@ -26,6 +28,12 @@ def hot_keys(sizes: DataFrame, key: str, size: str, rows_per_task: int) -> DataF
     )
 
 
+def crowded(sizes: DataFrame, key: str, size: str, rows_per_task: int) -> DataFrame | None:
+    """``hot_keys`` worked out now, or None when there are none and the join can be an ordinary one."""
+    hot = checkpoint(hot_keys(sizes, key, size, rows_per_task))
+    return None if hot.isEmpty() else hot
+
+
 def _with_salts(df: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     if hot is None:
         return df.withColumn("_salts", F.lit(1))
