@@ -6,6 +6,7 @@ article that later ones are compared with. The jobs below give the result of tha
 
 * Leftovers with equal title words and author words form one signature. Only its first article can be kept, so
   copies never meet each other; targets are collapsed the same way to their first article.
+* Targets that differ only in words found nowhere else score alike, so only the first of them is compared.
 * Candidates come from an equi-join on prefix words (Chaudhuri et al. 2006, Xiao et al. 2008): sets with Jaccard
   above t share a word among the first |x| - ceil(t|x|) + 1 of any common word order. Rare words come first. Each
   branch of the rule has its own title threshold and, where authors matter, an author word in the key.
@@ -189,10 +190,52 @@ def _match_columns(best: Column) -> list[Column]:
     return [best["target"].alias("target"), (-best["rank"]["neg"]).alias("score"), best["reason"].alias("reason")]
 
 
-def match_signatures(leftovers: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def lone_words(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per signature (``sid``) the words that occur in no other signature, for titles and for authors."""
+
+    def words(column: str) -> DataFrame:
+        return (
+            sources.select("sid", F.explode(column).alias("word"))
+            .unionByName(targets.select("sid", F.explode(column).alias("word")))
+            .withColumn("column", F.lit(column))
+        )
+
+    once = (
+        words(SIGNATURE[0])
+        .unionByName(words(SIGNATURE[1]))
+        .groupBy("column", "word")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("sid"))
+        .filter(F.col("n") == 1)
+    )
+    lists = [F.collect_list(F.when(F.col("column") == c, F.col("word"))).alias(f"lone_{c}") for c in SIGNATURE]
+    return once.groupBy("sid").agg(*lists)
+
+
+def first_of_equal_targets(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Targets collapsed to the first one of those that score the same against every leftover.
+
+    A word that occurs nowhere else can never be shared, so targets with the same other words and the same
+    numbers of words are alike. Many near copies that differ in words of their own become a single target.
+    """
+    marked = targets.join(lone_words(sources, targets), "sid", "left")
+    classes = []
+    for c in SIGNATURE:
+        lone = F.coalesce(f"lone_{c}", F.array().cast("array<string>"))
+        marked = marked.withColumn(f"core_{c}", F.array_except(c, lone)).withColumn(f"size_{c}", F.size(c))
+        classes += [f"core_{c}", f"size_{c}"]
+    first = F.min(F.struct("pass", "ord", "sid", *SIGNATURE)).alias("first")
+    return marked.groupBy(*classes, "no_year").agg(first).select("no_year", "first.*")
+
+
+def match_signatures(
+    leftovers: DataFrame, kept: DataFrame, every_target: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Keyed leftover signatures, keyed target signatures and crowded keys, ready for ``similar_pairs``."""
     sources = checkpoint(leftover_signatures(leftovers))
-    targets = checkpoint(target_signatures(kept))
+    targets = target_signatures(kept)
+    if not every_target:
+        targets = first_of_equal_targets(sources, checkpoint(targets))
+    targets = checkpoint(targets)
     frequencies = word_frequencies(sources, targets)
     unknown = F.lit(None).cast("boolean")
     sources = checkpoint(with_keys(sources.withColumn("no_year", unknown), frequencies).drop("no_year"))
@@ -201,7 +244,7 @@ def match_signatures(leftovers: DataFrame, kept: DataFrame) -> tuple[DataFrame,
 
 def fuzzy_match(leftovers: DataFrame, kept: DataFrame) -> DataFrame:
     """All matches above 0.5 between leftover signatures and the kept articles of the exact passes."""
-    sources, targets, hot = match_signatures(with_words(leftovers), with_words(kept))
+    sources, targets, hot = match_signatures(with_words(leftovers), with_words(kept), every_target=True)
     score, reason = match_score("", "r_")
     edges = similar_pairs(sources, targets, hot, "inner")
     return edges.select(

@@ -168,6 +168,20 @@ def test_crowded_keys_are_spread_without_changing_the_result(spark, monkeypatch)
     assert got == expected and n == len(expected)
 
 
+def test_near_copies_with_words_of_their_own_become_one_target(spark):
+    core = "a large group of near copies with one common core"
+    rows = [dict(title=f"{core} id{i}", year="", doi=f"10.1/{i}") for i in range(30)]
+    rows += [dict(title=f"{core} id{i}") for i in range(100, 140)] + [dict(title=f"{core} id7")]
+    got, n = pairs_of(spark, rows)
+    expected = twin(rows)
+    assert got == expected and n == len(expected)
+    _, kept, leftovers = dedup.exact_passes(make(spark, rows))
+    leftovers, kept = similar.with_words(leftovers), similar.with_words(kept)
+    sources, targets = similar.leftover_signatures(leftovers), similar.target_signatures(kept)
+    assert targets.count() == 30
+    assert similar.first_of_equal_targets(sources, targets).count() == 2
+
+
 def test_salted_join_equals_plain_join(spark):
     left = spark.range(200).select(F.when(F.col("id") < 150, "hot").otherwise(F.col("id").cast("string")).alias("key"), "id")
     right = left.select("key").distinct().withColumn("v", F.length("key"))
