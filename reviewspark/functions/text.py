@@ -68,10 +68,11 @@ def words(col: Column | str) -> Column:
 
 
 def jaccard(left: Column, right: Column) -> Column:
-    """Shared words over all words of two word sets, 0 when either is empty."""
-    shared = F.size(F.array_intersect(left, right))
-    total = F.size(left) + F.size(right) - shared
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(shared / total)
+    """Shared words over all words of two word sets, 0 when either is empty. The overlap is worked out once."""
+    sizes = F.size(left) + F.size(right)
+    shared = F.array(F.size(F.array_intersect(left, right)))
+    share = F.transform(shared, lambda s: F.coalesce(F.try_divide(s, sizes - s), F.lit(0.0)))
+    return F.get(share, F.lit(0))
 
 
 def count_whole_word(col: Column | str, term: str) -> Column:

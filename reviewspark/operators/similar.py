@@ -47,14 +47,11 @@ def with_words(df: DataFrame) -> DataFrame:
     return df.withColumn("title_words", tx.words("title_n")).withColumn("author_words", tx.words("author_n"))
 
 
-def match_score(left: str, right: str) -> tuple[Column, Column]:
-    """Score and reason of a leftover (``left`` prefix) against a kept article (``right`` prefix).
+def rule(title: Column, author: Column, no_year: Column) -> tuple[Column, Column]:
+    """Score and reason by title and author similarity, null where no branch applies.
 
     A leftover with title words has a blank year, so the years agree exactly when the target's is blank.
     """
-    title = tx.jaccard(F.col(f"{left}title_words"), F.col(f"{right}title_words"))
-    author = tx.jaccard(F.col(f"{left}author_words"), F.col(f"{right}author_words"))
-    no_year = F.col(f"{right}no_year")
     branches = [
         (no_year & (title > TITLE_HIGH), title, REASON_YEAR),
         (~no_year & (title > TITLE_HIGH) & (author > AUTHOR_LOOSE), (title + author) / 2, REASON_AUTHOR),
@@ -69,6 +66,22 @@ def match_score(left: str, right: str) -> tuple[Column, Column]:
     return score, reason
 
 
+def _similarity(words: str) -> Column:
+    return tx.jaccard(F.col(words), F.col(f"r_{words}"))
+
+
+def scores_above(least: float) -> Column:
+    """Join condition: the pair scores above ``least``. Each similarity is worked out once, the authors' one only
+    when the titles are close enough for any branch."""
+
+    def by_authors(title: Column) -> Column:
+        authors = F.array(_similarity("author_words"))
+        return F.exists(authors, lambda author: rule(title, author, F.col("r_no_year"))[0] > least)
+
+    titles = F.array(_similarity("title_words"))
+    return F.exists(titles, lambda title: (title > TITLE_MEDIUM) & by_authors(title))
+
+
 # -- candidate keys ------------------------------------------------------------------------------------
 
 
@@ -134,15 +147,29 @@ def crowded_keys(sources: DataFrame) -> DataFrame | None:
 
 
 def similar_pairs(
-    left: DataFrame, right: DataFrame, hot: DataFrame | None, how: str, extra: Column | None = None
+    left: DataFrame,
+    right: DataFrame,
+    hot: DataFrame | None,
+    how: str,
+    least: float = POSSIBLE,
+    extra: Column | None = None,
 ) -> DataFrame:
-    """Join keyed leftovers with keyed targets (columns prefixed r_), verifying the rule inside the join."""
-    score, _ = match_score("", "r_")
-    sizes = F.size("title_words") * 2 >= F.size("r_title_words")
-    test = sizes & (F.size("r_title_words") * 2 >= F.size("title_words")) & (score > POSSIBLE)
-    if extra is not None:
-        test = test & extra
-    return skew.salted_join(left, right, "key", hot, F.col("sid"), how, test)
+    """Join keyed leftovers with keyed targets (columns prefixed r_), verifying the rule inside the join.
+
+    An inner join adds score and reason; a pair may come once per key it shares.
+    """
+    close_sizes = (F.size("title_words") * 2 >= F.size("r_title_words")) & (
+        F.size("r_title_words") * 2 >= F.size("title_words")
+    )
+    test = close_sizes if extra is None else extra & close_sizes
+    joined = skew.salted_join(left, right, "key", hot, F.col("sid"), how, test & scores_above(least))
+    if how == "left_semi":
+        return joined
+    scored = joined.withColumn("title_score", _similarity("title_words")).withColumn(
+        "author_score", _similarity("author_words")
+    )
+    score, reason = rule(F.col("title_score"), F.col("author_score"), F.col("r_no_year"))
+    return scored.withColumn("score", score).withColumn("reason", reason).drop("title_score", "author_score")
 
 
 def _as_target(df: DataFrame) -> DataFrame:
@@ -180,9 +207,8 @@ def target_signatures(kept: DataFrame) -> DataFrame:
 
 def _best(edges: DataFrame, by: str) -> DataFrame:
     """Highest score per ``by``, ties to the first in the order kept articles were found."""
-    score, reason = match_score("", "r_")
-    rank = F.struct((-score).alias("neg"), F.col("r_pass").alias("pass"), F.col("r_ord").alias("ord"))
-    match = F.struct(rank.alias("rank"), F.col("r_sid").alias("target"), reason.alias("reason"))
+    rank = F.struct((-F.col("score")).alias("neg"), F.col("r_pass").alias("pass"), F.col("r_ord").alias("ord"))
+    match = F.struct(rank.alias("rank"), F.col("r_sid").alias("target"), "reason")
     return edges.groupBy(by).agg(F.min(match).alias("best"))
 
 
@@ -245,10 +271,9 @@ def match_signatures(
 def fuzzy_match(leftovers: DataFrame, kept: DataFrame) -> DataFrame:
     """All matches above 0.5 between leftover signatures and the kept articles of the exact passes."""
     sources, targets, hot = match_signatures(with_words(leftovers), with_words(kept), every_target=True)
-    score, reason = match_score("", "r_")
     edges = similar_pairs(sources, targets, hot, "inner")
     return edges.select(
-        F.col("sid").alias("entry_id"), F.col("r_sid").alias("target_id"), score.alias("score"), reason.alias("reason")
+        F.col("sid").alias("entry_id"), F.col("r_sid").alias("target_id"), "score", "reason"
     ).distinct()
 
 
@@ -264,17 +289,16 @@ def best_match(leftovers: DataFrame, kept: DataFrame) -> DataFrame:
 def _resolve_open(open_rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Signatures among ``open_rows`` that end up kept, found round by round."""
     earlier = F.col("r_ord") < F.col("ord")
-    sure = match_score("", "r_")[0] > SURE
     kept_parts: list[DataFrame] = []
     while True:
         targets = _as_target(open_rows.withColumn("no_year", F.lit(True)))
-        waiting = similar_pairs(open_rows, targets, hot, "left_semi", earlier & sure).select("sid").distinct()
+        waiting = similar_pairs(open_rows, targets, hot, "left_semi", SURE, earlier).select("sid").distinct()
         waiting = checkpoint(waiting)
         new = checkpoint(open_rows.join(waiting, "sid", "left_anti"))
         kept_parts.append(new)
         open_rows = open_rows.join(waiting, "sid", "left_semi")
         targets = _as_target(new.withColumn("no_year", F.lit(True)))
-        closed = similar_pairs(open_rows, targets, hot, "left_semi", earlier & sure).select("sid").distinct()
+        closed = similar_pairs(open_rows, targets, hot, "left_semi", SURE, earlier).select("sid").distinct()
         open_rows = checkpoint(open_rows.join(closed, "sid", "left_anti"))
         if open_rows.isEmpty():
             return reduce(DataFrame.unionByName, kept_parts)
@@ -300,6 +324,7 @@ def near_duplicates(leftovers: DataFrame, kept: DataFrame) -> DataFrame:
             _as_target(kept_new),
             hot,
             "inner",
+            POSSIBLE,
             (F.col("sid") != F.col("r_sid")) & ((F.col("r_ord") < F.col("ord")) | (F.col("n") > 1)),
         )
     )
@@ -363,13 +388,14 @@ def _copies(leftovers: DataFrame, signatures: DataFrame, later_edges: DataFrame)
 
 def _improvements(many: DataFrame, later_edges: DataFrame) -> DataFrame:
     """Per signature whose first article is a duplicate: kept articles after it that beat all matches so far."""
-    score, reason = match_score("", "r_")
     edges = later_edges.filter((F.col("n") > 1) & (F.col("r_ord") > F.col("ord"))).select(
         "sid",
         F.struct(
-            F.struct((-score).alias("neg"), F.col("r_pass").alias("pass"), F.col("r_ord").alias("ord")).alias("rank"),
+            F.struct(
+                (-F.col("score")).alias("neg"), F.col("r_pass").alias("pass"), F.col("r_ord").alias("ord")
+            ).alias("rank"),
             F.col("r_sid").alias("target"),
-            reason.alias("reason"),
+            "reason",
         ).alias("step"),
     )
     beaten = many.filter(-F.col("best.rank.neg") > SURE).select("sid", F.col("best.rank.neg").alias("first_neg"))
