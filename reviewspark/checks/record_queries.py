@@ -9,7 +9,7 @@ from ..functions import records
 from ..functions import text as tx
 from ..operators import rules
 from ..sources import tables
-from .registry import CLEAN, query, sql_author_key, sql_clean, sql_doi, sql_split, sql_strip, sql_title, with_articles
+from .registry import CLEAN, query, sql_author_key, sql_doi, sql_split, sql_strip, sql_title, with_articles
 
 
 @query(

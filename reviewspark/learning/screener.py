@@ -12,8 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators.filters import drop_empty_text
-from ..operators.rules import training_guards
+from ..operators.rules import apply_predictions, training_guards
 from ..session import checkpoint
 from . import evaluate
 from .models import Ensemble, ImportanceSelector, ResampledEstimator, ScreenClassifier
@@ -85,6 +86,24 @@ def predict_screener(model: PipelineModel | None, articles: DataFrame) -> DataFr
     )
 
 
+def decide(model: PipelineModel, results: DataFrame) -> DataFrame:
+    """Rule results with the uncertain articles decided by ``model``; those without words stay uncertain.
+
+    Decided and uncertain rows go separate ways and are put together again, so the articles are not shuffled.
+    """
+    parts = ("title", "abstract", "keywords")
+    uncertain = results.filter(F.col("decision") == "uncertain")
+    scored = model.transform(uncertain.withColumn("clean", tx.clean_text(*parts)))
+    usable = tx.has_words(*parts)
+    scored = scored.select(
+        *results.columns,
+        F.when(usable, F.col("prediction").cast("int")).alias("_p"),
+        F.when(usable, vector_to_array("probability")[1]).alias("_s"),
+    )
+    decided = results.filter(F.col("decision") != "uncertain").withColumn("ml_probability", F.lit(None).cast("double"))
+    return decided.unionByName(apply_predictions(scored, "_p", "_s"))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

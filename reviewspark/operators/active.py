@@ -31,7 +31,8 @@ def select_random(predictions: DataFrame, n: int = BATCH_SIZE, seed: int = 42) -
 
 
 def _cosine_distance(vector: Column, centre: Sequence[float]) -> Column:
-    point = F.array(*[F.lit(float(x)) for x in centre])
+    """Distance of ``vector`` to a fixed point, which goes into the plan as one constant array."""
+    point = F.split(F.lit(",".join(repr(float(x)) for x in centre)), ",").cast("array<double>")
     zero = F.lit(0.0)
     dot = F.aggregate(F.zip_with(vector, point, lambda a, b: a.cast("double") * b), zero, lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(vector, zero, lambda s, x: s + x.cast("double") * x.cast("double")))

@@ -111,26 +111,26 @@ def ml_reason(prediction: Column, probability: Column) -> Column:
     )
 
 
+def apply_predictions(results: DataFrame, prediction: str, probability: str) -> DataFrame:
+    """Let uncertain rows with a prediction take the classifier's decision; the two columns are dropped."""
+    p, s = F.col(prediction), F.col(probability)
+    used = results.withColumn("_use", (F.col("decision") == "uncertain") & p.isNotNull())
+    return used.withColumns(
+        {
+            "decision": F.when(F.col("_use"), F.when(p == 1, "include").otherwise("exclude")).otherwise(
+                F.col("decision")
+            ),
+            "reason": F.when(F.col("_use"), ml_reason(p, s)).otherwise(F.col("reason")),
+            "confidence": F.when(F.col("_use"), prediction_confidence(p, s)).otherwise(F.col("confidence")),
+            "ml_probability": F.when(F.col("_use"), s),
+        }
+    ).drop(prediction, probability, "_use")
+
+
 def merge_decisions(rules: DataFrame, predictions: DataFrame) -> DataFrame:
     """Rule results in which scored uncertain articles take the classifier's decision."""
     scores = predictions.select("entry_id", F.col("prediction").alias("_p"), F.col("probability").alias("_s"))
-    use = (F.col("decision") == "uncertain") & F.col("_p").isNotNull()
-    p, s = F.col("_p"), F.col("_s")
-    return (
-        rules.join(scores, "entry_id", "left")
-        .withColumn("_use", use)
-        .withColumns(
-            {
-                "decision": F.when(F.col("_use"), F.when(p == 1, "include").otherwise("exclude")).otherwise(
-                    F.col("decision")
-                ),
-                "reason": F.when(F.col("_use"), ml_reason(p, s)).otherwise(F.col("reason")),
-                "confidence": F.when(F.col("_use"), prediction_confidence(p, s)).otherwise(F.col("confidence")),
-                "ml_probability": F.when(F.col("_use"), s),
-            }
-        )
-        .drop("_p", "_s", "_use")
-    )
+    return apply_predictions(rules.join(scores, "entry_id", "left"), "_p", "_s")
 
 
 RESULT_FIELDS = ["title", "author", "year", "journal", "abstract"]

@@ -40,8 +40,12 @@ def search(articles: DataFrame, wanted: Search) -> DataFrame:
 
 
 def combined_keys(articles: DataFrame) -> DataFrame:
-    """Add ``entry_key``: first author, year and 0-based position in the combined order."""
-    numbered = ranking.row_index(articles, "ord")
+    """Add ``entry_key``: first author, year and 0-based position in the combined order.
+
+    Positions are worked out on ids only; the articles are moved once, by the join.
+    """
+    places = ranking.row_index(articles.select("entry_id", "ord"), "ord")
+    numbered = articles.join(places, ["entry_id", "ord"])
     key = records.author_year_key("authors", "year", F.col("index").cast("string"))
     return numbered.withColumn("entry_key", key).drop("index")
 

@@ -8,9 +8,15 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 
-from ..learning.screener import Trained, predict_screener, screener_pipeline, train_screener, training_rows
+from ..learning.screener import (
+    Trained,
+    decide,
+    predict_screener,
+    screener_pipeline,
+    train_screener,
+    training_rows,
+)
 from ..operators import active, rules
-from ..session import checkpoint
 
 
 @dataclass
@@ -58,10 +64,9 @@ def screen(
         return Screened(by_rule, by_rule)
     uncertain = rules.uncertain_subset(by_rule)
     scored = predict_screener(model, uncertain.select("entry_id", "ord", "title", "abstract", "keywords"))
-    scored = checkpoint(scored.select("entry_id", "ord", "prediction", "probability"))
+    scored = scored.select("entry_id", "ord", "prediction", "probability")
     return Screened(
-        rules.merge_decisions(by_rule, scored), by_rule, scored,
-        select_to_label(scored, strategy, n_samples), trained,
+        decide(model, by_rule), by_rule, scored, select_to_label(scored, strategy, n_samples), trained
     )
 
 
