@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, repair
+from . import bpe, chat, fingerprint, mixing, repair
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,45 @@ def repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query("op8_entropy_mix")
+def entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
+
+
+_ESCAPED = """regexp_replace(regexp_replace(regexp_replace({x}, '(<)(~*)(\\|)', '\\1\\2~\\3', 'g'),
+    '(<)(~*)(/?s>)', '\\1\\2~\\3', 'g'), '(\\[)(~*)(/?INST\\])', '\\1\\2~\\3', 'g')"""
+
+
+@query(
+    "op9_chat_parts",
+    f"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length({_ESCAPED.format(x="role")}) + length({_ESCAPED.format(x="body")}) + length('<|turn|><|text|><|end|>') AS n FROM m
+), g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn NULLS FIRST, role, body) AS turns,
+    coalesce(string_agg(body, '' ORDER BY turn NULLS FIRST, role, body) FILTER (WHERE role = 'assistant'), '') AS loss,
+    CAST(sum(n) AS BIGINT) AS formatted_chars
+  FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
+FROM g
+""",
+)
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), both, F.lit("</s>[INST] ok [/INST]").alias("text"))
+    messages = rows.unionByName(extra).withColumn("parts", chat.text_parts(F.col("text")))
+    return chat.digests(chat.format_conversations(messages))
+
+
+@query("op1_merkle_fingerprints")
+def merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(read_table(spark, sf_dir, "documents"))
