@@ -5,8 +5,8 @@ paragraphs into pieces of up to four words (of 64 characters at most) that end w
 section's that of its paragraphs' hashes, the root that of the sections' hashes; so equal roots mean equal texts, and two
 trees differ only below branches whose hashes differ. Pieces carry 24 hash bits and their length; they locate an edit
 inside a paragraph and give the likeness of two trees: twice the length of the pieces they share over the sum of both
-lengths, once over distinct pieces and once over pieces in the same place, whichever is larger (1 for equal roots). Texts of at most `SHORT` code points have pieces of four code points with their positions,
-since one edit would change all of their words' pieces.
+lengths, once over distinct pieces and once over pieces in the same place, whichever is larger (1 for equal roots). Texts of at most `SHORT` code points have one piece per code point and place, since one edit
+would change all of their words' pieces.
 
 The fingerprint is one string: root, then per section `|hash`, per paragraph `/hash`, per piece `,hex`.
 
@@ -47,7 +47,7 @@ def tree(text: Column) -> Column:
     short = F.char_length(text) <= SHORT
 
     def pieces(paragraph: Column) -> Column:
-        by_place = F.transform(F.regexp_extract_all(paragraph, F.lit(r"(?s).{1,4}"), 0), lambda p, i: _piece(p, i))
+        by_place = F.transform(F.split(paragraph, ""), lambda p, i: _piece(p, i))
         by_word = F.transform(F.regexp_extract_all(paragraph, F.lit(PIECE), 0), lambda p: _piece(p))
         return F.when(short, by_place).otherwise(by_word)
 
