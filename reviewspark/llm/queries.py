@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, chat, fingerprint, minhash, mixing, repair, vectors
+from . import bpe, chat, fingerprint, minhash, mixing, quality, repair, vectors
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ FROM embeddings JOIN g USING (vec_id) LEFT JOIN n USING (vec_id)
 )
 def projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query("op4_naive_bayes_support_vectors")
+def naive_bayes_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.3)
