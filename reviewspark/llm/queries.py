@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, chat, fingerprint, minhash, mixing, quality, repair, vectors
+from . import bpe, chat, fingerprint, minhash, mixing, quality, repair, suffix_dedup, vectors
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,8 @@ def projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_naive_bayes_support_vectors")
 def naive_bayes_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@query("op6_induced_suffix_dedup")
+def induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), length=400)
