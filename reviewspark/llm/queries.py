@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, chat, fingerprint, minhash, mixing, quality, repair, suffix_dedup, vectors
+from . import bpe, chat, fingerprint, html_main, minhash, mixing, quality, repair, suffix_dedup, vectors
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,8 @@ def naive_bayes_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_induced_suffix_dedup")
 def induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), length=400)
+
+
+@query("op7_chain_field_main_text")
+def chain_field_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(read_table(spark, sf_dir, "pages"))
