@@ -207,13 +207,16 @@ def scorer(model) -> Callable[[Sequence[str]], np.ndarray]:
 def score_documents(docs: DataFrame, model, columns: Sequence[str], text_col: str = "text") -> DataFrame:
     """``columns`` of ``docs`` and score, the probability of label 1. One narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model.asDict())
-    source = docs.select(*columns, whole_text(text_col).alias("_scored_text"))
-    schema = source.drop("_scored_text").schema.add("score", "double", False)
+    columns = list(columns)
+    with_text = columns if text_col in columns else [*columns, text_col]
+    at = with_text.index(text_col)
+    source = docs.select(*with_text)
+    schema = source.select(*columns).schema.add("score", "double", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(shared.value)
         for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
+            texts = ["" if t is None else str(t) for t in batch.column(at).to_pylist()]
             arrays = [*batch.columns[: len(columns)], pa.array(score(texts) if texts else [], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [*columns, "score"])
 
