@@ -19,6 +19,7 @@ import json
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -257,8 +258,6 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 def decode_column(path: str, ids: Column) -> Column:
     """Text of a column of token ids (array<int>); null stays null. Bytes that are not UTF-8 become U+FFFD."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decoded(lists: pd.Series) -> pd.Series:
         vocab = vocabulary(path)

@@ -103,7 +103,10 @@ def compare(a: Column, b: Column) -> Column:
 
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the paragraphs of fingerprint ``a`` that ``b`` does not have: where the texts differ."""
+    """Numbers (from 0) of the paragraphs of fingerprint ``a`` that ``b`` does not have: where the texts differ.
+
+    The line break that ends a section counts as an empty paragraph.
+    """
     hashes = lambda x: F.regexp_extract_all(x, F.lit("/([0-9a-f]{12})"), 1)
     numbered = F.transform(hashes(a), lambda h, i: F.struct(h.alias("hash"), i.alias("place")))
     return F.transform(F.filter(numbered, lambda x: ~F.array_contains(hashes(b), x["hash"])), lambda x: x["place"])
