@@ -3,14 +3,15 @@
 Features are indicators of n-grams: words, and runs of one to three word shapes (letters by case, digits and other characters
 with runs collapsed; a word that repeats the one before has a shape of its own). Each indicator is scaled by the log ratio
 of its smoothed frequencies in both classes; a linear hinge-loss model on the scaled indicators, brought to unit length,
-is fitted by dual coordinate descent. Its margin becomes a probability by a logistic curve fitted on rows that the model has not seen.
+is fitted by dual coordinate descent. Its margin becomes a probability by a logistic curve that is fitted on margins of
+rows left out in turn (`FOLDS`).
 
 The model is fitted on at most `train_rows` labelled rows (those with the smallest hash of their id), which is the documented
 bound of this operator: the rows are featurised where they lie and meet in one task as lists of numbers. The weights, `DIMENSIONS`
 numbers whatever the input, go to every scoring task; scoring is one narrow pass over all whole texts.
 
 Defined results: null or empty text has only the bias feature; documents with several labels take the lowest; null labels do
-not count; without labels of both classes every score is the share of label 1 (0.5 without any); a null id is never held
+not count; with fewer than `FOLDS` labels of a class every score is the share of label 1 (0.5 without any); a null id is never held
 out; repeated rows have equal scores; an empty table gives an empty table; other columns do not matter.
 """
 
@@ -30,6 +31,7 @@ from .words import hashes, mixed
 DIMENSIONS = 1 << 18
 TRAIN_ROWS = 12_000
 PASSES = 12
+FOLDS = 3
 COST = 1.0
 SMOOTHING = 1.0
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -140,20 +142,30 @@ def scaled(rows: Sequence[np.ndarray], ratios: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _support_vectors(rows: Sequence[np.ndarray], labels: np.ndarray, passes: int, cost: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log ratios, weights); both classes weigh the same in total."""
+    ratios = log_ratios(rows, labels)
+    signs = np.where(labels == 1, 1.0, -1.0)
+    balance = np.where(signs > 0, len(signs) / (2 * (signs > 0).sum()), len(signs) / (2 * (signs < 0).sum()))
+    return ratios, dual_descent(rows, scaled(rows, ratios), signs, cost * balance, passes)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, passes: int = PASSES, cost: float = COST) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """(log ratios, weights, slope, offset). Every fifth row only serves the logistic curve."""
+    """(log ratios, weights, slope, offset). The logistic curve sees margins of models that did not learn from the row."""
     share = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.5
-    held = np.arange(len(rows)) % 5 == 4
-    if min((labels[~held] == k).sum() for k in (0, 1)) == 0 or not held.any():
+    fold = np.zeros(len(rows), np.int64)
+    for label in (0, 1):  # every fold has its part of each class
+        own = np.flatnonzero(labels == label)
+        fold[own] = np.arange(len(own)) % FOLDS
+    if min((labels == k).sum() for k in (0, 1)) < FOLDS:
         return np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0.0, float(np.log(share / (1 - share)))
-    learn = [r for r, h in zip(rows, held, strict=True) if not h]
-    ratios = log_ratios(learn, labels[~held])
-    signs = np.where(labels[~held] == 1, 1.0, -1.0)
-    balance = np.where(signs > 0, len(signs) / (2 * (signs > 0).sum()), len(signs) / (2 * (signs < 0).sum()))
-    weights = dual_descent(learn, scaled(learn, ratios), signs, cost * balance, passes)
-    rest = [r for r, h in zip(rows, held, strict=True) if h]
-    margins = np.array([float(weights[r] @ v) for r, v in zip(rest, scaled(rest, ratios), strict=True)])
-    return ratios, weights, *logistic_curve(margins, labels[held])
+    margins = np.zeros(len(rows))
+    for k in range(FOLDS):
+        out = np.flatnonzero(fold == k)
+        ratios, weights = _support_vectors([rows[i] for i in np.flatnonzero(fold != k)], labels[fold != k], passes, cost)
+        held = [rows[i] for i in out]
+        margins[out] = [float(weights[r] @ v) for r, v in zip(held, scaled(held, ratios), strict=True)]
+    return *_support_vectors(rows, labels, passes, cost), *logistic_curve(margins, labels)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -189,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
         both = np.stack([ratios, weights * ratios]).astype("<f8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([both], pa.binary()), pa.array([slope]), pa.array([offset])], ["weights", "slope", "offset"])
 
-    return featured.coalesce(1).mapInArrow(learn, "weights binary, slope double, offset double").first()
+    # a shuffle of numbers: the rows are found and featurised in parallel, only the fit is one task
+    return featured.repartition(1).mapInArrow(learn, "weights binary, slope double, offset double").first()
 
 
 def scorer(model) -> Callable[[Sequence[str]], np.ndarray]:
