@@ -65,41 +65,20 @@ def _keys(classes: DataFrame, passes: int, bits: int) -> DataFrame:
     return classes.mapInPandas(run, "pass int, size int, key bigint, salt bigint, node bigint, vector array<double>")
 
 
-class _Forest:
-    """Union-find over the vectors of a window."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        parent = self.parent
-        root = parent.setdefault(x, x)
-        while parent[root] != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _window_links(keys: DataFrame, cosine: float, window: int) -> DataFrame:
     """Verified links (a, b) between neighbours of a pass."""
     order = ["pass", "size", "key", "salt", "node"]
     dealt = keys.repartitionByRange(*order).sortWithinPartitions(*order).select("pass", "size", "node", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, current = _Forest(), None
+        forest, current = graph.Forest(), None
         nodes, unit = np.zeros(0, np.int64), None
         for batch in batches:
             frame = batch.to_pandas()
             a, b = [], []
             for group, rows in frame.groupby(["pass", "size"], sort=True):
                 if group != current:  # a pass of the table begins
-                    forest, current, nodes, unit = _Forest(), group, np.zeros(0, np.int64), None
+                    forest, current, nodes, unit = graph.Forest(), group, np.zeros(0, np.int64), None
                 fresh = _stacked(rows["vector"])
                 old = len(nodes)
                 nodes = np.concatenate([nodes, rows["node"].to_numpy(np.int64)])
@@ -115,7 +94,7 @@ def _window_links(keys: DataFrame, cosine: float, window: int) -> DataFrame:
                 nodes, unit = nodes[-window:], unit[-window:]
                 kept = set(nodes.tolist())
                 roots = {x: forest.find(x) for x in kept}
-                forest = _Forest()  # what has left the window is forgotten; its links are out already
+                forest = graph.Forest()  # what has left the window is forgotten; its links are out already
                 heads: dict[int, int] = {}
                 for x, root in roots.items():
                     forest.join(x, heads.setdefault(root, x))
