@@ -77,6 +77,12 @@ def _element(name: str, value: Column, attributes: str = "") -> Column:
     return F.when(value != "", body).otherwise("")
 
 
+def _marked(value: Column) -> Column:
+    """Inline markup around words that start with a letter from a to m, nested from g on."""
+    marked = F.regexp_replace(value, r"(?<= )([a-fA-F][a-z]*)(?= )", "<i>$1</i>")
+    return F.regexp_replace(marked, r"(?<= )([g-mG-M][a-z]*)(?= )", '<sup><b class="x">$1</b></sup>')
+
+
 def pubmed_files(spark, sf_dir) -> str:
     """Bulk record XML of all articles, written by Spark."""
     people = F.array_join(
@@ -92,15 +98,15 @@ def pubmed_files(spark, sf_dir) -> str:
     )
     record = F.concat(
         F.lit('<PubmedArticle><MedlineCitation><PMID Version="1">'), F.col("ord").cast("string"), F.lit("</PMID><Article>"),
-        _element("ArticleTitle", _xml(F.col("title"))),
+        _element("ArticleTitle", _marked(_xml(F.col("title")))),
         F.lit("<Journal>"), _element("Title", F.col("journal")),
         F.lit("<JournalIssue><PubDate>"), _element("Year", F.col("year")), F.lit("</PubDate></JournalIssue></Journal>"),
         _element("ELocationID", F.col("doi"), ' EIdType="doi"'),
-        F.lit("<Abstract>"), _element("AbstractText", _xml(F.col("abstract")), ' Label="TEXT"'), F.lit("</Abstract>"),
+        F.lit("<Abstract>"), _element("AbstractText", _marked(_xml(F.col("abstract"))), ' Label="TEXT"'), F.lit("</Abstract>"),
         F.lit("<AuthorList>"), people, F.lit("</AuthorList>"),
         F.lit('<PublicationTypeList><PublicationType UI="D1">Journal Article</PublicationType><PublicationType UI="D2">'),
         F.col("keywords"), F.lit("</PublicationType></PublicationTypeList></Article>"),
-        F.lit('<KeywordList Owner="N"><Keyword>'), F.col("keywords"), F.lit("</Keyword></KeywordList>"),
+        F.lit('<KeywordList Owner="N"><Keyword><i>'), F.col("keywords"), F.lit("</i></Keyword></KeywordList>"),
         F.lit("</MedlineCitation></PubmedArticle>"),
     )
     out = scratch_path(spark, "xml")
@@ -112,13 +118,14 @@ def pubmed_files(spark, sf_dir) -> str:
     "scan_pubmed",
     with_articles(
         r"""SELECT CAST(ord AS VARCHAR) AS pmid, title, journal, coalesce(nullif(year, ''), '1999') AS year, doi,
-          CASE WHEN len(authors) = 0 THEN '' ELSE author END AS author, keywords
-        FROM articles"""
+          CASE WHEN len(authors) = 0 THEN '' ELSE author END AS author, keywords,
+          'TEXT: ' || ABSTRACT_READ AS abstract
+        FROM articles""".replace("ABSTRACT_READ", "regexp_replace(abstract, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')")
     ),
 )
 def scan_pubmed(spark, sf_dir):
     rows = databases.scan_pubmed(spark, pubmed_files(spark, sf_dir), "1999")
-    return rows.select("pmid", "title", "journal", "year", "doi", "author", F.col("keywords_str").alias("keywords"))
+    return rows.select("pmid", "title", "journal", "year", "doi", "author", "abstract", F.col("keywords_str").alias("keywords"))
 
 
 @query(

@@ -14,7 +14,7 @@ from . import exact, similar, skew
 @dataclass
 class Deduplicated:
     unique: DataFrame
-    """Articles left after removing confirmed duplicates (borderline ones stay)."""
+    """Articles left after removing confirmed duplicates (borderline ones stay), one per entry id."""
     pairs: DataFrame
     """primary_id, dup_id, confidence, reason, status."""
 
@@ -35,13 +35,15 @@ def exact_passes(articles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def duplicate_pairs(articles: DataFrame) -> DataFrame:
-    pairs, kept, leftovers = exact_passes(articles)
+    """Pairs of all passes; a repeated entry id is one article from the start, with its last values."""
+    narrow = exact.last_value_wins(articles.select("entry_id", "ord", "title", "author", "year", "doi"))
+    pairs, kept, leftovers = exact_passes(narrow)
     return pairs.unionByName(similar.near_duplicates(leftovers, kept))
 
 
 def unique_articles(articles: DataFrame, pairs: DataFrame) -> DataFrame:
     removed = pairs.filter(F.col("status") == exact.CONFIRMED).select(F.col("dup_id").alias("entry_id"))
-    return articles.join(removed, "entry_id", "left_anti")
+    return exact.last_value_wins(articles).join(removed, "entry_id", "left_anti")
 
 
 def deduplicate(articles: DataFrame) -> Deduplicated:
@@ -51,6 +53,7 @@ def deduplicate(articles: DataFrame) -> Deduplicated:
 
 def duplicate_report(articles: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both sides of every pair with source, title, authors and year."""
+    articles = exact.last_value_wins(articles.select("entry_id", "ord", "source", "title", "author", "year"))
     sizes = pairs.groupBy("primary_id").agg(F.count(F.lit(1)).alias("n"))
     hot = skew.crowded(sizes, "primary_id", "n", exact.ROWS_PER_TASK)
 
@@ -73,15 +76,18 @@ def duplicate_report(articles: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def flow_counts(n_articles: DataFrame, pairs: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    """Stage counts of a review flow diagram as (stage, n) rows; zeros are kept."""
-    total = n_articles.agg(F.count(F.lit(1)).alias("identified"))
+    """Stage counts of a review flow diagram as (stage, n) rows; zeros are kept.
+
+    Every record counts as identified; of records that share an entry id one goes on.
+    """
+    total = n_articles.agg(F.count(F.lit(1)).alias("identified"), F.count_distinct("entry_id").alias("ids"))
     found = pairs.agg(
         F.count_if(F.col("status") == exact.CONFIRMED).alias("duplicates_removed"),
         F.count_if(F.col("status") == similar.REVIEW).alias("borderline"),
     )
     stages = (
         total.withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one")
-        .withColumn("unique", F.col("identified") - F.col("duplicates_removed"))
+        .withColumn("unique", F.col("ids") - F.col("duplicates_removed"))
     )
     names = ["identified", "duplicates_removed", "borderline", "unique"]
     if decisions is not None:

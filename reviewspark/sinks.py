@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import records
 from .operators import rules
+from .session import scratch_path
 from .sources import bibtex
 
 # Sub-folder of each decision.
@@ -35,10 +36,18 @@ def write_table(df: DataFrame, path: str, file_format: str = "csv", mode: str =
     df.write.mode(mode).format(file_format).options(**options).save(path)
 
 
-def write_decision_subsets(results: DataFrame, path: str) -> None:
-    """BibTeX files of the included, excluded and uncertain articles, authors kept."""
+def write_decision_subsets(results: DataFrame, path: str, key: Column | str = "entry_id") -> None:
+    """BibTeX files of the included, excluded and uncertain articles, one folder each.
+
+    The screening behind ``results`` runs once: its entries go to the shared folder, and the subsets are copied from there.
+    """
+    spark, key = results.sparkSession, F.col(key) if isinstance(key, str) else key
+    named = results.filter(F.col("decision").isin(*SUBSETS))
+    entries = scratch_path(spark, "entries")
+    named.select(bibtex.entry_text(named, key).alias("value"), "decision").write.partitionBy("decision").parquet(entries)
+    stored = spark.read.schema("value string, decision string").parquet(entries)
     for decision, folder in SUBSETS.items():
-        bibtex.write_bibtex(results.filter(F.col("decision") == decision), f"{path}/{folder}")
+        stored.filter(F.col("decision") == decision).select("value").write.mode("overwrite").text(f"{path}/{folder}")
 
 
 def write_results(results: DataFrame, path: str, file_format: str = "csv") -> None:

@@ -166,27 +166,48 @@ def scan_bibtex(spark: SparkSession, path: str, prefix_keys: bool = True) -> Dat
     )
 
 
-def bibtex_entry(entry_type: Column, key: Column, fields: Mapping[str, Column]) -> Column:
-    """Text of one entry; blank fields are left out. Braces that do not pair up are removed from values."""
+def bibtex_entry(entry_type: Column, key: Column, fields: Mapping[str, Column], more: Column | None = None) -> Column:
+    """Text of one entry; blank fields are left out. Braces that do not pair up are removed from values.
 
-    def line(name: str, value: Column) -> Column:
+    ``more``: a map of further fields, written after the others by name.
+    """
+
+    def line(name: str | Column, value: Column) -> Column:
+        name = F.lit(name) if isinstance(name, str) else name
         value = tx.text(value)
         opened, closed = F.regexp_count(value, F.lit(r"\{")), F.regexp_count(value, F.lit(r"\}"))
         paired = (opened == closed) & ~value.rlike(r"^[^{]*\}")
         safe = F.when(paired, value).otherwise(F.regexp_replace(value, "[{}]", ""))
-        return F.when(value != "", F.concat(F.lit(f"    {name} = {{"), safe, F.lit("}")))
+        return F.when(value != "", F.concat(F.lit("    "), name, F.lit(" = {"), safe, F.lit("}")))
 
-    lines = F.array_join(F.array(*[line(n, v) for n, v in fields.items()]), ",\n")
-    return F.concat(F.lit("@"), entry_type, F.lit("{"), key, F.lit(",\n"), lines, F.lit("\n}\n"))
+    lines = F.array(*[line(n, v) for n, v in fields.items()])
+    if more is not None:
+        listed = F.array_sort(F.map_entries(F.coalesce(more, F.create_map().cast("map<string,string>"))))
+        lines = F.concat(lines, F.transform(listed, lambda e: line(e["key"], e["value"])))
+    return F.concat(F.lit("@"), entry_type, F.lit("{"), key, F.lit(",\n"), F.array_join(lines, ",\n"), F.lit("\n}\n"))
 
 
-def write_bibtex(articles: DataFrame, path: str, key: Column | str = "entry_id", mode: str = "overwrite") -> None:
-    """Articles as BibTeX text files, one part per task."""
-    key = F.col(key) if isinstance(key, str) else key
+def entry_text(articles: DataFrame, key: Column) -> Column:
+    """The BibTeX entry of every article of a table, with all its fields."""
     keywords = F.col("keywords_str") if "keywords_str" in articles.columns else F.col("keywords")
     values = {bib: F.col(column) for bib, column in COLUMNS.items() if bib != "issue" and column in articles.columns}
+    if "pubmed_id" in articles.columns:  # the same number under the name another database uses
+        own = F.nullif(tx.text("pmid"), F.lit("")) if "pmid" in articles.columns else F.lit(None)
+        values["pmid"] = F.coalesce(own, F.col("pubmed_id"))
     values["keywords"] = keywords
     if "publication_type" in articles.columns:
         values["publication_type"] = F.array_join("publication_type", ", ")
-    text = bibtex_entry(F.col("entry_type"), key, values)
-    articles.select(text.alias("value")).write.mode(mode).text(path)
+    more = F.map_filter("extra", lambda k, _: ~k.isin(*values)) if "extra" in articles.columns else None
+    return bibtex_entry(F.col("entry_type"), key, values, more)
+
+
+def original_key() -> Column:
+    """The key an entry had in its own file: its id without the source in front."""
+    prefixed = F.startswith(F.col("entry_id"), F.concat("source", F.lit("_")))
+    return F.when(prefixed, records.strip_source_prefix("entry_id", "source")).otherwise(F.col("entry_id"))
+
+
+def write_bibtex(articles: DataFrame, path: str, key: Column | str = "entry_id", mode: str = "overwrite") -> None:
+    """Articles as BibTeX text files, one part per task. ``key``: `original_key()` gives back the keys of the files read."""
+    key = F.col(key) if isinstance(key, str) else key
+    articles.select(entry_text(articles, key).alias("value")).write.mode(mode).text(path)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import records
 from ..functions import text as tx
@@ -15,6 +16,9 @@ PUBMED_URL = "https://pubmed.ncbi.nlm.nih.gov/"
 # Tags around one record.
 RECORD_START, RECORD_END = r"(?s)<PubmedArticle[\s>].*", "</PubmedArticle>"
 
+# Inline elements that may stand inside titles, abstracts and keywords.
+INLINE = ["b", "i", "em", "strong", "u", "sub", "sup", "DispFormula"]
+
 _TAGGED = "struct<_VALUE:string>"
 PUBMED_SCHEMA = f"""
 MedlineCitation struct<
@@ -59,20 +63,40 @@ def _in_page(source: str) -> dict:
 
 
 def _pages(spark: SparkSession, path: str, schema: str, root: str, multi_line: bool) -> DataFrame:
-    pages = spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    return pages.select(
+    """One row per record of every result page. A page that is not JSON or has no record list is an error naming its file.
+
+    A page may hold one record as an object instead of a list; a page that reports no results may leave the list out.
+    """
+    entries = T.StructType.fromDDL(schema)[root].dataType["entry"].dataType
+    pages = spark.read.text(path, wholetext=multi_line)
+    member = lambda name: F.get_json_object("value", f"$['{root}']['{name}']")
+    total = F.coalesce(member("opensearch:totalResults"), member("totalResults"))
+    raw = F.coalesce(member("entry"), F.when(total == "0", F.lit("[]")))
+    listed = F.when(F.startswith(raw, F.lit("{")), F.concat(F.lit("["), raw, F.lit("]"))).otherwise(raw)
+    pages = pages.filter(F.trim(F.translate("value", "\r\n\t", "   ")) != "").select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("page"),
-        F.posexplode(F.col(f"`{root}`.entry")).alias("at", "e"),
+        F.from_json(listed, entries).alias("entries"),
     )
+    hint = "" if multi_line else " (one page per line is expected; use multi_line for a page per file)"
+    problem = F.concat(F.lit("no readable result page in "), F.col("file"), F.lit(hint))
+    checked = F.when(F.col("entries").isNull(), F.raise_error(problem).cast(entries)).otherwise(F.col("entries"))
+    return pages.select("file", "block", "page", F.posexplode(checked).alias("at", "e"))
+
+
+def without_inline_markup(record: Column) -> Column:
+    """A record without the tags of inline elements and formulas; the text inside them stays where it is."""
+    names = "|".join([*INLINE, "mml:[A-Za-z]+"])
+    return F.regexp_replace(record, rf"</?(?:{names})(?:\s[^<>]*)?/?>", "")
 
 
 def scan_pubmed(spark: SparkSession, path: str, default_year: str, source: str = "pubmed") -> DataFrame:
     """Articles of bulk record XML. ``default_year`` stands in where a record has no year at all.
 
     The text scan cuts files at the end tag of a record, so one large file is read by many tasks; a record that
-    is not well formed is an error.
+    is not well formed is an error. Titles, abstracts and keywords keep all their text: inline tags go, what they
+    enclose stays.
     """
     cut = spark.read.option("lineSep", RECORD_END).text(path)
     record = F.regexp_extract("value", RECORD_START, 0)
@@ -84,7 +108,7 @@ def scan_pubmed(spark: SparkSession, path: str, default_year: str, source: str =
             F.monotonically_increasing_id().alias("number"),
         )
         .filter(F.col("record") != "")
-        .withColumn("r", F.from_xml(F.concat("record", F.lit(RECORD_END)), PUBMED_SCHEMA, {"mode": "FAILFAST"}))
+        .withColumn("r", F.from_xml(F.concat(without_inline_markup(F.col("record")), F.lit(RECORD_END)), PUBMED_SCHEMA, {"mode": "FAILFAST"}))
         .select("file", "block", "number", "r.*")
     )
     article = F.col("MedlineCitation.Article")

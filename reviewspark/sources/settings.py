@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 OPTION_TYPES = {
@@ -14,16 +14,31 @@ OPTION_TYPES = {
 _OPTIONS = "struct<" + ",".join(f"{k}:{v}" for k, v in OPTION_TYPES.items()) + ">"
 
 
+def _json(spark: SparkSession) -> DataFrameReader:
+    """Settings files: one object over several lines; a file that is not JSON is an error, not an empty table."""
+    return spark.read.option("multiLine", True).option("mode", "FAILFAST")
+
+
+def _whole_label(label: Column) -> Column:
+    number = label.try_cast("int")
+    wrong = F.concat(F.lit("a seed label is not a whole number: "), F.coalesce(label, F.lit("(blank)")))
+    return F.when(number.isNull(), F.raise_error(wrong).cast("int")).otherwise(number)
+
+
 def scan_seed_labels(spark: SparkSession, path: str) -> DataFrame:
-    """entry_id, label, reason of a CSV file with a header; the last row of a repeated id counts."""
-    raw = spark.read.option("header", True).csv(path)
+    """entry_id, label, reason of a CSV file with a header; the last row of a repeated id counts.
+
+    Quoted values may hold line breaks; a row without a whole-number label is an error.
+    """
+    quoted = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
+    raw = spark.read.options(**quoted).csv(path)
     missing = {"entry_id", "label"} - set(raw.columns)
     if missing:
-        raise ValueError("Seed file must contain 'entry_id' and 'label' columns")
+        raise ValueError(f"seed labels lack the columns {sorted(missing)}")
     reason = F.col("reason") if "reason" in raw.columns else F.lit("")
     placed = raw.select(
         "entry_id",
-        F.col("label").cast("int").alias("label"),
+        _whole_label(F.col("label")).alias("label"),
         F.coalesce(reason, F.lit("")).alias("reason"),
         F.struct(
             F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
@@ -36,7 +51,7 @@ def scan_seed_labels(spark: SparkSession, path: str) -> DataFrame:
 def scan_criteria(spark: SparkSession, path: str) -> DataFrame:
     """(stage, kind, ordinal, phrase) rows of the screening section, phrases in their order."""
     stages = "map<string,struct<inclusion_criteria:array<string>,exclusion_criteria:array<string>>>"
-    rows = spark.read.option("multiLine", True).schema(f"screening {stages}").json(path)
+    rows = _json(spark).schema(f"screening {stages}").json(path)
     rows = rows.select(F.explode("screening").alias("stage", "lists"))
 
     def kind(name: str) -> DataFrame:
@@ -58,7 +73,7 @@ def scan_strategy(spark: SparkSession, path: str) -> DataFrame:
         "search_strategy struct<search_terms:map<string,array<string>>,"
         "boolean_operators:struct<within_category:string,between_categories:string>>"
     )
-    rows = spark.read.option("multiLine", True).schema(schema).json(path).select("search_strategy.*")
+    rows = _json(spark).schema(schema).json(path).select("search_strategy.*")
     operators = [F.col(f"boolean_operators.{c}").alias(a) for c, a in
                  (("within_category", "within"), ("between_categories", "between"))]
     exploded = rows.select(F.explode("search_terms").alias("category", "terms"), *operators)
@@ -68,7 +83,7 @@ def scan_strategy(spark: SparkSession, path: str) -> DataFrame:
 def scan_source_options(spark: SparkSession, path: str, sources: list[str]) -> DataFrame:
     """One row per source with its options; what a source leaves open comes from the defaults."""
     schema = f"database_defaults {_OPTIONS}, databases map<string,{_OPTIONS}>"
-    rows = spark.read.option("multiLine", True).schema(schema).json(path)
+    rows = _json(spark).schema(schema).json(path)
     rows = rows.select("*", F.explode(F.array(*[F.lit(s) for s in sources])).alias("source"))
 
     def option(name: str) -> Column:

@@ -208,3 +208,26 @@ def test_report_and_flow_counts(spark):
     assert counts["identified"] == len(BRANCHES)
     assert counts["unique"] == result.unique.count() == counts["identified"] - counts["duplicates_removed"]
     assert counts["borderline"] >= 1
+
+
+def test_repeated_entry_ids_are_one_article(spark):
+    """The later values at the first place; everything that follows sees one article per id."""
+    rows = [
+        ("k1", "First words of a study", "Doe, Jane", "2001", "10.1/old"),
+        ("k2", "Second study on other things", "Roe, Max", "2002", "10.1/old"),
+        ("k1", "First words of a study revised", "Doe, Jane", "2001", "10.1/new"),
+        ("k3", "Third study", "Poe, Ann", "2003", ""),
+        ("k3", "Third study", "Poe, Ann", "2003", ""),
+        ("k4", "Third study", "Poe, Ann", "2003", ""),
+        ("k4", "Third study", "Poe, Ann", "2003", ""),
+    ]
+    data = [(k, n, t, a, y, d, "s") for n, (k, t, a, y, d) in enumerate(rows)]
+    articles = spark.createDataFrame(data, "entry_id string, ord long, title string, author string, year string, doi string, source string")
+    result = dedup.deduplicate(articles)
+    assert [(r.primary_id, r.dup_id) for r in result.pairs.collect()] == [("k3", "k4")]
+    unique = {r.entry_id: r.title for r in result.unique.collect()}
+    assert unique == {"k1": "First words of a study revised", "k2": "Second study on other things", "k3": "Third study"}
+    assert result.unique.count() == 3
+    assert dedup.duplicate_report(articles, result.pairs).count() == 1
+    counts = {r.stage: r.n for r in dedup.flow_counts(articles, result.pairs).collect()}
+    assert counts["identified"] == 7 and counts["duplicates_removed"] == 1 and counts["unique"] == 3

@@ -207,3 +207,61 @@ def test_tables_and_subsets(spark, bib_dir, tmp_path):
     kept = bibtex.scan_bibtex(spark, f"{tmp_path}/subsets/uncertain_articles/part-*", prefix_keys=False)
     assert kept.count() == 4 and kept.filter("author != ''").count() == 1
     assert bibtex.scan_bibtex(spark, f"{tmp_path}/subsets/included_articles/part-*").count() == 2
+
+
+def test_inline_markup_keeps_its_text(spark, tmp_path):
+    record = (
+        "<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>7</PMID><Article><ArticleTitle>The <i>E. <b>coli</b></i> H<sub>2</sub>O"
+        " &lt;i&gt; case</ArticleTitle><Abstract><AbstractText Label=\"A\">before <i>inner</i> after <sup>2</sup> end</AbstractText>"
+        "<AbstractText>plain <b>bold</b> tail <mml:math xmlns:mml=\"x\"><mml:mi>k</mml:mi></mml:math></AbstractText></Abstract></Article>"
+        "<KeywordList><Keyword>the <i>gene</i> one</Keyword></KeywordList></MedlineCitation></PubmedArticle></PubmedArticleSet>"
+    )
+    (tmp_path / "r.xml").write_text(record)
+    row = databases.scan_pubmed(spark, str(tmp_path), "1999").first()
+    assert row.title == "The E. coli H2O <i> case"
+    assert row.abstract == "A: before inner after 2 end\nplain bold tail k"
+    assert row.keywords == ["the gene one"]
+
+
+PAGE = '{"search-results": {"opensearch:totalResults": "2", "entry": %s}}'
+ENTRY = '{"dc:title": "T%d", "dc:identifier": "SCOPUS_ID:%d", "citedby-count": %d}'
+
+
+def test_result_pages_never_lose_records(spark, tmp_path):
+    def titles(name, text, **options):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "p.json").write_text(text)
+        return sorted((r.title, r.citation_count) for r in databases.scan_scopus(spark, str(folder), **options).collect())
+
+    one, two = ENTRY % (1, 1, 3), ENTRY % (2, 2, 4)
+    page = PAGE % f"[{one}, {two}]"
+    assert titles("lines", page + "\n\n" + PAGE % one + "\n") == [("T1", "3"), ("T1", "3"), ("T2", "4")]
+    assert titles("pretty", json.dumps(json.loads(page), indent=2), multi_line=True) == [("T1", "3"), ("T2", "4")]
+    assert titles("empty", '{"search-results": {"opensearch:totalResults": "0"}}') == []
+    for name, text in (("broken", page + "\n" + page[:60]), ("pretty2", json.dumps(json.loads(page), indent=2)), ("listless", '{"search-results": {}}')):
+        with pytest.raises(Exception, match="p.json"):
+            titles(name, text)
+
+
+def test_broken_settings_and_labels_are_errors(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"screening": {"title_abstract": ')
+    for scan in (settings.scan_criteria, settings.scan_strategy):
+        with pytest.raises(Exception):
+            scan(spark, str(tmp_path / "c.json")).collect()
+    (tmp_path / "l.csv").write_text('entry_id,label,reason\na,1,"two\nlines, with ""quotes"""\nb,0,\n')
+    rows = {r.entry_id: (r.label, r.reason) for r in settings.scan_seed_labels(spark, str(tmp_path / "l.csv")).collect()}
+    assert rows == {"a": (1, 'two\nlines, with "quotes"'), "b": (0, "")}
+    (tmp_path / "w.csv").write_text("entry_id,label,reason\na,yes,x\n")
+    with pytest.raises(Exception, match="whole number"):
+        settings.scan_seed_labels(spark, str(tmp_path / "w.csv")).collect()
+
+
+def test_bibtex_keeps_every_field(spark, tmp_path):
+    (tmp_path / "embase_results.bib").write_text("@article{k1,\n  title = {A},\n  publisher = {P},\n  month = jan,\n  volume = {3}\n}\n")
+    articles = bibtex.scan_bibtex(spark, str(tmp_path / "embase_results.bib"))
+    articles = articles.withColumn("pubmed_id", F.lit("77"))
+    bibtex.write_bibtex(articles, str(tmp_path / "out"), bibtex.original_key())
+    again = bibtex.scan_bibtex(spark, str(tmp_path / "out" / "part-*"), prefix_keys=False).first()
+    assert (again.entry_id, again.title, again.volume, again.pmid) == ("k1", "A", "3", "77")
+    assert again.extra == {"publisher": "P", "month": "January"}
