@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .words import Index, WordTable, hashes, mixed, spans
 
-BATCH_BYTES = 4 << 20  # text handled by one array operation
+BATCH_BYTES = 1 << 20  # text handled by one array operation; several arrays of 8 bytes per character stand beside it
 NEVER = np.int64(1) << 40
 _PAIR = np.uint64(1 << 32)
 

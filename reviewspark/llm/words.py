@@ -15,7 +15,7 @@ import numpy as np
 import regex
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-MAX_WORDS = 1_500_000  # words remembered per Python worker; beyond it the table starts anew, results are the same
+MAX_WORDS = 1_000_000  # words remembered per Python worker; beyond it the table starts anew, results are the same
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
