@@ -54,12 +54,9 @@ SELECT * FROM (
 WHERE score > 0.5"""
 
 
-SIGNATURES_CTE = """
-sources AS (SELECT * FROM leftover QUALIFY row_number() OVER (PARTITION BY tw, aw ORDER BY ord) = 1),
-targets AS (SELECT *, 0 AS rn FROM kept WHERE len(tw) > 0
-            QUALIFY row_number() OVER (PARTITION BY tw, aw, no_year ORDER BY pass, ord) = 1)"""
+OLD_TARGETS_CTE = "old_targets AS (SELECT *, 0 AS rn FROM kept WHERE len(tw) > 0)"
 
-MATCHES_CTE = f"matches AS MATERIALIZED ({_scored('sources', 'targets', 'TRUE')})"
+MATCHES_CTE = f"matches AS MATERIALIZED ({_scored('leftover', 'old_targets', 'TRUE')})"
 
 
 @query("dedup_doi", with_articles(DOI_SQL, BASE_CTE))
@@ -76,7 +73,7 @@ def dedup_title_year(spark, sf_dir):
     "fuzzy_match",
     with_articles(
         "SELECT l_id AS entry_id, t_id AS target_id, score, reason FROM matches",
-        BASE_CTE, KEPT_CTE, SIGNATURES_CTE, MATCHES_CTE,
+        BASE_CTE, KEPT_CTE, OLD_TARGETS_CTE, MATCHES_CTE,
     ),
 )
 def fuzzy_match(spark, sf_dir):
@@ -89,7 +86,7 @@ def fuzzy_match(spark, sf_dir):
     with_articles(
         """SELECT l_id AS entry_id, t_id AS target_id, score, reason FROM matches
         QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY score DESC, t_pass, t_ord) = 1""",
-        BASE_CTE, KEPT_CTE, SIGNATURES_CTE, MATCHES_CTE,
+        BASE_CTE, KEPT_CTE, OLD_TARGETS_CTE, MATCHES_CTE,
     ),
 )
 def best_match(spark, sf_dir):
@@ -99,7 +96,7 @@ def best_match(spark, sf_dir):
 
 # The near-duplicate rule goes through the leftovers in order; the recursion carries the numbers of those kept.
 PAIRS_CTE = f"""
-old_targets AS (SELECT *, 0 AS rn FROM kept WHERE len(tw) > 0),
+{OLD_TARGETS_CTE},
 own_targets AS (SELECT entry_id, ord, 3 AS pass, TRUE AS no_year, tw, aw, rn FROM leftover),
 edges AS MATERIALIZED ({_scored('leftover', 'old_targets', 'TRUE')}
   UNION ALL {_scored('leftover', 'own_targets', 't.rn < l.rn')}),

@@ -28,11 +28,11 @@ def year_from_date(date: Column | str) -> Column:
     return F.substring_index(tx.text(date), "-", 1)
 
 
-def extract_doi(locations: Column | str, article_ids: Column | str) -> Column:
-    """First electronic location of type doi, else first article id of that type, else blank."""
+def extract_doi(locations: Column | str, article_ids: Column | str, wanted: str = "doi") -> Column:
+    """First electronic location of type doi (or another type), else first article id of that type, else blank."""
 
     def first(values: Column | str, kind: str) -> Column:
-        return F.get(F.filter(_as_col(values), lambda x: x[kind] == "doi"), F.lit(0))["_VALUE"]
+        return F.get(F.filter(_as_col(values), lambda x: x[kind] == wanted), F.lit(0))["_VALUE"]
 
     return F.coalesce(first(locations, "_EIdType"), first(article_ids, "_IdType"), F.lit(""))
 

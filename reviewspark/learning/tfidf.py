@@ -132,11 +132,12 @@ def vocabulary(model: PipelineModel) -> list[str]:
 
 def vector_rows(df: DataFrame, terms: Sequence[str], entry_id: str = "entry_id", col: str = "features") -> DataFrame:
     """The non-zero entries of a term vector as (entry_id, term, weight) rows."""
-    from pyspark.ml.functions import vector_to_array
-
     names = F.split(F.lit("\n".join(terms)), "\n")
+    parts = F.unwrap_udt(F.col(col))
+    # sparse vectors hold their places; dense ones have a value in every place
+    places = F.coalesce(parts["indices"], F.sequence(F.lit(0), F.size(parts["values"]) - 1))
     return (
-        df.select(entry_id, F.posexplode(vector_to_array(col)).alias("i", "weight"))
+        df.select(entry_id, F.inline(F.arrays_zip(places.alias("i"), parts["values"].alias("weight"))).alias("i", "weight"))
         .filter(F.col("weight") != 0)
         .select(entry_id, F.get(names, F.col("i")).alias("term"), "weight")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -40,12 +41,17 @@ def strategy_match(
     between: str = "AND",
 ) -> Column:
     """True where the text satisfies the search terms; an empty category is no condition."""
+    if within.upper() not in ("AND", "OR"):
+        raise ValueError(f"unknown operator {within!r}")
     body = F.lower(F.concat_ws("\n", *[tx.text(c) for c in text_cols]))
     groups = []
     for category, terms in strategy.items():
         if terms:
             where = F.lower(type_col) if category == TYPE_CATEGORY else body
-            groups.append(_join([where.contains(t.lower()) for t in terms], within))
+            quoted = [re.escape(t.lower()) for t in terms]
+            # one pass over the text per category: any term, or all of them wherever they stand
+            pattern = "|".join(quoted) if within.upper() == "OR" else "(?s)^" + "".join(f"(?=.*(?:{q}))" for q in quoted)
+            groups.append(where.rlike(pattern))
     return _join(groups, between) if groups else F.lit(True)
 
 
@@ -73,6 +79,8 @@ def facet_filter(articles: DataFrame, facets: Mapping[str, Sequence[str]]) -> Da
         if not values:
             continue
         wanted = [v.lower() for v in values]
+        if name not in articles.columns:
+            raise ValueError(f"the articles have no facet {name!r}")
         if articles.schema[name].dataType.typeName() == "array":
             have = F.transform(name, F.lower)
             articles = articles.filter(F.arrays_overlap(have, F.array(*[F.lit(v) for v in wanted])))
@@ -99,7 +107,9 @@ def enabled_source_filter(articles: DataFrame, enabled: Mapping[str, bool]) -> D
 def lookup_by_id(articles: DataFrame, ids: DataFrame, id_type: str = "embase") -> DataFrame:
     """Articles whose identifier of kind ``id_type`` is in the ``id`` column of ``ids``."""
     if id_type not in ID_COLUMNS:
-        raise ValueError(f"Invalid id_type. Must be one of: {', '.join(ID_COLUMNS)}")
+        raise ValueError(f"articles cannot be looked up by {id_type!r}; known kinds: {sorted(ID_COLUMNS)}")
+    if ID_COLUMNS[id_type] not in articles.columns:
+        raise ValueError(f"the articles have no column {ID_COLUMNS[id_type]!r}")
     wanted = ids.select(F.col("id").alias(ID_COLUMNS[id_type]))
     return articles.join(wanted, ID_COLUMNS[id_type], "left_semi")
 

@@ -268,22 +268,34 @@ def match_signatures(
     return sources, _as_target(with_keys(targets, frequencies)), crowded_keys(sources)
 
 
+def _members(articles: DataFrame, signatures: DataFrame, by: list[str], member: str, sid: str) -> DataFrame:
+    """(member, sid): every article with the signature it belongs to."""
+    named = signatures.select(*[F.col(c) for c in by], F.col("sid").alias(sid)).distinct()
+    return articles.select(F.col("entry_id").alias(member), *by).join(named, by).select(member, sid)
+
+
 def fuzzy_match(leftovers: DataFrame, kept: DataFrame) -> DataFrame:
-    """All matches above 0.5 between leftover signatures and the kept articles of the exact passes."""
-    sources, targets, hot = match_signatures(with_words(leftovers), with_words(kept), every_target=True)
-    edges = similar_pairs(sources, targets, hot, "inner")
-    return edges.select(
-        F.col("sid").alias("entry_id"), F.col("r_sid").alias("target_id"), "score", "reason"
-    ).distinct()
+    """All matches above 0.5 between leftover articles and the kept articles of the exact passes.
+
+    Signatures are matched; at the end every article of a signature gets the matches of its signature.
+    """
+    leftovers, kept = with_words(leftovers), with_words(kept)
+    sources, targets, hot = match_signatures(leftovers, kept, every_target=True)
+    edges = similar_pairs(sources, targets, hot, "inner").select("sid", "r_sid", "score", "reason").distinct()
+    kept = kept.filter(F.size("title_words") > 0).withColumn("no_year", F.col("year") == "")
+    left = _members(leftovers, leftover_signatures(leftovers), list(SIGNATURE), "entry_id", "sid")
+    right = _members(kept, target_signatures(kept), [*SIGNATURE, "no_year"], "target_id", "r_sid")
+    return edges.join(left, "sid").join(right, "r_sid").select("entry_id", "target_id", "score", "reason")
 
 
 def best_match(leftovers: DataFrame, kept: DataFrame) -> DataFrame:
-    """Best kept article of the exact passes for each leftover signature that has one."""
-    sources, targets, hot = match_signatures(with_words(leftovers), with_words(kept))
+    """Best kept article of the exact passes for each leftover article that has one."""
+    leftovers = with_words(leftovers)
+    sources, targets, hot = match_signatures(leftovers, with_words(kept))
     best = _best(similar_pairs(sources, targets, hot, "inner"), "sid")
-    return best.select(F.col("sid").alias("entry_id"), *_match_columns(F.col("best"))).withColumnRenamed(
-        "target", "target_id"
-    )
+    members = _members(leftovers, leftover_signatures(leftovers), list(SIGNATURE), "entry_id", "sid")
+    found = best.select("sid", *_match_columns(F.col("best"))).withColumnRenamed("target", "target_id")
+    return members.join(found, "sid").drop("sid")
 
 
 def _resolve_open(open_rows: DataFrame, hot: DataFrame | None) -> DataFrame:

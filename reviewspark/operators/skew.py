@@ -7,24 +7,16 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
-# At most this many keys are salted, so the broadcast list of hot keys has a fixed size bound
-# (one 8-byte hash and one int each).
-MAX_HOT_KEYS = 1000
-MAX_SALTS = 256
-
-
 def hot_keys(sizes: DataFrame, key: str, size: str, rows_per_task: int) -> DataFrame:
-    """The largest keys above ``rows_per_task`` rows with the number of salts each needs."""
+    """All keys above ``rows_per_task`` rows with the number of salts each needs."""
     return (
         sizes.filter(F.col(size) > rows_per_task)
         .select(
             F.xxhash64(key).alias("_hot"),
-            F.least(F.ceil(F.col(size) / rows_per_task), F.lit(MAX_SALTS)).cast("int").alias("_salts"),
+            F.ceil(F.col(size) / rows_per_task).cast("int").alias("_salts"),
         )
         .groupBy("_hot")
         .agg(F.max("_salts").alias("_salts"))
-        .orderBy(F.desc("_salts"), "_hot")
-        .limit(MAX_HOT_KEYS)
     )
 
 
@@ -37,7 +29,8 @@ def crowded(sizes: DataFrame, key: str, size: str, rows_per_task: int) -> DataFr
 def _with_salts(df: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     if hot is None:
         return df.withColumn("_salts", F.lit(1))
-    marked = df.withColumn("_hot", F.xxhash64(key)).join(F.broadcast(hot), "_hot", "left")
+    # the list has one row per hot key; the optimizer broadcasts it only where it is small enough
+    marked = df.withColumn("_hot", F.xxhash64(key)).join(hot, "_hot", "left")
     return marked.withColumn("_salts", F.coalesce("_salts", F.lit(1))).drop("_hot")
 
 

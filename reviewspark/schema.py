@@ -11,7 +11,7 @@ from .functions import text as tx
 TEXT_FIELDS = [
     "title", "abstract", "journal", "year", "volume", "issue", "pages", "doi", "url", "author",
     "pmid", "pubmed_id", "scopus_id", "eid", "embase_id", "source_id", "citation_count", "document_type",
-    "publication_date",
+    "publication_date", "pii", "lui", "medline", "language", "species", "subject_area", "evidence_type",
 ]
 LIST_FIELDS = ["keywords", "publication_type"]
 

@@ -30,7 +30,8 @@ COLUMNS = {
     "title": "title", "abstract": "abstract", "journal": "journal", "year": "year", "volume": "volume",
     "number": "issue", "issue": "issue", "pages": "pages", "doi": "doi", "url": "url", "author": "author",
     "pmid": "pmid", "scopus_id": "scopus_id", "eid": "eid", "embase_id": "embase_id", "source_id": "source_id",
-    "citation_count": "citation_count", "document_type": "document_type",
+    "citation_count": "citation_count", "document_type": "document_type", "pii": "pii", "lui": "lui", "medline": "medline",
+    "language": "language", "species": "species", "subject_area": "subject_area", "evidence_type": "evidence_type",
 }
 
 

@@ -25,6 +25,7 @@ MedlineCitation struct<
   PMID: {_TAGGED},
   Article: struct<
     ArticleTitle: string,
+    Language: array<string>,
     Journal: struct<Title: string, JournalIssue: struct<Volume: string, Issue: string,
       PubDate: struct<Year: string, MedlineDate: string>>>,
     Pagination: struct<MedlinePgn: string>,
@@ -51,6 +52,7 @@ results struct<totalResults: string, entry: array<struct<
   embase_id: string, title: string, abstract: string, doi: string, url: string,
   journal: struct<title: string, volume: string, issue: string>, startingPage: string, endingPage: string,
   publicationType: string, publicationDate: string, pubmed_id: string,
+  pii: string, lui: string, medline: string, language: string, species: string, subject_area: string, evidence_type: string,
   authors: array<struct<surname: string, given_name: string, initials: string, affiliation: string>>,
   keywords: array<string>, mesh_terms: array<string>, emtree_terms: array<string>>>>
 """
@@ -148,6 +150,9 @@ def scan_pubmed(spark: SparkSession, path: str, default_year: str, source: str =
             article["PublicationTypeList"]["PublicationType"], lambda p: p["_VALUE"]
         ),
         pmid=pmid,
+        pii=records.extract_doi(article["ELocationID"], F.col("PubmedData.ArticleIdList.ArticleId"), "pii"),
+        medline=pmid,
+        language=F.array_join(article["Language"], ", "),
     )
 
 
@@ -215,5 +220,6 @@ def scan_embase(spark: SparkSession, path: str, source: str = "embase", multi_li
         publication_type=F.when(tx.text(e["publicationType"]) != "", F.array(e["publicationType"])),
         embase_id=e["embase_id"],
         pubmed_id=e["pubmed_id"],
+        **{name: e[name] for name in ("pii", "lui", "medline", "language", "species", "subject_area", "evidence_type")},
         publication_date=e["publicationDate"],
     )

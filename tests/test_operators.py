@@ -125,7 +125,7 @@ def test_filters(spark):
     assert ids(filters.limit_results(a, 2)) == ["a", "b", "c"]
     assert ids(filters.drop_empty_text(a)) == ["a", "b", "c"]
     assert {r.source: r.n for r in filters.source_counts(a).collect()} == {"s1": 3, "s2": 1, "combined": 4}
-    with pytest.raises(ValueError, match="Invalid id_type"):
+    with pytest.raises(ValueError, match="cannot be looked up"):
         filters.lookup_by_id(a, spark.createDataFrame([("x",)], "id string"), "isbn")
     wanted = spark.createDataFrame([("10.1/b",), ("10.1/b",)], "id string")
     with_doi = a.withColumn("doi", F.concat(F.lit("10.1/"), "entry_id"))
