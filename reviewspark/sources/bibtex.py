@@ -22,6 +22,12 @@ MONTHS = {
 }
 
 ENTRY_START = re.compile(r"@?\s*(\w+)\s*([{(])")
+# a line that opens an entry: its kind and a key followed by a field or the end; a line of a value may start with '@' too
+OPENS = re.compile(
+    r"@?\s*(?:(?:comment|preamble|string)\s*[{(]|\w+\s*[{(][^{}(),=\"]*,\s*[^\s{}(),=\"#]+\s*=|\w+\{[^\s{}(),=\"]+\s*,?\s*\}\s*(?:\n|$))",
+    re.I,
+)
+GROUPING = re.compile(r'[{}()"]')
 SCANNED = (
     "file string, block bigint, pos bigint, entry_type string, entry_key string, fields map<string,string>"
 )
@@ -39,8 +45,8 @@ def _close(text: str, start: int, opener: str) -> int:
     """Index of the character that closes the group opened before ``start``, or -1 when the text ends first."""
     closer = {"{": "}", "(": ")", '"': '"'}[opener]
     depth = 0
-    for i in range(start, len(text)):
-        ch = text[i]
+    for match in GROUPING.finditer(text, start):
+        ch, i = match[0], match.start()
         if depth == 0 and ch == closer and (i == 0 or text[i - 1] != "\\" or closer != '"'):
             return i
         if ch == "{":
@@ -96,26 +102,88 @@ def parse_entries(text: str) -> tuple[list[tuple[str, str, dict[str, str]]], str
             return entries, ""
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of each file block in order. A line of a value may start with '@': unclosed text is carried on."""
-    where, pos, pending = None, 0, ""
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, str, bool]]:
+    """(file, block, text, opens an entry) of each stretch of a file block that starts with an entry, in order.
+
+    The lines before the first entry of a block come first, as a stretch that opens none; every block has that stretch.
+    """
+    where, lines, opens = None, [], False
     for batch in batches:
-        rows = []
         for value, file, block in zip(batch["value"], batch["file"], batch["block"]):
             if (file, block) != where:
-                if pending:
-                    raise ValueError(f"an entry of {where[0]} does not end before byte {block} or the end of file")
-                where, pos = (file, block), 0
-            if pending:
-                value = f"{pending}\n@{value}"
-            entries, pending = parse_entries(value)
+                if where:
+                    yield *where, "\n@".join(lines), opens
+                where, lines, opens = (file, block), [], False
+            if OPENS.match(value):
+                yield *where, "\n@".join(lines), opens
+                lines, opens = [], True
+            lines.append(value)
+    if where:
+        yield *where, "\n@".join(lines), opens
+
+
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries that end inside their file block. What is still open when the next entry opens is broken: type '!'."""
+    rows, where, held, pos = [], None, None, 0
+    for file, block, text, opens in _blocks(batches):
+        if (file, block) != where:
+            where, held, pos = (file, block), None, 0
+        if held:  # the entry before has ended, since another one opens
+            rows.append((file, block, pos - 1, "!", held[:80], {}))
+            held = None
+        if opens:
+            entries, held = parse_entries(text)
             for kind, key, fields in entries:
                 rows.append((file, block, pos, kind, key, fields))
                 pos += 1
-        if rows:
-            yield pd.DataFrame(rows, columns=["file", "block", "pos", "entry_type", "entry_key", "fields"])
-    if pending:
-        raise ValueError(f"an entry of {where[0]} is not closed")
+            pos += bool(held)
+        if len(rows) >= 1000:
+            yield pd.DataFrame(rows, columns=PARSED)
+            rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=PARSED)
+
+
+def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per file block: the lines before its first entry, whether one opens, and its last entry if that is still open."""
+    where, row = None, None
+    for file, block, text, opens in _blocks(batches):
+        if (file, block) != where:
+            if row:
+                yield pd.DataFrame([row], columns=EDGES)
+            where, row, pos = (file, block), (file, block, text, False, "", 0), 0
+        if opens:
+            entries, held = parse_entries(text)
+            pos += len(entries) + bool(held)
+            row = (*row[:3], True, held, pos - 1)
+    if row:
+        yield pd.DataFrame([row], columns=EDGES)
+
+
+def _stitch(edges: pd.DataFrame) -> pd.DataFrame:
+    """Entries of one file that run on into later blocks."""
+    rows, carry = [], None
+
+    def finish() -> None:
+        file, block, pos, text = carry
+        entries, held = parse_entries(text)
+        found = [(file, block, pos, *entry) for entry in entries]
+        rows.extend(found if not held else [(file, block, pos, "!", held[:80], {})])
+
+    for file, block, head, opens, tail, pos in edges.sort_values("block")[EDGES].itertuples(index=False):
+        if carry and head:
+            carry = (*carry[:3], f"{carry[3]}\n@{head}")
+        if opens:
+            if carry:
+                finish()
+            carry = (file, block, pos, tail) if tail else None
+    if carry:
+        finish()
+    return pd.DataFrame(rows, columns=PARSED)
+
+
+PARSED = ["file", "block", "pos", "entry_type", "entry_key", "fields"]
+EDGES = ["file", "block", "head", "opens", "tail", "pos"]
 
 
 def people(author: Column | str) -> Column:
@@ -134,17 +202,27 @@ def people(author: Column | str) -> Column:
     return F.transform(names, one)
 
 
-def scan_bibtex(spark: SparkSession, path: str, prefix_keys: bool = True) -> DataFrame:
+def scan_bibtex(spark: SparkSession, path: str, prefix_keys: bool = True, skip_broken: bool = False) -> DataFrame:
     """Articles of all BibTeX files under ``path``; the source is the file name without its suffix.
 
-    Every entry is one record of a splittable text scan. With ``prefix_keys`` ids are 'source_key'.
+    Every entry is one record of a splittable text scan, and the entries do not depend on where files are split. With
+    ``prefix_keys`` ids are 'source_key'. An entry that is not closed before the next one opens is an error that names its
+    file, or with ``skip_broken`` left out.
     """
     lines = (
         spark.read.option("lineSep", "\n@")
         .text(path)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     )
-    scanned = lines.mapInPandas(_scan, SCANNED)
+    edges = lines.mapInPandas(_edges, "file string, block bigint, head string, opens boolean, tail string, pos bigint")
+    # one small row per file block meets the others of its file; an entry may be cut by any number of block ends
+    scanned = lines.mapInPandas(_scan, SCANNED).union(edges.groupBy("file").applyInPandas(_stitch, SCANNED))
+    broken = F.col("entry_type") == "!"
+    if skip_broken:
+        scanned = scanned.filter(~broken)
+    else:
+        problem = F.concat(F.lit("an entry is not closed in "), "file", F.lit(", block at byte "), F.col("block").cast("string"), F.lit(": "), "entry_key")
+        scanned = scanned.withColumn("entry_type", F.when(broken, F.raise_error(problem)).otherwise(F.col("entry_type")))
     name = F.element_at(F.split("file", "/"), -1)
     source = F.replace(F.url_decode(name), F.lit(FILE_SUFFIX), F.lit(""))
     scanned = scanned.withColumn("source", source)

@@ -265,3 +265,36 @@ def test_bibtex_keeps_every_field(spark, tmp_path):
     again = bibtex.scan_bibtex(spark, str(tmp_path / "out" / "part-*"), prefix_keys=False).first()
     assert (again.entry_id, again.title, again.volume, again.pmid) == ("k1", "A", "3", "77")
     assert again.extra == {"publisher": "P", "month": "January"}
+
+
+def test_bibtex_does_not_depend_on_splits(spark, tmp_path):
+    entries = [
+        f"@article{{k{i},\n  title = {{Title {i}}},\n  abstract = {{first line\n@smith (2020) says\n@home people {{nested}}\nlast {i}}},\n  year = {2000 + i}\n}}"
+        for i in range(12)
+    ]
+    (tmp_path / "x_results.bib").write_text("% head\n" + "\n".join(entries) + "\n@misc{last}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = set()
+    try:
+        for size in (20, 30, 45, 60, 90, 120, 200, 333, 1000, 100000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            rows = bibtex.scan_bibtex(spark, f"{tmp_path}/x_results.bib").orderBy("ord").collect()
+            seen.add(tuple((r.entry_id, r.title, r.abstract, r.year) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(seen) == 1
+    (rows,) = seen
+    assert [r[0] for r in rows] == [f"x_k{i}" for i in range(12)] + ["x_last"]
+    assert rows[3][2] == "first line @smith (2020) says @home people {nested} last 3"
+
+
+def test_one_open_entry_costs_itself_only(spark, tmp_path):
+    import time
+
+    good = "\n".join(f"@article{{k{i},\n  title = {{T}}\n}}" for i in range(10000))
+    (tmp_path / "y_results.bib").write_text("@article{bad,\n  title = {never closed\n" + good)
+    start = time.time()
+    assert bibtex.scan_bibtex(spark, f"{tmp_path}/y_results.bib", skip_broken=True).count() == 10000
+    assert time.time() - start < 60
+    with pytest.raises(Exception, match="y_results.bib"):
+        bibtex.scan_bibtex(spark, f"{tmp_path}/y_results.bib").collect()
