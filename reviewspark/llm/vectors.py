@@ -5,10 +5,19 @@ are sorted together by (pass, key), and every vector is compared exactly with th
 that join two vectors not yet joined inside the task are kept, so a pass gives fewer links than vectors however dense the
 data is; the links of all passes are united into components.
 
-Windows bound the candidates, not the result: inside each component all pairs are then compared, in blocks of `BLOCK`
-vectors that no single task has to hold together. For large components a centre saves most of that: vectors within half the
-threshold angle of it are linked to one another without a comparison, so only the others are compared with all. A linked
-pair is lost only if no path of links between its two ends shows up in any pass.
+The passes are the quick way to most links, not the bound of the result. A sweep then compares the vectors of different
+components, so that no link is lost: vectors go to the cell of the nearest of about one in `PER_CELL` of them, cells are
+put together to chunks of `CHUNK_BYTES`, and every chunk is compared with all vectors of its own and later chunks, cell by
+cell. By the triangle inequality a vector cannot link into a cell whose vector is farther away than the cell's radius and
+the threshold angle together, so far cells are passed over; all other pairs are compared. On vectors without clusters no
+cell is far, and the sweep is quadratic in the number of classes; its memory and disk are not.
+
+Inside each component all pairs are then counted, in blocks of `BLOCK` vectors that no single task has to hold together.
+For large components a centre saves most of that: vectors within half the threshold angle of it are linked to one another
+without a comparison, so only the others are compared with all.
+
+Gathered on the driver: the cell vectors (one in `PER_CELL`, and one per length of vectors), a number and a radius per
+cell, and one chunk at a time, which is broadcast.
 
 Equal vectors are one class and carry their number; classes are compared, not copies.
 
@@ -30,11 +39,14 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .common import saved
+from .words import mixed
 
 PASSES = 12
 BITS = 48
 WINDOW = 32
 BLOCK = 1024
+PER_CELL = 1024
+CHUNK_BYTES = 32 << 20
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -103,6 +115,132 @@ def _window_links(keys: DataFrame, cosine: float, window: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _fetched(table: DataFrame) -> pd.DataFrame:
+    return table.toArrow().to_pandas()
+
+
+def _cells(classes: DataFrame, per_cell: int) -> tuple[dict[int, np.ndarray], dict[int, int]]:
+    """By vector length: the unit vectors that cells are around, and the number of the first cell."""
+    draw = F.xxhash64("node")
+    lowest = classes.groupBy("size").agg(F.min_by("node", draw).alias("node")).select("node")
+    some = classes.select("node").where(F.pmod(draw, F.lit(per_cell)) == 0).union(lowest).distinct()
+    rows = _fetched(classes.join(some, "node", "left_semi").select("size", "node", "vector")).sort_values(["size", "node"])
+    around, first = {}, {}
+    for size, part in rows.groupby("size"):
+        first[int(size)] = sum(map(len, around.values()))
+        around[int(size)] = _stacked(part["vector"])
+    return around, first
+
+
+def _in_chunks(classes: DataFrame, around: dict[int, np.ndarray], first: dict[int, int], chunk_bytes: int) -> tuple[DataFrame, np.ndarray, int]:
+    """(rows with cell and chunk, dealt by chunk; radius of every cell; number of chunks)."""
+    spark = classes.sparkSession
+    shared = spark.sparkContext.broadcast((around, first))
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        around, first = shared.value
+        for frame in frames:
+            for size, rows in frame.groupby("size"):
+                cosines = _stacked(rows["vector"]) @ around[int(size)].T
+                nearest = cosines.argmax(1)
+                angle = np.arccos(np.clip(cosines[np.arange(len(rows)), nearest], -1, 1))
+                yield pd.DataFrame({"node": rows["node"], "component": rows["component"], "size": size, "vector": rows["vector"], "cell": nearest + first[int(size)], "angle": angle})
+
+    kind = "node bigint, component bigint, size int, vector array<double>, cell int, angle double"
+    placed = saved(classes.select("node", "component", "size", "vector").mapInPandas(place, kind), "vector-cells")
+    cells = _fetched(placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius"), F.min("size").alias("size"))).sort_values("cell")
+    radius = np.zeros(sum(map(len, around.values())))
+    radius[cells["cell"].to_numpy()] = cells["radius"].to_numpy()
+    start, parts = np.zeros(len(radius), np.int64), np.ones(len(radius), np.int64)
+    at, room = -1, 0
+    for cell, n, size in zip(cells["cell"], cells["n"], cells["size"], strict=True):
+        need = n * (8 * size + 64)
+        parts[cell] = max(1, -(-need // chunk_bytes))
+        if need > room:  # a cell beyond a chunk gets chunks of its own
+            at, room = at + 1, chunk_bytes
+        start[cell] = at
+        at, room = at + int(parts[cell]) - 1, room - need
+    numbers = spark.sparkContext.broadcast((start, parts))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, parts = numbers.value
+        for batch in batches:
+            cell, node = (batch.column(x).to_numpy() for x in ("cell", "node"))
+            part = mixed(node.astype(np.uint64)) % parts[cell].astype(np.uint64)
+            columns = [*(batch.column(x) for x in ("node", "component", "size", "vector", "cell")), pa.array(start[cell] + part.astype(np.int64), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "component", "size", "vector", "cell", "chunk"])
+
+    numbered = placed.mapInArrow(number, "node bigint, component bigint, size int, vector array<double>, cell int, chunk int")
+    dealt = numbered.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk", "cell", "node")
+    return saved(dealt.sortWithinPartitions("chunk", "cell", "node"), "vector-chunks"), radius, at + 1
+
+
+def _sweep(classes: DataFrame, cosine: float, per_cell: int, chunk_bytes: int) -> DataFrame:
+    """Links (a, b) that join different components: of all linked pairs, at least as many as connect what they connect.
+
+    ``classes``: node, component, size, vector.
+    """
+    spark = classes.sparkSession
+    around, first = _cells(classes, per_cell)
+    placed, radius, chunks = _in_chunks(classes, around, first, chunk_bytes)
+    reach = math.acos(min(1.0, max(-1.0, cosine))) + 1e-6
+    found = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for chunk in range(chunks):
+        part = _fetched(placed.where(F.col("chunk") == chunk).select("node", "component", "size", "vector", "cell")).sort_values(["cell", "node"])
+        held = []  # per cell: its number, the vector it is around, its nodes, components and unit vectors
+        for (size, cell), rows in part.groupby(["size", "cell"]):
+            held.append((int(size), int(cell), around[int(size)][int(cell) - first[int(size)]], rows["node"].to_numpy(np.int64), rows["component"].to_numpy(np.int64), _stacked(rows["vector"])))
+        shared = spark.sparkContext.broadcast((held, radius))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, radius = shared.value  # noqa: B023 - the job ends before the next chunk
+            forest, by_size = graph.Forest(), {}
+            for size, *cell in held:
+                by_size.setdefault(size, []).append(cell)
+            labels = {cell: components.copy() for _, cell, _, _, components, _ in held}
+            narrow = {cell: unit.astype(np.float32) for _, cell, _, _, _, unit in held}
+            for batch in batches:
+                a, b = [], []
+                for size, rows in batch.to_pandas().groupby("size"):
+                    cells = by_size.get(int(size), [])
+                    if not cells:
+                        continue
+                    nodes, components, unit = rows["node"].to_numpy(np.int64), rows["component"].to_numpy(np.int64), _stacked(rows["vector"])
+                    unit32, slack = unit.astype(np.float32), (size + 8) * 2.0**-23
+                    angles = np.arccos(np.clip(unit @ np.stack([cell[1] for cell in cells]).T, -1, 1))
+                    for k, (cell, _, cell_nodes, _, cell_unit) in enumerate(cells):
+                        may = np.flatnonzero(angles[:, k] <= radius[cell] + reach)
+                        label = labels[cell]
+                        for low in range(0, len(may), 512):
+                            some = may[low : low + 512]
+                            for left in range(0, len(label), 4096):
+                                hits = unit32[some] @ narrow[cell][left : left + 4096].T >= cosine - slack
+                                asks = np.flatnonzero(hits.any(1))
+                                owns = np.array([forest.find(x) for x in components[some[asks]].tolist()], np.int64)
+                                asks = asks[(hits[asks] & (label[left : left + 4096] != owns[:, None])).any(1)]
+                                for i in asks.tolist():
+                                    x = int(some[i])
+                                    own = forest.find(int(components[x]))
+                                    other = np.flatnonzero(hits[i]) + left
+                                    other = other[label[other] != own]
+                                    if not len(other):
+                                        continue
+                                    other = other[cell_unit[other] @ unit[x] >= cosine]
+                                    for root, at in zip(*np.unique(label[other], return_index=True), strict=True):
+                                        y = int(other[at])
+                                        if forest.join(int(components[x]), int(root)):
+                                            a.append(int(nodes[x]))
+                                            b.append(int(cell_nodes[y]))
+                                        label[label == root] = forest.find(int(root))
+                                    label[label == own] = forest.find(own)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        later = placed.where(F.col("chunk") >= chunk).select("node", "component", "size", "vector")
+        found = found.union(saved(later.mapInArrow(run, "a bigint, b bigint"), "vector-sweep"))
+        shared.destroy()
+    return found.distinct()
+
+
 def _block_counts(members: DataFrame, cosine: float, block: int) -> DataFrame:
     """(node, links): copies linked to a class inside its component, its own copies excepted. Exact."""
     sizes = members.groupBy("component").agg(F.count("*").alias("members"))
@@ -154,6 +292,7 @@ def _block_counts(members: DataFrame, cosine: float, block: int) -> DataFrame:
 def near_duplicates(
     table: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
     passes: int = PASSES, window: int = WINDOW, bits: int = BITS, block: int = BLOCK,
+    per_cell: int = PER_CELL, chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Per row: id, n_links, component_id, kept."""
     vector = F.col("vector")
@@ -165,7 +304,12 @@ def near_duplicates(
     classes = rows.where("fit").groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     classes = saved(classes.withColumn("size", F.size("vector")), "vector-classes")
     links = _window_links(_keys(classes, passes, bits), cosine, window)
-    groups = saved(graph.components(saved(links, "vector-links")), "vector-groups")
+    links = saved(links, "vector-links")
+    groups = saved(graph.components(links), "vector-groups")
+    labelled = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = saved(_sweep(labelled, cosine, per_cell, chunk_bytes), "vector-more-links")
+    if more.take(1):
+        groups = saved(graph.components(links.union(more)), "vector-groups")
     members = classes.join(groups, "node")
     counts = _block_counts(members, cosine, block)
     found = classes.join(groups, "node", "left").join(counts, "node", "left")

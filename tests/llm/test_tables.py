@@ -122,6 +122,44 @@ def test_links_equal_all_cosines(spark):
     assert sorted((r.vec_id or -1, r.n_links, r.kept) for r in vectors.near_duplicates(odd).collect()) == [(-1, 0, True), (3, 1, True), (3, 1, True)]
 
 
+def hot_vectors(seed):
+    """A crowd of vectors at cosine 0.85 to one another with pairs of partners in it, and a few of another length."""
+    draw = np.random.default_rng(seed)
+    crowd = 3 * np.ones(24) / math.sqrt(24) + 0.26 * draw.standard_normal((900, 24))
+    partners = crowd[:100] + 0.15 * draw.standard_normal((100, 24))
+    other = draw.standard_normal((20, 8))
+    return [*crowd, *partners, *other, *(other[:10] + 0.05 * draw.standard_normal((10, 8)))]
+
+
+def links_of_all_pairs(rows, cosine):
+    edges = []
+    for size in {len(r) for r in rows}:
+        at = np.array([i for i, r in enumerate(rows) if len(r) == size])
+        unit = np.stack([rows[i] for i in at])
+        unit = unit / np.linalg.norm(unit, axis=1)[:, None]
+        a, b = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
+        edges += list(zip(at[a].tolist(), at[b].tolist(), strict=True))
+    return edges
+
+
+@pytest.mark.parametrize("partitions", [8])
+def test_crowds_lose_no_link_in_any_partitioning(spark, partitions):
+    rows = hot_vectors(3)
+    edges = links_of_all_pairs(rows, 0.95)
+    expected = plain_components(len(rows), edges)
+    links = np.bincount(np.array(edges).ravel(), minlength=len(rows)).tolist()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        table = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(rows)], "vec_id long, embedding array<double>").repartition(4)
+        # few windows, and small cells and chunks, so that the sweep has much to find
+        got = {r.vec_id: r for r in vectors.near_duplicates(table, passes=1, window=4, per_cell=40, chunk_bytes=100000).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [got[i].component_id for i in range(len(rows))] == expected
+    assert [got[i].n_links for i in range(len(rows))] == links
+
+
 # -- classifier ---------------------------------------------------------------------------------------
 
 
