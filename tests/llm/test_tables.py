@@ -96,6 +96,25 @@ def test_repeated_null_and_no_documents(spark):
     assert minhash.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_null_id_leads_no_list(spark):
+    draw = random.Random(7)
+    base = [f"w{draw.randrange(500)}" for _ in range(60)]
+    texts = [" ".join(base)]
+    for k in range(30):  # the copies link to the base text, which has no id, and by two edits each mostly to one another
+        copy = list(base)
+        copy[draw.randrange(60)] = f"x{k}"
+        copy[draw.randrange(60)] = f"y{k}"
+        texts.append(" ".join(copy))
+    big = 2**53 + 1
+    table = spark.createDataFrame([(None if i == 0 else big + i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table, 2, 0.8).collect()}
+    sets = [shingle_set(t, 2) for t in texts]
+    pairs = itertools.combinations(range(1, len(sets)), 2)
+    expected = plain_components(len(sets), [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert len(set(expected[1:])) < 12  # most copies belong together
+    assert got == {None: None} | {big + i: big + expected[i] for i in range(1, len(sets))}
+
+
 # -- near-duplicate vectors ---------------------------------------------------------------------------
 
 
