@@ -5,10 +5,13 @@ paragraphs into pieces of up to four words (of 64 characters at most) that end w
 section's that of its paragraphs' hashes, the root that of the sections' hashes; so equal roots mean equal texts, and two
 trees differ only below branches whose hashes differ. Pieces carry 24 hash bits and their length; they locate an edit
 inside a paragraph and give the likeness of two trees: twice the length of the pieces they share over the sum of both
-lengths, once over distinct pieces and once over pieces in the same place, whichever is larger (1 for equal roots). Texts of at most `SHORT` code points have one piece per code point and place, since one edit
-would change all of their words' pieces.
+lengths, once over distinct pieces and once over pieces in the same place, whichever is larger (1 for equal roots). One edit would
+change all pieces of a short text, so texts of at most `PLACED` code points also have a leaf per code point and place. Two
+such texts are compared by those if either has at most `SHORT` of them, all others by their pieces; so both trees of a
+comparison always give the same kind of leaves.
 
-The fingerprint is one string: root, then per section `|hash`, per paragraph `/hash`, per piece `,hex`.
+The fingerprint is one string: root, then per section `|hash`, per paragraph `/hash`, per piece `,hex`, per placed code point
+`;hex`.
 
 `with_next` joins every document to the next one by id in one shuffle: quantiles of the ids give ranges, a document goes to
 its range, and the first document of a range also goes to the range before as a guest. The quantiles (four per shuffle
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 SHORT = 64
+PLACED = 2 * SHORT
 PIECE = r"\s*(?:\S{0,63}[^\s.!?]\s+){0,3}\S{1,64}\s*"
 SECTION = r"(?<=\n)(?=[ \t\r]*\n|#)"
 BUCKETS_PER_PARTITION = 4
@@ -43,16 +47,17 @@ def _piece(x: Column, salt: Column | None = None) -> Column:
 
 
 def tree(text: Column) -> Column:
-    """array of sections: (hash, paragraphs: array of (hash, pieces: array<bigint>))."""
-    short = F.char_length(text) <= SHORT
+    """array of sections: (hash, paragraphs: array of (hash, pieces: array<bigint>, places: array<bigint>))."""
+    placed = F.char_length(text) <= PLACED
 
     def pieces(paragraph: Column) -> Column:
-        by_place = F.transform(F.split(paragraph, ""), lambda p, i: _piece(p, i))
-        by_word = F.transform(F.regexp_extract_all(paragraph, F.lit(PIECE), 0), lambda p: _piece(p))
-        return F.when(short, by_place).otherwise(by_word)
+        return F.transform(F.regexp_extract_all(paragraph, F.lit(PIECE), 0), lambda p: _piece(p))
+
+    def places(paragraph: Column) -> Column:
+        return F.when(placed, F.transform(F.split(paragraph, ""), lambda p, i: _piece(p, i))).otherwise(F.array().cast("array<bigint>"))
 
     def section(part: Column) -> Column:
-        paragraphs = F.transform(F.split(part, "\n"), lambda p: F.struct(F.sha2(p, 256).alias("hash"), pieces(p).alias("pieces")))
+        paragraphs = F.transform(F.split(part, "\n"), lambda p: F.struct(F.sha2(p, 256).alias("hash"), pieces(p).alias("pieces"), places(p).alias("places")))
         joined = F.array_join(F.transform(paragraphs, lambda p: p["hash"]), "")
         return F.struct(F.sha2(joined, 256).alias("hash"), paragraphs.alias("paragraphs"))
 
@@ -65,20 +70,22 @@ def root(sections: Column) -> Column:
 
 def encoded(sections: Column) -> Column:
     """The fingerprint string of a tree."""
-    paragraph = lambda p: F.concat(F.lit("/"), F.substring(p["hash"], 1, 12), F.array_join(F.transform(p["pieces"], lambda x: F.concat(F.lit(","), F.hex(x))), ""))
+    listed = lambda xs, mark: F.array_join(F.transform(xs, lambda x: F.concat(F.lit(mark), F.hex(x))), "")
+    paragraph = lambda p: F.concat(F.lit("/"), F.substring(p["hash"], 1, 12), listed(p["pieces"], ","), listed(p["places"], ";"))
     section = lambda s: F.concat(F.lit("|"), F.substring(s["hash"], 1, 16), F.array_join(F.transform(s["paragraphs"], paragraph), ""))
     return F.concat(root(sections), F.array_join(F.transform(sections, section), ""))
 
 
 def leaves(sections: Column) -> Column:
-    """All pieces of a tree, in order."""
-    return F.flatten(F.transform(sections, lambda s: F.flatten(F.transform(s["paragraphs"], lambda p: p["pieces"]))))
+    """All pieces and all placed code points of a tree, in order: (pieces, places)."""
+    every = lambda kind: F.flatten(F.transform(sections, lambda s: F.flatten(F.transform(s["paragraphs"], lambda p: p[kind]))))
+    return F.struct(every("pieces").alias("pieces"), every("places").alias("places"))
 
 
 def decoded_leaves(fingerprint: Column) -> Column:
     """The same from the fingerprint string."""
-    parts = F.regexp_extract_all(fingerprint, F.lit(",([0-9A-F]+)"), 1)
-    return F.transform(parts, lambda x: F.conv(x, 16, 10).cast("bigint"))
+    every = lambda mark: F.transform(F.regexp_extract_all(fingerprint, F.lit(f"{mark}([0-9A-F]+)"), 1), lambda x: F.conv(x, 16, 10).cast("bigint"))
+    return F.struct(every(",").alias("pieces"), every(";").alias("places"))
 
 
 def _weight(pieces: Column) -> Column:
@@ -90,11 +97,17 @@ def _dice(shared: Column, a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(2.0 * _weight(shared) / both)
 
 
-def likeness(a: Column, b: Column, same: Column) -> Column:
-    """Of two lists of leaves; ``same``: the roots are equal."""
+def _alike(a: Column, b: Column) -> Column:
     in_place = F.zip_with(a, b, lambda x, y: F.when(x == y, x).otherwise(F.lit(0).cast("bigint")))
     distinct = _dice(F.array_intersect(a, b), F.array_distinct(a), F.array_distinct(b))
-    return F.when(same, F.lit(1.0)).otherwise(F.greatest(distinct, _dice(in_place, a, b)))
+    return F.greatest(distinct, _dice(in_place, a, b))
+
+
+def likeness(a: Column, b: Column, same: Column) -> Column:
+    """Of the leaves of two trees; ``same``: the roots are equal."""
+    sizes = F.size(a["places"]), F.size(b["places"])  # 0 for texts beyond PLACED; the empty text has one empty place
+    by_place = (F.least(*sizes) > 0) & (F.least(*sizes) <= SHORT)
+    return F.when(same, F.lit(1.0)).when(by_place, _alike(a["places"], b["places"])).otherwise(_alike(a["pieces"], b["pieces"]))
 
 
 def compare(a: Column, b: Column) -> Column:

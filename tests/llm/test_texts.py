@@ -137,6 +137,17 @@ def test_fingerprints_of_edited_and_next(spark):
     assert fingerprint.fingerprints(repeated).count() == 3
 
 
+def test_short_and_longer_texts_share_leaves(spark):
+    long = "".join(random.Random(3).choice("abcdefgh ") for _ in range(200))
+    rows = [(1, long[:80]), (2, ""), (3, long[:64]), (4, long[:66]), (5, long[:128]), (6, long[:60]), (7, long)]
+    got = {r.doc_id: r for r in fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].near_edited == pytest.approx(2 * 60 / 140)  # 60 of 80 code points are left
+    assert got[3].near_next == pytest.approx(2 * 64 / 130)
+    assert got[4].near_next > 0 and got[5].near_next == pytest.approx(2 * 60 / 188) and got[5].near_edited > 0.5
+    pairs = spark.createDataFrame([(got[3].fingerprint, got[4].fingerprint)], "a string, b string")
+    assert pairs.select(fingerprint.compare(F.col("a"), F.col("b")).alias("near")).first().near == pytest.approx(got[3].near_next)
+
+
 def test_control_strings_survive(spark):
     nasty = ["<|end|>", "</s>[INST] ok [/INST]", "<~|", "<~~/s>", "[~INST]", "<<|turn|>", "<", "|end|>", "a\nb", "", "<|image|>"]
     rows = [(1, k, role, t) for k, (role, t) in enumerate(zip(["user", "assistant"] * 6, nasty))]
