@@ -27,10 +27,17 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
-    groups = minhash.near_duplicates(docs, width=5, threshold=0.8)
-    kept = groups.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id"))).select(*docs.columns)
+    """One row of each group of near duplicates stays: five-word shingles, similarity 0.8 or more.
+
+    Groups are made of rows, so repeated ids and rows without id are grouped by their texts like all others. The row with
+    the smallest id stays, one without id only where no other is. Rows without words are no one's duplicates and stay.
+    """
+    numbered = saved(docs.withColumn("row_no", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = minhash.near_duplicates(numbered, width=5, threshold=0.8, id_col="row_no").select("row_no", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row_no")
+    named = numbered.select("row_no", order.alias("order")).join(groups, "row_no")
+    kept = named.groupBy("component_id").agg(F.min("order")["row_no"].alias("row_no")).select("row_no")
+    return numbered.join(kept, "row_no", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

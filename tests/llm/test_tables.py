@@ -375,3 +375,21 @@ def test_stages_take_empty_tables_and_nulls(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
         assert docs.count() >= 0
+
+
+def test_one_row_of_each_group_goes_on(spark, sf_dir):
+    draw = random.Random(11)
+    text = lambda: " ".join(f"word{draw.randrange(3000)}" for _ in range(120))
+    repeated, unnamed, other = text(), text(), text()
+    near = unnamed.replace(unnamed.split()[60], "changed")
+    rows = [(8, repeated)] * 3 + [(None, unnamed), (None, unnamed), (None, near), (9, other), (9, text()), (None, ""), (None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], kind)
+    kept = corpus_pipeline.saved(corpus_pipeline.near_duplicates(spark, docs, sf_dir), "test-stage")
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text or "") for r in kept.collect()]
+    nameless = sorted(t for i, t in got if i is None)
+    assert len(nameless) == 3 and nameless[:2] == ["", ""] and nameless[2] in (unnamed, near)
+    assert sorted(x for x in got if x[0]) == sorted({r for r in rows if r[0]})
+    left = [r.text for r in corpus_pipeline.repeated_passages(spark, kept, sf_dir).collect()]
+    assert sorted(filter(None, left)) == sorted(filter(None, (t for _, t in got)))
