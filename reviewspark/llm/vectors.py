@@ -1,11 +1,12 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Each pass draws its own random hyperplanes; a vector's key is the string of its sides, most significant first. All passes
-are sorted together by (pass, key), and every vector is compared exactly with the next `WINDOW` vectors of its pass. Links
+are sorted together by (pass, key), and every vector is compared exactly with the next `WINDOW` vectors of its pass in its task (a window ends where the task's
+range ends). Links
 that join two vectors not yet joined inside the task are kept, so a pass gives fewer links than vectors however dense the
 data is; the links of all passes are united into components.
 
-The passes are the quick way to most links, not the bound of the result. A sweep then compares the vectors of different
+The passes are the quick way to most links, not the bound of the result, which does not depend on ranges or partitions. A sweep then compares the vectors of different
 components, so that no link is lost: vectors go to the cell of the nearest of about one in `PER_CELL` of them, cells are
 put together to chunks of `CHUNK_BYTES`, and every chunk is compared with all vectors of its own and later chunks, cell by
 cell. By the triangle inequality a vector cannot link into a cell whose vector is farther away than the cell's radius and

@@ -161,7 +161,7 @@ def links_of_all_pairs(rows, cosine):
     return edges
 
 
-@pytest.mark.parametrize("partitions", [8])
+@pytest.mark.parametrize("partitions", [8, 1, 200])
 def test_crowds_lose_no_link_in_any_partitioning(spark, partitions):
     rows = hot_vectors(3)
     edges = links_of_all_pairs(rows, 0.95)
