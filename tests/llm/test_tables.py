@@ -96,6 +96,13 @@ def test_repeated_null_and_no_documents(spark):
     assert minhash.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_near_one_leader_in_different_rounds_is_not_compared(spark):
+    kind = "round int, leader long, node long"
+    nears = [spark.createDataFrame([(0, 1, 2)], kind), spark.createDataFrame([(1, 1, 3), (1, 1, 4)], kind)]
+    leaders = {r.node: set(r.leaders) for r in minhash._homes(nears).collect()}
+    assert not leaders[2] & leaders[3] and leaders[3] & leaders[4] and leaders[1] & leaders[2]
+
+
 def test_null_id_leads_no_list(spark):
     draw = random.Random(7)
     base = [f"w{draw.randrange(500)}" for _ in range(60)]
