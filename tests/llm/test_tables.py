@@ -103,6 +103,16 @@ def test_near_one_leader_in_different_rounds_is_not_compared(spark):
     assert not leaders[2] & leaders[3] and leaders[3] & leaders[4] and leaders[1] & leaders[2]
 
 
+def test_estimate_keeps_pairs_five_errors_low(spark):
+    a = list(range(64))
+    rows = [(1, 400, a), *((100 - k, 400, [*range(k), *range(1000, 1064 - k)]) for k in (30, 36, 37, 39))]
+    rows = [(n, size, v if n == 1 else [*v[: 100 - n], *(x - 1000 + 64 for x in v[100 - n :])]) for n, size, v in rows]
+    # the union's 64 smallest values are a's; so many of them are the other's too
+    pairs = spark.createDataFrame([(1, n) for n, _, _ in rows[1:]], "a long, b long")
+    sketches = spark.createDataFrame(rows, "node long, n long, values array<long>")
+    assert sorted(100 - r.b for r in minhash._estimated(pairs, sketches, 0.8, 64).collect()) == [36, 37, 39]
+
+
 def test_null_id_leads_no_list(spark):
     draw = random.Random(7)
     base = [f"w{draw.randrange(500)}" for _ in range(60)]
