@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, chat, fingerprint, html_main, minhash, mixing, quality, repair, suffix_dedup, vectors
+from . import bpe, chat, fingerprint, html_main, manifest, minhash, mixing, neighbours, phrases, quality, repair, suffix_dedup, vectors
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,113 @@ def induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_chain_field_main_text")
 def chain_field_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(read_table(spark, sf_dir, "pages"))
+
+
+_SHIFT = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"  # the reversed CRC-32 polynomial
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of ASCII text in SQL that has no such function: a table of 256 entries, made by shifting eight times."""
+    table = "range(256)"
+    for _ in range(8):
+        table = f"list_transform({table}, lambda x: {_SHIFT})"
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    step = f"xor(c >> 8, ({table})[CAST(xor(c & 255, b) AS BIGINT) + 1])"
+    return f"xor(list_reduce({codes}, lambda c, b: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+_FIELD = "CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+_LEAF = " || ".join(_FIELD.format(x=x) for x in ("doc_id", "source", "lang", "n_chars"))
+
+
+@query(
+    "op11_concatenated_levels",
+    f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, sha256({_LEAF} || {_FIELD.format(x="text")}) AS leaf,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN sha256({_LEAF} || {_FIELD.format(x="replace(text, chr(10), '')")})
+    END AS changed,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM documents
+), t AS (
+  SELECT source, 0 AS level, pos, leaf AS node, n FROM d
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3 FROM t WHERE n > 1
+  GROUP BY source, level, pos // 3, n
+), s AS (
+  SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS level, pos, subroot AS node, n FROM s
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY level, pos // 3, n
+), up AS (
+  SELECT a.source, a.level, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM t a JOIN t b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.pos // 3 = b.pos // 3
+  WHERE a.n > 1 GROUP BY a.source, a.level, a.pos
+), over_s AS (
+  SELECT a.level, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM u a JOIN u b ON a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.level, a.pos
+), paths AS (
+  SELECT d.doc_id, up.level, up.l, up.r FROM d JOIN up ON d.source IS NOT DISTINCT FROM up.source AND up.pos = d.pos // CAST(pow(3, up.level) AS BIGINT)
+  UNION ALL
+  SELECT d.doc_id, 1000 + o.level, o.l, o.r FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+  JOIN over_s o ON o.pos = s.pos // CAST(pow(3, o.level) AS BIGINT)
+), p AS (
+  SELECT doc_id, list({{'l': l, 'r': r}} ORDER BY level) AS path, string_agg(l || r, '' ORDER BY level) AS siblings FROM paths GROUP BY doc_id
+), folding AS (
+  SELECT d.doc_id, 1 AS step, coalesce(changed, leaf) AS node, path FROM d LEFT JOIN p USING (doc_id)
+  UNION ALL
+  SELECT doc_id, step + 1, sha256(path[step].l || node || path[step].r), path FROM folding WHERE step <= len(path)
+), f AS (SELECT doc_id, arg_max(node, step) AS folded_root FROM folding GROUP BY doc_id)
+SELECT d.doc_id, d.leaf, s.subroot, u.node AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256, f.folded_root, f.folded_root = u.node AS verified
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN u ON u.n = 1 JOIN f USING (doc_id) LEFT JOIN p USING (doc_id)
+""",
+)
+def concatenated_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    docs = read_table(spark, sf_dir, "documents")
+    return manifest.manifest(docs, tampered={"text": F.replace("text", F.lit("\n"), F.lit(""))}, tampered_where=even)
+
+
+@query(
+    "op12_dynamic_itemset_phrases",
+    r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS words FROM pieces
+), g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(words) - m + 2), lambda i: array_to_string(words[i:i + m - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m)
+), f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+t AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (
+  SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS words, unnest(range(1, m)) AS k FROM f WHERE m > 1
+), cuts AS (
+  SELECT c.lang, c.phrase, c.m, c.a, c.k, l.f AS l, r.f AS r, t.n,
+    (CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:c.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[c.k + 1:c.m], ' ') JOIN t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f q WHERE q.lang = b.lang AND q.m > b.m AND 100 * q.f >= 100 * b.a
+    AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' '))
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+""",
+)
+def dynamic_itemset_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"), threshold=100, longest=5, most=2000)
+
+
+@query("op13_cross_polytope_neighbours")
+def cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read_table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0, k=10)
