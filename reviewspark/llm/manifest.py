@@ -21,10 +21,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import numbered, saved
 
 ARITY = 3
 LEVELS = 5
@@ -48,18 +48,8 @@ def leaf(fields: Sequence[Column]) -> Column:
 
 def _placed(rows: DataFrame, order: Sequence[str], label: str) -> DataFrame:
     """Adds pos, the place of a row in its key's order from 0, and height, the levels above the key's nodes."""
-    dealt = rows.repartitionByRange("key", *order).sortWithinPartitions("key", *order)
-    dealt = saved(dealt.withColumn("line", F.monotonically_increasing_id()), label)
-    # a line number is the task's number and the place of the row in it
-    dealt = dealt.withColumn("task", F.shiftright("line", 33))
-    runs = dealt.groupBy("key", "task").agg(F.min("line").alias("first_line"), F.count("*").alias("n"))
-    in_key = Window.partitionBy("key")
-    before = in_key.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.sum("n").over(in_key)
-    height = sum((F.when(size > ARITY**k, 1).otherwise(0) for k in range(39)), F.lit(0))
-    runs = runs.select("key", "task", "first_line", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), height.alias("height"))
-    met = dealt.join(runs, ["key", "task"])
-    return met.withColumn("pos", F.col("before") + F.col("line") - F.col("first_line")).drop("task", "line", "first_line", "before")
+    height = sum((F.when(F.col("group_rows") > ARITY**k, 1).otherwise(0) for k in range(39)), F.lit(0))
+    return numbered(rows, ["key"], order, label).withColumn("height", height).drop("group_rows")
 
 
 def _parents(level: Column) -> Column:

@@ -9,8 +9,9 @@ together in one small job per step.
 
 Rates become whole copies by systematic rounding along (source, size): the running sum of rates is rounded, and a document
 takes what its rate adds to it. Sizes ascend along the sum, so the words taken differ from the target by less than the
-longest document of the source; of `OFFSETS` starting points of the sum each source uses the one that comes nearest. Positions within a source and size are counted in cells of about `CELL` documents, so a
-group of copies that holds a third of all rows is spread over many tasks.
+longest document of the source; of `OFFSETS` starting points of the sum each source uses the one that comes nearest. Places
+within a source and size follow a hash of the id and come from one range exchange, so a group of copies, of repeated ids or
+of rows without id that holds a third of all rows is spread over many tasks.
 
 Sums that decide are exact (decimals, integers), so reruns agree in any partitioning.
 
@@ -25,10 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import saved
+from .common import numbered, packed, saved, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
-CELL = 200
 OFFSETS = 64
 STEPS = 60
 UNIT = 1_000_000_000  # rates are kept in billionths
@@ -106,46 +106,53 @@ def _offsets(bins: DataFrame) -> DataFrame:
     return totals.groupBy("source_no").agg(best.alias("best")).select("source_no", F.col("best.offset").alias("offset"))
 
 
-def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
-    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-) -> DataFrame:
-    """Per document: id, size, source_size, target (of its source), copies, taken."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
-    narrow = saved(narrow, "mix-sizes")
+def _copies(narrow: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """Adds source_size, target and copies. ``narrow``: row_no, id, source, size, already written."""
     counts = saved(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
     sources = checkpoint(source_targets(counts, weights, share, cap))
     same = F.col("c.source").eqNullSafe(F.col("s.source"))
-    numbered = checkpoint(counts.alias("c").join(sources.alias("s"), same).select("s.source_no", "c.source", "size", "n"))
-    solved = multipliers(numbered.where("size > 0").select("source_no", "size", "n"), sources, cap)
-    rated = numbered.join(solved, "source_no", "left")
+    listed = checkpoint(counts.alias("c").join(sources.alias("s"), same).select("s.source_no", "c.source", "size", "n"))
+    solved = multipliers(listed.where("size > 0").select("source_no", "size", "n"), sources, cap)
+    rated = listed.join(solved, "source_no", "left")
     rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("full"), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("lam") * F.col("size") / F.col("scale"))))
     rated = rated.withColumn("rate", F.round(rate * UNIT).cast("bigint"))
     along = Window.partitionBy("source_no").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     bins = rated.withColumn("before", F.coalesce(F.sum((F.col("n") * F.col("rate")) % UNIT).over(along), F.lit(0)) % UNIT)
-    bins = bins.withColumn("cells", F.ceil(F.col("n") / CELL)).join(sources.select("source_no", "source_size", "target"), "source_no")
-    bins = checkpoint(bins.select("source", "source_no", "size", "n", "rate", "before", "cells", "source_size", "target"))
+    bins = bins.join(sources.select("source_no", "source_size", "target"), "source_no")
+    bins = checkpoint(bins.select("source", "source_no", "size", "n", "rate", "before", "source_size", "target"))
     bins = bins.join(_offsets(bins), "source_no")
     same = F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.size") == F.col("b.size"))
-    placed = narrow.alias("d").join(bins.alias("b"), same).select("d.id", "b.source_no", "d.size", "rate", "before", "offset", "source_size", "target", F.pmod(F.xxhash64("d.id"), "cells").alias("cell"))
-    placed = saved(placed, "mix-cells")
-    cells = placed.groupBy("source_no", "size", "cell").agg(F.count("*").alias("in_cell"))
-    in_order = Window.partitionBy("source_no", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("first", F.coalesce(F.sum("in_cell").over(in_order), F.lit(0))).drop("in_cell")
-    key = ["source_no", "size", "cell"]
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("id")) - 1
-    ranked = placed.withColumn("k", rank).join(cells, key)
-    upto = lambda k: F.expr(f"(before + (first + {k}) * rate + offset) div {UNIT}")
-    copies = (upto("k + 1") - upto("k")).cast("bigint")
+    placed = narrow.alias("d").join(bins.alias("b"), same).select("d.id", "d.row_no", F.xxhash64("d.id").alias("draw"), "b.source_no", "d.size", "rate", "before", "offset", "source_size", "target")
+    # row numbers only tell rows of one id apart, whichever of them is taken
+    ranked = numbered(placed, ["source_no", "size"], ["draw", "id", "row_no"], "mix-places")
+    upto = lambda pos: F.expr(f"(before + {pos} * rate + offset) div {UNIT}")
+    copies = (upto("(pos + 1)") - upto("pos")).cast("bigint")
     ranked = ranked.withColumn("copies", copies)
-    return ranked.select(F.col("id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return ranked.select("row_no", "id", "size", "source_size", F.col("target").cast("double").alias("target"), "copies")
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """The mixed corpus: every row as often as its copies. Ids are unique or repeated rows are alike in text and source."""
-    plan = mix(docs, id_col=id_col, **kwargs).groupBy(F.col(id_col).alias("mix_id")).agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows"))
-    joined = docs.join(plan, docs[id_col].eqNullSafe(F.col("mix_id")))
-    # rows that share an id share its copies
-    each = F.when(F.col("mix_rows") == 1, F.col("mix_copies")).otherwise(F.round(F.col("mix_copies") / F.col("mix_rows"))).cast("int")
-    again = joined.withColumn("mix_repeat", F.explode(F.sequence(F.lit(1), F.greatest(each, F.lit(1))))).where(each > 0)
-    return again.select(*[docs[c] for c in docs.columns])
+def _sizes(id_col: str, source_col: str, text_col: str) -> list[Column]:
+    return [
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
+        word_count(F.col(f"`{text_col}`").cast("string")).alias("size"), F.monotonically_increasing_id().alias("row_no"),
+    ]
+
+
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """Per document: id, size, source_size, target (of its source), copies, taken."""
+    ranked = _copies(saved(docs.select(*_sizes(id_col, source_col, text_col)), "mix-sizes"), weights, share, cap)
+    return ranked.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply_mix(
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """The mixed corpus: every row as often as its copies. Rows are told apart by number, so ids may repeat or be null."""
+    rows = saved(packed(docs, *_sizes(id_col, source_col, text_col), text_col=text_col), "mix-rows")
+    plan = _copies(rows.select("row_no", "id", "source", "size"), weights, share, cap).where("copies > 0").select("row_no", "copies")
+    again = rows.join(plan, "row_no").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return unpacked(again, docs.columns, text_col)
