@@ -29,6 +29,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,9 +111,8 @@ def active_phrases(words: Words, since: np.ndarray, step: int, shards: int, long
             yield length, at, (h[at] & slots).astype(np.int32), first_step[at], counts
 
 
-def _scan(shard: DataFrame, since: np.ndarray, step: int, shards: int, longest: int) -> DataFrame:
-    """(lang, phrase, length, slot, first_step, c) of one shard, per batch."""
-    shared = shard.sparkSession.sparkContext.broadcast(since)
+def _scan(shard: DataFrame, shared: Broadcast, step: int, shards: int, longest: int) -> DataFrame:
+    """(lang, phrase, length, slot, first_step, c) of one shard, per batch. ``shared``: the steps of all slots."""
     names = ["lang", "phrase", "length", "slot", "first_step", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,13 +143,15 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
     corpus = spark.read.schema("lang string, text string, shard int").parquet(path)
     since = np.full(slots, _NEVER, np.uint8)
     summed = [F.any_value(x).alias(x) for x in ("length", "slot", "first_step")] + [F.sum("c").alias("c")]  # three follow from the phrase
-    open_counts, done, totals, step, news = None, [], [], 0, 0
+    open_counts, done, totals, step, news = None, [], None, 0, 0
     while step < news + shards:  # a phrase that became active at step `news` is complete one cycle later
-        counted = saved(_scan(corpus.where(F.col("shard") == step % shards), since, step, shards, longest).groupBy("lang", "phrase").agg(*summed), "phrases-step")
-        if step < shards:
-            totals.append(counted.where("length = 1").groupBy("lang").agg(F.sum("c").alias("n")))
-        merged = counted if open_counts is None else open_counts.unionByName(counted).groupBy("lang", "phrase").agg(*summed)
-        merged = merged if open_counts is None else saved(merged, "phrases-open")
+        shared = spark.sparkContext.broadcast(since)
+        counted = _scan(corpus.where(F.col("shard") == step % shards), shared, step, shards, longest)
+        merged = counted if open_counts is None else open_counts.unionByName(counted)
+        merged = saved(merged.groupBy("lang", "phrase").agg(*summed), "phrases-step")
+        shared.destroy()
+        if step == shards - 1:  # all words have been counted once
+            totals = merged.where("length = 1").groupBy("lang").agg(F.sum("c").alias("n"))
         reached = merged.where((F.col("c") >= threshold) & (F.col("length") < longest)).select("slot").distinct().toArrow()
         fresh = reached["slot"].to_numpy()
         fresh = fresh[since[fresh] == _NEVER]
@@ -160,12 +162,10 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
         complete = F.col("first_step") + shards <= step
         done.append(merged.where(complete & (F.col("c") >= threshold)).select("lang", "phrase", "length", F.col("c").alias("f")))
         open_counts = merged.where(~complete)
-    phrases, sums = done[0], totals[0]
+    phrases = done[0]
     for more in done[1:]:
         phrases = phrases.unionByName(more)
-    for more in totals[1:]:
-        sums = sums.unionByName(more)
-    return saved(phrases, "phrases-frequent"), saved(sums.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
+    return saved(phrases, "phrases-frequent"), saved(totals, "phrases-totals")
 
 
 def _cut_scores(phrases: DataFrame, totals: DataFrame) -> DataFrame:
