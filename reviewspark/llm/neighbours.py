@@ -247,7 +247,8 @@ def search(
     # the angle to the k-th vector found; beyond half a turn where fewer are found than there are
     seen = found.groupBy("query_id").agg(F.count("*").alias("found"), F.max("angle").alias("angle"))
     far = queries.join(seen, queries["id"] == seen["query_id"], "left")
-    far = far.withColumn("angle", F.when(F.coalesce("found", F.lit(0)) >= F.least(F.lit(k), F.col("n") - 1), F.col("angle")).otherwise(F.lit(4.0)))
+    enough = F.col("found") >= F.least(F.lit(k), F.col("n") - 1)
+    far = far.withColumn("angle", F.coalesce(F.when(enough, F.col("angle")), F.lit(4.0)))
     probing = saved(_coded(far, tables, ("recall", recall)), "neighbour-more-probes")
     probing = probing.where(F.size("codes") > tables * F.ceil(F.lit(first_share) * _buckets(F.col("size"), F.col("reach"))))
     found = _best(found.drop("rank").unionByName(_met(index, _dealt(probing, tables), k, block, asks)), k)

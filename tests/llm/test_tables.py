@@ -96,11 +96,45 @@ def test_repeated_null_and_no_documents(spark):
     assert minhash.near_duplicates(table.limit(0)).count() == 0
 
 
-def test_near_one_leader_in_different_rounds_is_not_compared(spark):
-    kind = "round int, leader long, node long"
-    nears = [spark.createDataFrame([(0, 1, 2)], kind), spark.createDataFrame([(1, 1, 3), (1, 1, 4)], kind)]
-    leaders = {r.node: set(r.leaders) for r in minhash._homes(nears).collect()}
-    assert not leaders[2] & leaders[3] and leaders[3] & leaders[4] and leaders[1] & leaders[2]
+def near_copies(size, seed, spread):
+    """Copies of one text with a number of own edits each, so that most link and some do not."""
+    draw = random.Random(seed)
+    base = [f"w{draw.randrange(900)}" for _ in range(150)]
+    texts = []
+    for _ in range(size):
+        copy = list(base)
+        for _ in range(draw.choice(spread)):
+            copy[draw.randrange(150)] = f"x{draw.randrange(40)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize(("width", "block"), [(2, 1024), (2, 40), (5, 1024), (5, 40)])
+def test_hot_group_in_one_task_and_in_blocks(spark, monkeypatch, width, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    texts = near_copies(300, width, [0, 1, 2, 3, 4, 6, 8] if width == 5 else [2, 6, 9, 12, 16])
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table, width, 0.8).collect()}
+    sets = [shingle_set(t, width) for t in texts]
+    expected = plain_components(len(sets), [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert [got[i] for i in range(len(texts))] == expected
+    assert 1 < len(set(expected)) < 300
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_pairs_grow_with_a_group_not_with_its_square(spark, monkeypatch, width):
+    made, plain = [], minhash._pairs_of_lists
+
+    def counted(lists, groups, threshold):
+        pairs = plain(lists, groups, threshold)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_pairs_of_lists", counted)
+    for size in (150, 1500):
+        texts = near_copies(size, 3, [0, 1, 2, 3, 5])
+        minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width, 0.8).count()
+    assert made[1] <= 20 * max(made[0], 75)
 
 
 def test_estimate_keeps_pairs_five_errors_low(spark):
@@ -356,6 +390,23 @@ def test_apply_mix_repeats_rows(spark):
     assert got.columns == table.columns and counts == plan
 
 
+def test_apply_mix_meets_targets_without_ids(spark):
+    draw = random.Random(9)
+    rows = [(None if k % 2 else k % 50, " ".join(["w"] * draw.choice([3, 40, 40, 90])), "abc"[k % 7 % 3], k) for k in range(700)]
+    rows.append((None, "very long " * 100_000, "a", 0))
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_id long")
+    plan = mixing.mix(table).collect()
+    got = mixing.apply_mix(table).withColumn("size", mixing.word_count(F.col("text"))).groupBy("source").agg(F.sum("size").alias("taken"), F.max("mix_id").alias("most"))
+    taken = {r.source: r.taken for r in got.collect()}
+    totals = {s: sum(len(t.split()) for _, t, x, _ in rows if x == s) for s in "abc"}
+    targets = {r.source_size: (r.target, sum(x.taken for x in plan if x.source_size == r.source_size)) for r in plan}
+    for s in "abc":
+        target, planned = targets[totals[s]]
+        assert taken[s] == planned
+        assert abs(planned - target) <= (200_000 if s == "a" else 90)
+    assert sorted(r.copies for r in plan if r.size == 40) == sorted(r.copies for r in mixing.mix(table.repartition(5)).collect() if r.size == 40)
+
+
 # -- pipeline -----------------------------------------------------------------------------------------
 
 
@@ -385,13 +436,54 @@ def test_stages_keep_columns_and_clean_documents(spark, sf_dir, tmp_path):
         before, docs = ids, out
 
 
+def run_stages(spark, docs, sf_dir):
+    """What each stage returns, written down before the next."""
+    out = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.saved(stage(spark, docs, sf_dir), "test-stage")
+        out.append(docs)
+    return out
+
+
 def test_stages_take_empty_tables_and_nulls(spark, sf_dir):
     kind = "doc_id long, text string, lang string, source string, n_chars long"
-    for rows in ([], [(None, None, None, None, None), (1, None, "x", None, 3), (1, "words and words", None, "s", None), (1, "words and words", None, "s", None)]):
-        docs = spark.createDataFrame(rows, kind)
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, sf_dir)
-        assert docs.count() >= 0
+    for stage in run_stages(spark, spark.createDataFrame([], kind), sf_dir):
+        assert stage.count() == 0
+    rows = [(None, None, None, None, None), (1, None, "x", None, 3), (1, "words and words", None, "s", None), (1, "words and words", None, "s", None)]
+    counts = [stage.count() for stage in run_stages(spark, spark.createDataFrame(rows, kind), sf_dir)]
+    # short texts pass; the repeated row goes; nothing repeats over 200 bytes; rows without words go, the other comes up to twice
+    assert counts[:3] == [4, 3, 3] and counts[3] == counts[4] and counts[3] in (1, 2)
+
+
+CLASHING = (
+    "score", "n_bytes", "kept_text", "kept_sha256", "mix_id", "row_no", "row", "id", "size", "copies", "node", "component_id", "key", "n_tokens",
+    "target", "pos", "_line", "copy", "label", "n_removed", "runs", "_runs", "_text", "order", "draw", "before", "held_out", "source_no", "rate",
+)
+
+
+def test_stages_carry_columns_of_any_name(spark, sf_dir):
+    draw = random.Random(21)
+    text = lambda n: " ".join(f"word{draw.randrange(4000)}" for _ in range(n))
+    shared = text(60)
+    rows = [(k, text(80), "en", "s" if k % 3 else "t", 9) for k in range(40)]
+    rows += [(100 + k, f"{text(50)} {shared} {text(50)}", "en", "s", 9) for k in range(3)] + [(None, rows[0][1], "en", "s", 9), (200, "", "en", None, 0)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    more = plain
+    for name in CLASHING:
+        more = more.withColumn(name, F.coalesce(F.col("doc_id"), F.lit(-1)))
+    plain_out, out = run_stages(spark, plain, sf_dir), run_stages(spark, more, sf_dir)
+    for k in range(4):
+        assert out[k].columns == more.columns
+        got = out[k].collect()
+        assert all(r[name] == (-1 if r.doc_id is None else r.doc_id) for r in got for name in CLASHING)
+        assert sorted((repr(tuple(r)[:5]) for r in got)) == sorted(repr(tuple(r)) for r in plain_out[k].collect())
+    assert [stage.count() for stage in plain_out[:3]] == [45, 44, 44]
+    # the shared passage is cut from all three, and nothing else
+    cut = [r for r in plain_out[2].collect() if r.doc_id is not None and 100 <= r.doc_id < 103]
+    assert len(cut) == 3 and all(len(r.text.split()) <= 102 and shared not in r.text and r.n_chars == len(r.text) for r in cut)
+    whole = {r[0]: r[1] for r in rows if r[0] is not None and r[0] < 100}
+    assert {r.doc_id: r.text for r in plain_out[2].collect() if r.doc_id is not None and r.doc_id < 100} == whole
+    assert sorted(r.n_tokens for r in plain_out[4].collect()) == sorted(r.n_tokens for r in out[4].collect())
 
 
 def test_one_row_of_each_group_goes_on(spark, sf_dir):
