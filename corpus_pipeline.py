@@ -52,8 +52,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     beyond a sentence that documents share by chance. Null texts become empty; repeated rows and equal texts are documents
     of their own, so of them nothing is left; an empty table gives an empty table.
     """
-    rows = saved(packed(docs, F.monotonically_increasing_id().alias("row_no")), "pipeline-rows")
-    kept = suffix_dedup.remove_repeats(rows, REPEAT_BYTES, id_col="row_no", keep_text=True)
+    rows = packed(docs, F.col("doc_id").alias("id"))
+    kept = suffix_dedup.remove_repeats(rows, REPEAT_BYTES, id_col="id", keep_text=True)
     return unpacked(kept, docs.columns, text=F.col("kept_text"), n_chars=F.char_length("kept_text").cast("bigint"))
 
 
