@@ -9,14 +9,19 @@ article that later ones are compared with. The jobs below give the result of tha
 * Targets that differ only in words found nowhere else score alike, so only the first of them is compared.
 * Candidates come from an equi-join on prefix words (Chaudhuri et al. 2006, Xiao et al. 2008): sets with Jaccard
   above t share a word among the first |x| - ceil(t|x|) + 1 of any common word order. Rare words come first. Each
-  branch of the rule has its own title threshold and, where authors matter, an author word in the key.
-* Fates resolve in rounds. An open signature is kept when no earlier open one is a sure match; sure matches of
-  newly kept ones are closed. Both checks are semi-joins, so the pairs inside a group of near copies are not
-  produced.
+  branch of the rule has its own title threshold and, where authors matter, the hash slot of an author's prefix word
+  in the key. Index rows are narrow: a hashed key, the signature's number, the sizes and the word's position. Sizes
+  and positions drop most pairs in the join; each pair that is left is fetched with its words and verified once.
+* Pairs of a key that holds many rows on both sides are cut into a grid of tasks.
+* Fates: an open signature that is a sure match of the first one of a key of its own only waits, so the members of a
+  group of near copies meet its first one, not each other. The others are compared with what is before them and are
+  kept if nothing matches; sure matches of newly kept ones are closed. What is open after that is settled along its
+  connected matches (`fates`), in a number of rounds that does not grow with the length of chains.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +30,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..session import checkpoint
-from . import skew
+from . import fates, skew
 from .exact import CONFIRMED
 
 # The thresholds and reasons of the near-duplicate rule.
@@ -39,7 +44,10 @@ REVIEW = "Needs Review"
 
 # Word frequencies are kept per hash bucket, so the table that orders words has a fixed size.
 FREQUENCY_BUCKETS = 8192
+AUTHOR_SLOTS = 32
 ROWS_PER_TASK = 200_000
+PAIRS_PER_TASK = 400_000_000
+SIDE_PER_TASK = 20_000
 SIGNATURE = ["title_words", "author_words"]
 
 
@@ -70,16 +78,19 @@ def _similarity(words: str) -> Column:
     return tx.jaccard(F.col(words), F.col(f"r_{words}"))
 
 
-def scores_above(least: float) -> Column:
-    """Join condition: the pair scores above ``least``. Each similarity is worked out once, the authors' one only
-    when the titles are close enough for any branch."""
+def match_above(least: float) -> Column:
+    """The pair's (score, reason) in an array, empty unless it scores above ``least``. Each similarity is worked out
+    once, the authors' one only when the titles are close enough for any branch."""
 
-    def by_authors(title: Column) -> Column:
-        authors = F.array(_similarity("author_words"))
-        return F.exists(authors, lambda author: rule(title, author, F.col("r_no_year"))[0] > least)
+    def by_title(title: Column) -> Column:
+        def matched(author: Column) -> Column:
+            score, reason = rule(title, author, F.col("r_no_year"))
+            return F.struct(score.alias("score"), reason.alias("reason"))
 
-    titles = F.array(_similarity("title_words"))
-    return F.exists(titles, lambda title: (title > TITLE_MEDIUM) & by_authors(title))
+        return F.transform(F.array(_similarity("author_words")), matched)
+
+    titles = F.filter(F.array(_similarity("title_words")), lambda title: title > TITLE_MEDIUM)
+    return F.filter(F.flatten(F.transform(titles, by_title)), lambda m: m["score"] > least)
 
 
 # -- candidate keys ------------------------------------------------------------------------------------
@@ -115,65 +126,99 @@ def _prefix(ordered: Column, tenths: int) -> Column:
     return F.slice(ordered, 1, size - needed + 1)
 
 
-def _both(tag: str, titles: Column, authors: Column) -> Column:
-    pairs = F.transform(titles, lambda t: F.transform(authors, lambda a: F.concat_ws("\x1f", F.lit(tag), t, a)))
-    return F.flatten(pairs)
+# Branches of the rule: tag, tenths of the title threshold, tenths of the author threshold.
+BRANCHES = {"year": (8, 0), "both": (5, 7), "author": (8, 5)}
 
 
-def with_keys(df: DataFrame, frequencies: Column) -> DataFrame:
-    """One row per candidate key. ``no_year`` marks targets without a year; null marks both roles at once."""
-    ordered = df.withColumn("_t", _rare_first("title_words", frequencies)).withColumn(
-        "_a", _rare_first("author_words", frequencies)
-    )
+def _index_rows(tag: str, titles: Column, authors: Column | None) -> Column:
+    """Array of (key, at, title_tenths, author_tenths), one per title word of the prefix and author slot."""
+    tenths, author_tenths = BRANCHES[tag]
+
+    def row(word: Column, at: Column, slot: Column) -> Column:
+        key = F.xxhash64(F.lit(tag), word, slot)
+        columns = {"key": key, "at": at, "title_tenths": F.lit(tenths), "author_tenths": F.lit(author_tenths)}
+        return F.struct(*[c.alias(name) for name, c in columns.items()])
+
+    if authors is None:
+        return F.transform(titles, lambda t, at: row(t, at, F.lit(0).cast("bigint")))
+    slots = F.array_distinct(F.transform(authors, lambda a: F.pmod(F.xxhash64(a), F.lit(AUTHOR_SLOTS))))
+    return F.flatten(F.transform(titles, lambda t, at: F.transform(slots, lambda slot: row(t, at, slot))))
+
+
+def index_rows(signatures: DataFrame, frequencies: Column) -> DataFrame:
+    """The candidate index: num, ord, sizes t and a, and one row per key. At most `AUTHOR_SLOTS` rows per title word.
+
+    ``no_year`` marks targets without a year; null marks both roles at once.
+    """
+    titles, authors = _rare_first("title_words", frequencies), _rare_first("author_words", frequencies)
+    sizes = [F.size("title_words").alias("t"), F.size("author_words").alias("a")]
+    ordered = signatures.select("num", "ord", "no_year", *sizes, titles.alias("_t"), authors.alias("_a"))
     high, medium = _prefix(F.col("_t"), 8), _prefix(F.col("_t"), 5)
     loose, strict = _prefix(F.col("_a"), 5), _prefix(F.col("_a"), 7)
-    same_year = F.concat(
-        F.transform(high, lambda t: F.concat_ws("\x1f", F.lit("year"), t)),
-        _both("both", medium, strict),
-    )
-    other_year = _both("author", high, loose)
+    same_year = F.concat(_index_rows("year", high, None), _index_rows("both", medium, strict))
+    other_year = _index_rows("author", high, loose)
     keys = (
         F.when(F.col("no_year").isNull(), F.concat(same_year, other_year))
         .when(F.col("no_year"), same_year)
         .otherwise(other_year)
     )
-    return ordered.withColumn("key", F.explode(keys)).drop("_t", "_a")
+    return ordered.select("num", "ord", "t", "a", F.inline(keys))
 
 
-def crowded_keys(sources: DataFrame) -> DataFrame | None:
-    """Candidate keys whose leftovers have to be spread over tasks, or None when there are none."""
-    counts = sources.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return skew.crowded(counts, "key", "n", ROWS_PER_TASK)
+def _as_target(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"r_{c}") for c in df.columns])
 
 
-def similar_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    hot: DataFrame | None,
-    how: str,
-    least: float = POSSIBLE,
-    extra: Column | None = None,
-) -> DataFrame:
-    """Join keyed leftovers with keyed targets (columns prefixed r_), verifying the rule inside the join.
+def _could_match() -> Column:
+    """Whether two rows of a key can belong to a pair that passes the key's branch, by sizes and position.
 
-    An inner join adds score and reason; a pair may come once per key it shares.
+    Words at the positions ``at`` are the first shared ones in the row of a pair that counts; so no more words than are
+    left from there can be shared.
     """
-    close_sizes = (F.size("title_words") * 2 >= F.size("r_title_words")) & (
-        F.size("r_title_words") * 2 >= F.size("title_words")
-    )
-    test = close_sizes if extra is None else extra & close_sizes
-    joined = skew.salted_join(left, right, "key", hot, F.col("sid"), how, test & scores_above(least))
-    if how == "left_semi":
-        return joined
-    scored = joined.withColumn("title_score", _similarity("title_words")).withColumn(
-        "author_score", _similarity("author_words")
-    )
-    score, reason = rule(F.col("title_score"), F.col("author_score"), F.col("r_no_year"))
-    return scored.withColumn("score", score).withColumn("reason", reason).drop("title_score", "author_score")
 
+    def shares_enough(size: str, tenths: str) -> Column:
+        enough = F.least(size, f"r_{size}") * 10 > F.greatest(size, f"r_{size}") * F.col(tenths)
+        return (F.col(tenths) == 0) | enough
+
+    left = F.least(F.col("t") - F.col("at"), F.col("r_t") - F.col("r_at"))
+    title = left * (F.col("title_tenths") + 10) > (F.col("t") + F.col("r_t")) * F.col("title_tenths")
+    return title & shares_enough("t", "title_tenths") & shares_enough("a", "author_tenths")
 
-def _as_target(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c) if c == "key" else F.col(c).alias(f"r_{c}") for c in df.columns])
+
+def candidates(left: DataFrame, right: DataFrame, hot: DataFrame | None, extra: Column | None = None) -> DataFrame:
+    """Distinct pairs (num, r_num) of index rows that share a key and can match."""
+    test = _could_match() if extra is None else extra & _could_match()
+    met = skew.grid_join(left, _as_target(right), "key", hot, F.col("num"), F.col("r_num"), test)
+    return met.select("num", "r_num").distinct()
+
+
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float = POSSIBLE) -> DataFrame:
+    """The pairs that score above ``least``, with the columns of both signatures, score and reason."""
+    met = pairs.join(left, "num").join(_as_target(right), "r_num")
+    return met.select(*[c for c in met.columns if not c.endswith("_words")], F.inline(match_above(least)))
+
+
+@dataclass
+class Matcher:
+    """Numbered signatures of leftovers and of targets, with their index."""
+
+    sources: DataFrame
+    targets: DataFrame
+    source_index: DataFrame
+    target_index: DataFrame
+
+    def target_matches(self) -> DataFrame:
+        hot = skew.crowded_pairs(self.source_index, self.target_index, "key", PAIRS_PER_TASK, SIDE_PER_TASK)
+        return verified(candidates(self.source_index, self.target_index, hot), self.sources, self.targets)
+
+
+def _without_year() -> Column:
+    """Index rows of the branches for targets without a year, such as other leftovers."""
+    return F.col("author_tenths") != BRANCHES["author"][1]
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return checkpoint(df.withColumn("num", F.monotonically_increasing_id()))
 
 
 # -- the pass ------------------------------------------------------------------------------------------
@@ -253,19 +298,15 @@ def first_of_equal_targets(sources: DataFrame, targets: DataFrame) -> DataFrame:
     return marked.groupBy(*classes, "no_year").agg(first).select("no_year", "first.*")
 
 
-def match_signatures(
-    leftovers: DataFrame, kept: DataFrame, every_target: bool = False
-) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Keyed leftover signatures, keyed target signatures and crowded keys, ready for ``similar_pairs``."""
-    sources = checkpoint(leftover_signatures(leftovers))
+def match_signatures(leftovers: DataFrame, kept: DataFrame, every_target: bool = False) -> Matcher:
+    sources = _numbered(leftover_signatures(leftovers))
     targets = target_signatures(kept)
     if not every_target:
         targets = first_of_equal_targets(sources, checkpoint(targets))
-    targets = checkpoint(targets)
+    targets = _numbered(targets)
     frequencies = word_frequencies(sources, targets)
-    unknown = F.lit(None).cast("boolean")
-    sources = checkpoint(with_keys(sources.withColumn("no_year", unknown), frequencies).drop("no_year"))
-    return sources, _as_target(with_keys(targets, frequencies)), crowded_keys(sources)
+    both_roles = sources.withColumn("no_year", F.lit(None).cast("boolean"))
+    return Matcher(sources, targets, checkpoint(index_rows(both_roles, frequencies)), checkpoint(index_rows(targets, frequencies)))
 
 
 def _members(articles: DataFrame, signatures: DataFrame, by: list[str], member: str, sid: str) -> DataFrame:
@@ -280,8 +321,8 @@ def fuzzy_match(leftovers: DataFrame, kept: DataFrame) -> DataFrame:
     Signatures are matched; at the end every article of a signature gets the matches of its signature.
     """
     leftovers, kept = with_words(leftovers), with_words(kept)
-    sources, targets, hot = match_signatures(leftovers, kept, every_target=True)
-    edges = similar_pairs(sources, targets, hot, "inner").select("sid", "r_sid", "score", "reason").distinct()
+    edges = match_signatures(leftovers, kept, every_target=True).target_matches()
+    edges = edges.select("sid", "r_sid", "score", "reason")
     kept = kept.filter(F.size("title_words") > 0).withColumn("no_year", F.col("year") == "")
     left = _members(leftovers, leftover_signatures(leftovers), list(SIGNATURE), "entry_id", "sid")
     right = _members(kept, target_signatures(kept), [*SIGNATURE, "no_year"], "target_id", "r_sid")
@@ -291,29 +332,44 @@ def fuzzy_match(leftovers: DataFrame, kept: DataFrame) -> DataFrame:
 def best_match(leftovers: DataFrame, kept: DataFrame) -> DataFrame:
     """Best kept article of the exact passes for each leftover article that has one."""
     leftovers = with_words(leftovers)
-    sources, targets, hot = match_signatures(leftovers, with_words(kept))
-    best = _best(similar_pairs(sources, targets, hot, "inner"), "sid")
+    best = _best(match_signatures(leftovers, with_words(kept)).target_matches(), "sid")
     members = _members(leftovers, leftover_signatures(leftovers), list(SIGNATURE), "entry_id", "sid")
     found = best.select("sid", *_match_columns(F.col("best"))).withColumnRenamed("target", "target_id")
     return members.join(found, "sid").drop("sid")
 
 
-def _resolve_open(open_rows: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Signatures among ``open_rows`` that end up kept, found round by round."""
+def _kept_of_open(open_rows: DataFrame, index: DataFrame, sources: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """The numbers among ``open_rows`` (num) that end up kept."""
+    sources = sources.select("num", "ord", *SIGNATURE)
+    alone = sources.withColumn("no_year", F.lit(True))
     earlier = F.col("r_ord") < F.col("ord")
-    kept_parts: list[DataFrame] = []
-    while True:
-        targets = _as_target(open_rows.withColumn("no_year", F.lit(True)))
-        waiting = similar_pairs(open_rows, targets, hot, "left_semi", SURE, earlier).select("sid").distinct()
-        waiting = checkpoint(waiting)
-        new = checkpoint(open_rows.join(waiting, "sid", "left_anti"))
-        kept_parts.append(new)
-        open_rows = open_rows.join(waiting, "sid", "left_semi")
-        targets = _as_target(new.withColumn("no_year", F.lit(True)))
-        closed = similar_pairs(open_rows, targets, hot, "left_semi", SURE, earlier).select("sid").distinct()
-        open_rows = checkpoint(open_rows.join(closed, "sid", "left_anti"))
-        if open_rows.isEmpty():
-            return reduce(DataFrame.unionByName, kept_parts)
+    index = checkpoint(index.where(_without_year()).join(open_rows, "num", "left_semi"))
+
+    def sure(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, sources, alone, SURE).select("num", "r_num", "ord")
+
+    # members of a group meet the first one of a key only
+    firsts = index.groupBy("key").agg(F.min(F.struct("ord", "num")).alias("first"))
+    stars = index.join(firsts, "key").where(F.col("first.ord") < F.col("ord")).select("num", F.col("first.num").alias("r_num"))
+    stars = checkpoint(sure(stars.distinct()))
+    waiting = stars.select("num").distinct()
+    free = index.join(waiting, "num", "left_anti")
+    matched = checkpoint(sure(candidates(free, index, hot, earlier)).select("num").distinct())
+    kept = checkpoint(open_rows.join(waiting, "num", "left_anti").join(matched, "num", "left_anti"))
+    rest = open_rows.join(kept, "num", "left_anti")
+    by_star = stars.join(kept.withColumnRenamed("num", "r_num"), "r_num", "left_semi").select("num").distinct()
+    rest = checkpoint(rest.join(by_star, "num", "left_anti"))
+    kept_index, rest_index = index.join(kept, "num", "left_semi"), index.join(rest, "num", "left_semi")
+    closed = sure(candidates(rest_index, kept_index, hot, earlier)).select("num").distinct()
+    rest = checkpoint(rest.join(closed, "num", "left_anti"))
+
+    # what is open now waits for one another only
+    rest_index = checkpoint(index.join(rest, "num", "left_semi"))
+    edges = sure(candidates(rest_index, rest_index, hot, earlier))
+    edges = checkpoint(edges.select(F.col("num").alias("item"), F.col("ord").alias("place"), F.col("r_num").alias("earlier")))
+    if not edges.isEmpty():
+        rest = rest.join(fates.gone(edges).withColumnRenamed("item", "num"), "num", "left_anti")
+    return checkpoint(kept.unionByName(rest))
 
 
 def near_duplicates(leftovers: DataFrame, kept: DataFrame) -> DataFrame:
@@ -323,27 +379,24 @@ def near_duplicates(leftovers: DataFrame, kept: DataFrame) -> DataFrame:
     ``kept``: entry_id, ord, pass, title_n, author_n, year of the survivors of the exact passes.
     """
     leftovers = with_words(leftovers)
-    sources, targets, hot = match_signatures(leftovers, with_words(kept))
-    first_best = _best(similar_pairs(sources, targets, hot, "inner"), "sid")
-    first_best = checkpoint(first_best)
+    match = match_signatures(leftovers, with_words(kept))
+    sources, index = match.sources, match.source_index
+    first_best = checkpoint(_best(match.target_matches(), "sid"))
 
     beaten = first_best.filter(-F.col("best.rank.neg") > SURE)
-    kept_new = _resolve_open(sources.join(beaten, "sid", "left_anti"), hot)
-    kept_new = kept_new.withColumn("no_year", F.lit(True)).withColumn("pass", F.lit(3))
-    later_edges = checkpoint(
-        similar_pairs(
-            sources,
-            _as_target(kept_new),
-            hot,
-            "inner",
-            POSSIBLE,
-            (F.col("sid") != F.col("r_sid")) & ((F.col("r_ord") < F.col("ord")) | (F.col("n") > 1)),
-        )
-    )
+    open_rows = checkpoint(sources.join(beaten, "sid", "left_anti").select("num"))
+    hot = skew.crowded_pairs(index, index, "key", PAIRS_PER_TASK, SIDE_PER_TASK)
+    kept_new = _kept_of_open(open_rows, index, sources, hot)
+    as_targets = sources.join(kept_new, "num", "left_semi").withColumn("no_year", F.lit(True)).withColumn("pass", F.lit(3))
+    # a signature of several articles also has later ones that meet what is kept after its first
+    several = index.join(sources.where("n > 1").select("num", F.lit(True).alias("several")), "num", "left")
+    later = (F.col("num") != F.col("r_num")) & ((F.col("r_ord") < F.col("ord")) | F.col("several"))
+    kept_index = index.where(_without_year()).join(kept_new, "num", "left_semi")
+    pairs = candidates(several.where(_without_year()), kept_index, hot, later)
+    later_edges = checkpoint(verified(pairs, sources, as_targets.drop("n")))
     before = _best(later_edges.filter(F.col("r_ord") < F.col("ord")), "sid")
     best = before.unionByName(first_best).groupBy("sid").agg(F.min("best").alias("best"))
-    signatures = sources.select("sid", "ord", "n", *SIGNATURE).distinct().join(best, "sid", "left")
-    signatures = checkpoint(signatures)
+    signatures = checkpoint(sources.select("sid", "ord", "n", *SIGNATURE).join(best, "sid", "left"))
 
     score = -F.col("best.rank.neg")
     firsts = signatures.filter(score.isNotNull()).select(F.col("sid").alias("dup_id"), "best")
@@ -371,7 +424,7 @@ def _copies(leftovers: DataFrame, signatures: DataFrame, later_edges: DataFrame)
     same = reduce(Column.__and__, [F.col(c) == F.col(f"r_{c}") for c in SIGNATURE])
     members = skew.salted_join(
         rows,
-        _as_target(sized),
+        _as_target(sized).withColumnRenamed("r_key", "key"),
         "key",
         hot,
         F.col("entry_id"),

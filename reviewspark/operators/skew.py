@@ -64,3 +64,35 @@ def salted_join(
     other = copied.withColumnRenamed(key, "_rkey").withColumnRenamed("_salt", "_rsalt")
     on = (F.col(key) == F.col("_rkey")) & (F.col("_salt") == F.col("_rsalt")) & condition
     return spread.join(other, on, how).drop("_salt", "_rkey", "_rsalt")
+
+
+def crowded_pairs(left: DataFrame, right: DataFrame, key: str, pairs_per_task: int, rows_per_task: int) -> DataFrame | None:
+    """Keys whose rows of both sides make more pairs than a task should compare, with the salts of each side."""
+    counts = left.groupBy(key).agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("m"))
+    if right is left:
+        counts = counts.withColumn("m", F.col("n"))
+    else:
+        others = right.groupBy(key).agg(F.lit(0).cast("bigint").alias("n"), F.count("*").alias("m"))
+        counts = counts.unionByName(others).groupBy(key).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    parts = lambda n: F.ceil(F.col(n) / rows_per_task).cast("int")
+    hot = checkpoint(counts.where(F.col("n") * F.col("m") > pairs_per_task).select(key, parts("n").alias("_rows"), parts("m").alias("_columns")))
+    return None if hot.isEmpty() else hot
+
+
+def grid_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, left_by: Column, right_by: Column, condition: Column) -> DataFrame:
+    """Inner join on ``key`` of two sides with no other column name in common (``right`` calls it r_``key``).
+
+    The pairs of a hot key are cut into a grid: a row of either side is in one line of it and goes to every cell of that.
+    """
+    if hot is None:
+        return left.join(right, (F.col(key) == F.col(f"r_{key}")) & condition)
+
+    def dealt(df: DataFrame, name: str, own: str, other: str, by: Column, line: str, cross: str) -> DataFrame:
+        marked = df.join(hot.withColumnRenamed(key, name), name, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in (own, other)})
+        marked = marked.withColumn(line, F.pmod(F.xxhash64(by), F.col(own).cast("bigint")).cast("int"))
+        return marked.withColumn(cross, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop(own, other)
+
+    a = dealt(left, key, "_rows", "_columns", left_by, "_i", "_j")
+    b = dealt(right, f"r_{key}", "_columns", "_rows", right_by, "_rj", "_ri")
+    on = (F.col(key) == F.col(f"r_{key}")) & (F.col("_i") == F.col("_ri")) & (F.col("_j") == F.col("_rj")) & condition
+    return a.join(b, on).drop("_i", "_j", "_ri", "_rj")

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from reviewspark.operators import dedup, exact, similar, skew
+from reviewspark.operators import dedup, exact, fates, similar, skew
 
 FIELDS = "entry_id string, ord long, source string, title string, author string, year string, doi string"
 
@@ -231,3 +231,85 @@ def test_repeated_entry_ids_are_one_article(spark):
     assert dedup.duplicate_report(articles, result.pairs).count() == 1
     counts = {r.stage: r.n for r in dedup.flow_counts(articles, result.pairs).collect()}
     assert counts["identified"] == 7 and counts["duplicates_removed"] == 1 and counts["unique"] == 3
+
+
+# -- index and fates ------------------------------------------------------------------------------------
+
+
+def sequential_fates(n, edges):
+    earlier = {}
+    for item, other in edges:
+        earlier.setdefault(item, []).append(other)
+    kept = []
+    for i in range(n):
+        kept.append(not any(kept[j] for j in earlier.get(i, [])))
+    return {i for i in range(n) if not kept[i]}
+
+
+@pytest.mark.parametrize("task_edges", [300, 200_000])
+def test_fates_equal_the_sequential_rule(spark, task_edges):
+    draw = random.Random(task_edges)
+    n = 900
+    edges = {(i, i - 1) for i in range(1, 300)} | {(i, i - 2) for i in range(2, 300)}  # a chain that only a sequence settles
+    edges |= {(i, j) for i in range(300, 340) for j in range(300, i)}  # a group of copies
+    edges |= {tuple(sorted(draw.sample(range(340, 640), 2), reverse=True)) for _ in range(500)}
+    edges |= {tuple(sorted(draw.sample(range(640, n), 2), reverse=True)) for _ in range(90)}
+    order = draw.sample(range(10_000), n)  # numbers say nothing about places
+    rows = [(order[i], i, order[j]) for i, j in edges]
+    got = fates.gone(spark.createDataFrame(rows, "item long, place long, earlier long"), task_edges).collect()
+    assert sorted(r.item for r in got) == sorted(order[i] for i in sequential_fates(n, edges))
+
+
+def test_a_chain_of_ten_thousand_titles_needs_few_rounds(spark, monkeypatch):
+    rounds, plain = [], fates._settle_bin
+    monkeypatch.setattr(fates, "checkpoint", lambda df, f=fates.checkpoint: rounds.append(1) or f(df))
+    assert plain is fates._settle_bin
+    titles = [" ".join(f"w{k}" for k in range(i, i + 12)) for i in range(10_000)]  # each a sure match of its neighbours only
+    df = spark.createDataFrame([(f"s_{i}", i, t, "", "", "") for i, t in enumerate(titles)], "entry_id string, ord long, title string, author string, year string, doi string")
+    pairs = dedup.duplicate_pairs(df)
+    gone = {r.dup_id for r in pairs.where(F.col("status") == exact.CONFIRMED).collect()}
+    assert gone == {f"s_{i}" for i in range(1, 10_000, 2)}
+    assert len(rounds) <= 3 + 4 * 20
+
+
+def test_index_rows_grow_with_the_title_not_with_the_authors(spark):
+    def rows(authors):
+        words = [f"a{k}" for k in range(authors)]
+        df = spark.createDataFrame([(0, 0, [f"t{k}" for k in range(12)], words, None)], "num long, ord long, title_words array<string>, author_words array<string>, no_year boolean")
+        index = similar.index_rows(df, similar.word_frequencies(df))
+        assert set(index.columns) == {"num", "ord", "t", "a", "key", "at", "title_tenths", "author_tenths"}
+        return index.count()
+
+    few, many = rows(3), rows(5000)
+    assert few < many <= 12 * 2 * similar.AUTHOR_SLOTS + 12
+
+
+def test_a_pair_is_verified_once(spark):
+    rows = [dict(title="one two three four five six seven eight", author="A, B and C, D and E, F", doi=f"10/{k}") for k in range(4)]
+    rows += [dict(title="one two three four five six seven nine", author="A, B and C, D and E, F")]
+    _, kept, leftovers = dedup.exact_passes(make(spark, rows))
+    match = similar.match_signatures(similar.with_words(leftovers), similar.with_words(kept), every_target=True)
+    pairs = similar.candidates(match.source_index, match.target_index, None)
+    assert pairs.count() == pairs.distinct().count() > 0
+
+
+def test_grid_join_equals_plain_join(spark):
+    left = spark.range(300).select(F.when(F.col("id") < 250, 1).otherwise(F.col("id")).alias("key"), "id")
+    right = spark.range(1000, 1200).select(F.when(F.col("id") < 1150, 1).otherwise(F.col("id") - 1000).alias("r_key"), F.col("id").alias("r_id"))
+    hot = skew.crowded_pairs(left, right.withColumnRenamed("r_key", "key"), "key", 100, 40)
+    assert [(r.key, r._rows, r._columns) for r in hot.collect()] == [(1, 7, 4)]
+    test = F.col("id") % 3 != F.col("r_id") % 3
+    got = skew.grid_join(left, right, "key", hot, F.col("id"), F.col("r_id"), test).select("key", "id", "r_id")
+    expected = left.join(right, (F.col("key") == F.col("r_key")) & test).select("key", "id", "r_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_dedup_with_hot_keys_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PAIRS_PER_TASK", 20)
+    monkeypatch.setattr(similar, "SIDE_PER_TASK", 3)
+    draw = random.Random(17)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    rows = [dict(title=" ".join(draw.sample(words, draw.randint(3, 6))), author=draw.choice(["", "A, B and C, D", "A, B"]), year=draw.choice(["", "", "2001"]), doi=draw.choice(["", "", f"10/{k}"])) for k in range(90)]
+    got, n = pairs_of(spark, rows)
+    expected = twin(rows)
+    assert got == expected and n == len(expected)
