@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import records
 from ..functions import text as tx
 from ..schema import position, to_articles
+from ..session import checkpoint
 
 FILE_SUFFIX = "_results.bib"
 
@@ -27,6 +28,7 @@ OPENS = re.compile(
     r"@?\s*(?:(?:comment|preamble|string)\s*[{(]|\w+\s*[{(][^{}(),=\"]*,\s*[^\s{}(),=\"#]+\s*=|\w+\{[^\s{}(),=\"]+\s*,?\s*\}\s*(?:\n|$))",
     re.I,
 )
+DEFINES = re.compile(r"@?\s*string\s*[{(]", re.I)
 GROUPING = re.compile(r'[{}()"]')
 SCANNED = (
     "file string, block bigint, pos bigint, entry_type string, entry_key string, fields map<string,string>"
@@ -41,6 +43,10 @@ COLUMNS = {
 }
 
 
+MARK = "\0"  # around the name of a macro inside a parsed value
+STRETCH = 1 << 16  # places per stretch of a file block
+
+
 def _close(text: str, start: int, opener: str) -> int:
     """Index of the character that closes the group opened before ``start``, or -1 when the text ends first."""
     closer = {"{": "}", "(": ")", '"': '"'}[opener]
@@ -57,7 +63,7 @@ def _close(text: str, start: int, opener: str) -> int:
 
 
 def _fields(body: str) -> dict[str, str]:
-    """name = value pairs; values are braced, quoted or bare and may be joined with #."""
+    """name = value pairs; values are braced, quoted or bare and may be joined with #. Names of macros are marked."""
     found, i = {}, 0
     while match := re.compile(r"[\s,]*([^\s,={}\"#]+)\s*=").match(body, i):
         name, i, parts = match.group(1).lower(), match.end(), []
@@ -66,11 +72,14 @@ def _fields(body: str) -> dict[str, str]:
             if i < len(body) and body[i] in '{"':
                 end = _close(body, i + 1, body[i])
                 end = len(body) if end < 0 else end
-                parts.append(body[i + 1 : end])
+                parts.append(body[i + 1 : end].replace(MARK, "\ufffd"))
                 i = end + 1
             else:
                 bare = re.compile(r"[^\s,#]*").match(body, i)
-                parts.append(MONTHS.get(bare.group().lower(), bare.group()))
+                word = MONTHS.get(bare.group().lower())
+                if word is None:
+                    word = bare.group() if re.fullmatch(r"\d*", bare.group()) else f"{MARK}{bare.group()}{MARK}"
+                parts.append(word)
                 i = bare.end()
             more = re.compile(r"\s*#").match(body, i)
             if not more:
@@ -81,7 +90,7 @@ def _fields(body: str) -> dict[str, str]:
 
 
 def parse_entries(text: str) -> tuple[list[tuple[str, str, dict[str, str]]], str]:
-    """Complete entries of a text, and the text of a last entry that is not closed yet."""
+    """Complete entries of a text, definitions of macros (type string) included, and the text of a last one that is open."""
     entries, i = [], len(text) - len(text.lstrip())
     while True:
         match = ENTRY_START.match(text, i)
@@ -94,7 +103,9 @@ def parse_entries(text: str) -> tuple[list[tuple[str, str, dict[str, str]]], str
         if end < 0:
             return entries, text[match.start() :]
         kind, body = match.group(1).lower(), text[match.end() : end]
-        if kind not in ("comment", "preamble", "string"):
+        if kind == "string":
+            entries.append((kind, "", _fields(body)))
+        elif kind not in ("comment", "preamble"):
             key, _, rest = body.partition(",")
             entries.append((kind, key.strip(), _fields(rest)))
         i = text.find("@", end + 1)
@@ -124,19 +135,19 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, str, bo
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Entries that end inside their file block. What is still open when the next entry opens is broken: type '!'."""
-    rows, where, held, pos = [], None, None, 0
+    rows, where, held, stretch = [], None, None, 0
     for file, block, text, opens in _blocks(batches):
         if (file, block) != where:
-            where, held, pos = (file, block), None, 0
+            where, held, stretch = (file, block), None, 0
         if held:  # the entry before has ended, since another one opens
-            rows.append((file, block, pos - 1, "!", held[:80], {}))
+            rows.append((file, block, held[0], "!", held[1][:80], {}))
             held = None
         if opens:
-            entries, held = parse_entries(text)
-            for kind, key, fields in entries:
-                rows.append((file, block, pos, kind, key, fields))
-                pos += 1
-            pos += bool(held)
+            entries, rest = parse_entries(text)
+            places = range(stretch, stretch + STRETCH)
+            rows.extend((file, block, at, *entry) for at, entry in zip(places, entries) if entry[0] != "string")
+            held = (stretch + len(entries), rest) if rest else None
+            stretch += STRETCH
         if len(rows) >= 1000:
             yield pd.DataFrame(rows, columns=PARSED)
             rows = []
@@ -145,32 +156,54 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per file block: the lines before its first entry, whether one opens, and its last entry if that is still open."""
-    where, row = None, None
+    """Per file block: the lines before its first entry, whether one opens, its macros, and its last entry if that is open.
+
+    Only the last stretch and those that define macros are parsed.
+    """
+    where, row, last, stretch = None, None, None, 0
+
+    def finished() -> pd.DataFrame:
+        entries, held = parse_entries(last) if last is not None else ([], "")
+        macros = [*row[4], *_definitions(entries, stretch - STRETCH)]
+        return pd.DataFrame([(*row[:4], macros, held, stretch - STRETCH + len(entries))], columns=EDGES)
+
     for file, block, text, opens in _blocks(batches):
         if (file, block) != where:
             if row:
-                yield pd.DataFrame([row], columns=EDGES)
-            where, row, pos = (file, block), (file, block, text, False, "", 0), 0
+                yield finished()
+            where, row, last, stretch = (file, block), (file, block, text, False, []), None, 0
         if opens:
-            entries, held = parse_entries(text)
-            pos += len(entries) + bool(held)
-            row = (*row[:3], True, held, pos - 1)
+            if last is not None and DEFINES.match(last):
+                row[4].extend(_definitions(parse_entries(last)[0], stretch - STRETCH))
+            row, last, stretch = (*row[:3], True, row[4]), text, stretch + STRETCH
     if row:
-        yield pd.DataFrame([row], columns=EDGES)
+        yield finished()
+
+
+def _definitions(entries: list[tuple[str, str, dict[str, str]]], at: int) -> list[tuple[int, str, str]]:
+    return [(at + k, name, value) for k, (kind, _, fields) in enumerate(entries) if kind == "string" for name, value in fields.items()]
+
+
+def _filled(value: str, macros: Mapping[str, str]) -> str:
+    """A value with its marked macros; the name stands where there is none."""
+    parts = value.split(MARK)
+    parts[1::2] = [macros.get(name.lower(), name) for name in parts[1::2]]
+    return "".join(parts)
 
 
 def _stitch(edges: pd.DataFrame) -> pd.DataFrame:
-    """Entries of one file that run on into later blocks."""
-    rows, carry = [], None
+    """Entries of one file that run on into later blocks, and the file's macros in their order, filled in."""
+    rows, macros, carry = [], [], None
 
     def finish() -> None:
         file, block, pos, text = carry
         entries, held = parse_entries(text)
-        found = [(file, block, pos, *entry) for entry in entries]
+        macros.extend((block, *m) for m in _definitions(entries, pos))
+        found = [(file, block, pos + k, *entry) for k, entry in enumerate(entries) if entry[0] != "string"]
         rows.extend(found if not held else [(file, block, pos, "!", held[:80], {})])
 
-    for file, block, head, opens, tail, pos in edges.sort_values("block")[EDGES].itertuples(index=False):
+    for file, block, head, opens, found, tail, pos in edges.sort_values("block")[EDGES].itertuples(index=False):
+        macros.extend((block, m["pos"], m["name"], m["value"]) for m in found)
         if carry and head:
             carry = (*carry[:3], f"{carry[3]}\n@{head}")
         if opens:
@@ -179,11 +212,39 @@ def _stitch(edges: pd.DataFrame) -> pd.DataFrame:
             carry = (file, block, pos, tail) if tail else None
     if carry:
         finish()
+    known: dict[str, str] = {}
+    for block, pos, name, value in sorted(macros):
+        known[name] = _filled(value, known)
+        rows.append((file, block, pos, "string", name, {"value": known[name]}))
     return pd.DataFrame(rows, columns=PARSED)
 
 
 PARSED = ["file", "block", "pos", "entry_type", "entry_key", "fields"]
-EDGES = ["file", "block", "head", "opens", "tail", "pos"]
+EDGES = ["file", "block", "head", "opens", "macros", "tail", "pos"]
+EDGE_TYPES = (
+    "file string, block bigint, head string, opens boolean, macros array<struct<pos:bigint,name:string,value:string>>, "
+    "tail string, pos bigint"
+)
+
+
+def _with_macros(entries: DataFrame, macros: DataFrame) -> DataFrame:
+    """Values with their macros filled in: of the definitions of the entry's file, the last one before the entry counts."""
+    if macros.isEmpty():
+        listed = entries.withColumn("macros", F.lit(None).cast("array<struct<block:bigint,pos:bigint,name:string,value:string>>"))
+    else:
+        each = F.struct("block", "pos", F.lower("entry_key").alias("name"), F.col("fields")["value"].alias("value"))
+        lists = macros.groupBy("file").agg(F.sort_array(F.collect_list(each)).alias("macros"))  # a file's definitions
+        listed = entries.join(lists, "file", "left")
+
+    def part(text: Column, at: Column) -> Column:
+        own = lambda m: (m["name"] == F.lower(text)) & (F.struct(m["block"], m["pos"]) < F.struct(F.col("block"), F.col("pos")))
+        defined = F.try_element_at(F.filter("macros", own), F.lit(-1))["value"]
+        return F.when(at % 2 == 1, F.coalesce(defined, text)).otherwise(text)
+
+    def filled(_: Column, value: Column) -> Column:
+        return F.when(value.contains(MARK), F.array_join(F.transform(F.split(value, "\\x00"), part), "")).otherwise(value)
+
+    return listed.withColumn("fields", F.transform_values("fields", filled)).drop("macros")
 
 
 def people(author: Column | str) -> Column:
@@ -207,16 +268,20 @@ def scan_bibtex(spark: SparkSession, path: str, prefix_keys: bool = True, skip_b
 
     Every entry is one record of a splittable text scan, and the entries do not depend on where files are split. With
     ``prefix_keys`` ids are 'source_key'. An entry that is not closed before the next one opens is an error that names its
-    file, or with ``skip_broken`` left out.
+    file, or with ``skip_broken`` left out. Macros (@string, also joined ones) are filled in wherever the file is split, the
+    last definition before the entry; a name without definition stands for itself. The blocks' ends and the macros are
+    gathered when the scan is set up, in a first pass that parses little else.
     """
     lines = (
         spark.read.option("lineSep", "\n@")
         .text(path)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     )
-    edges = lines.mapInPandas(_edges, "file string, block bigint, head string, opens boolean, tail string, pos bigint")
-    # one small row per file block meets the others of its file; an entry may be cut by any number of block ends
-    scanned = lines.mapInPandas(_scan, SCANNED).union(edges.groupBy("file").applyInPandas(_stitch, SCANNED))
+    # a small row per file block meets the others of its file; an entry may be cut by any number of block ends
+    edges = lines.mapInPandas(_edges, EDGE_TYPES)
+    stitched = checkpoint(edges.groupBy("file").applyInPandas(_stitch, SCANNED))
+    macro = F.col("entry_type") == "string"
+    scanned = _with_macros(lines.mapInPandas(_scan, SCANNED).union(stitched.filter(~macro)), stitched.filter(macro))
     broken = F.col("entry_type") == "!"
     if skip_broken:
         scanned = scanned.filter(~broken)

@@ -79,12 +79,13 @@ def _pages(spark: SparkSession, path: str, schema: str, root: str, multi_line: b
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("page"),
+        F.hex(F.xxhash64("value")).alias("digest"),
         F.from_json(listed, entries).alias("entries"),
     )
     hint = "" if multi_line else " (one page per line is expected; use multi_line for a page per file)"
     problem = F.concat(F.lit("no readable result page in "), F.col("file"), F.lit(hint))
     checked = F.when(F.col("entries").isNull(), F.raise_error(problem).cast(entries)).otherwise(F.col("entries"))
-    return pages.select("file", "block", "page", F.posexplode(checked).alias("at", "e"))
+    return pages.select("file", "block", "page", "digest", F.posexplode(checked).alias("at", "e"))
 
 
 def without_inline_markup(record: Column) -> Column:
@@ -162,7 +163,7 @@ def scan_scopus(spark: SparkSession, path: str, source: str = "scopus", multi_li
     rows = _pages(spark, path, SCOPUS_SCHEMA, "search-results", multi_line)
     scopus_id = records.strip_id_prefix(e["dc:identifier"])
     authors = records.split_creator(e["dc:creator"])
-    position = F.concat_ws("-", F.col("block"), F.col("page"), F.col("at"))
+    position = F.concat_ws("-", F.lower("digest"), "at")  # of the page's text: the same however files are split
     return to_articles(
         rows,
         **_in_page(source),

@@ -136,7 +136,7 @@ def test_scan_scopus(spark, tmp_path):
     assert [(p.last_name, p.first_name, p.initials) for p in a.authors] == [("Souza", "Maria de", "Md"), ("Plato", "", "")]
     assert a.author == "Souza, Maria de and Plato, "
     assert (b.entry_id, b.year, b.author, b.citation_count) == ("scopus_86", "", "", "0")
-    assert c.entry_id.startswith("scopus_0-")
+    assert c.entry_id.startswith("scopus_")
 
 
 def test_scan_embase(spark, tmp_path):
@@ -298,3 +298,43 @@ def test_one_open_entry_costs_itself_only(spark, tmp_path):
     assert time.time() - start < 60
     with pytest.raises(Exception, match="y_results.bib"):
         bibtex.scan_bibtex(spark, f"{tmp_path}/y_results.bib").collect()
+
+
+def test_macros_reach_entries_wherever_the_file_is_split(spark, tmp_path):
+    entries = [f"@article{{k{i},\n  title = {{T{i}}},\n  journal = {'nat' if i % 2 else 'full'},\n  year = 2001,\n  month = jan,\n  note = nat # { {0: 'plain', 1: chr(34) + ', vol. ' + chr(34), 2: 'SCI'}[i % 3]}\n}}" for i in range(9)]
+    text = (
+        '@string{nat = "Nature"}\n@STRING(full = nat # " {Letters}"\n)\n@comment{x}\n' + "\n".join(entries)
+        + '\n@string{nat = {Nat.\n@home edition}, sci = "Science"}\n' + "\n".join(e.replace("{k", "{m") for e in entries)
+    )
+    (tmp_path / "x_results.bib").write_text(text)
+    (tmp_path / "y_results.bib").write_text("@article{k0, title = {T}, journal = nat}\n")
+
+    def value(i, late):
+        nat = "Nat. @home edition" if late else "Nature"
+        tail = {0: "plain", 1: ", vol.", 2: "Science" if late else "SCI"}[i % 3]
+        return (nat if i % 2 else "Nature {Letters}", f"{nat}{tail}")
+
+    expected = [(f"x_k{i}", *value(i, False)) for i in range(9)] + [(f"x_m{i}", *value(i, True)) for i in range(9)] + [("y_k0", "nat", None)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (20, 30, 45, 60, 90, 120, 200, 333, 1000, 100000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            rows = bibtex.scan_bibtex(spark, f"{tmp_path}/*_results.bib").orderBy("ord").collect()
+            assert [(r.entry_id, r.journal, r.extra.get("note")) for r in rows] == expected
+            assert {(r.year, r.extra.get("month")) for r in rows[:-1]} == {("2001", "January")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_scopus_keys_do_not_depend_on_partitions(spark, tmp_path):
+    page = lambda *titles: json.dumps({"search-results": {"entry": [{"dc:title": t} for t in titles]}})
+    (tmp_path / "p.json").write_text("\n".join(page(f"a{i}", f"b{i}") for i in range(20)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = set()
+    try:
+        for size in (50, 300, 100000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            seen.add(tuple(sorted((r.title, r.entry_id) for r in databases.scan_scopus(spark, f"{tmp_path}/p.json").collect())))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(seen) == 1 and len({e for _, e in next(iter(seen))}) == 40
