@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..session import checkpoint
 
 # Identifier kinds that can be looked up, and the category matched against the article type.
 ID_COLUMNS = {
@@ -23,9 +24,6 @@ ID_COLUMNS = {
 }
 TYPE_CATEGORY = "study_design"
 
-CAP_SALTS = 64
-
-
 def _join(parts: Sequence[Column], operator: str) -> Column:
     if operator.upper() not in ("AND", "OR"):
         raise ValueError(f"unknown operator {operator!r}")
@@ -39,11 +37,16 @@ def strategy_match(
     text_cols: Sequence[str] = ("title", "abstract", "keywords"),
     within: str = "OR",
     between: str = "AND",
+    fields: Column | None = None,
 ) -> Column:
-    """True where the text satisfies the search terms; an empty category is no condition."""
+    """True where the text satisfies the search terms; an empty category is no condition.
+
+    ``fields``: the names of the text columns that count for a row; null stands for all of them.
+    """
     if within.upper() not in ("AND", "OR"):
         raise ValueError(f"unknown operator {within!r}")
-    body = F.lower(F.concat_ws("\n", *[tx.text(c) for c in text_cols]))
+    counts = lambda c: F.lit(True) if fields is None else F.coalesce(F.array_contains(fields, c), F.lit(True))
+    body = F.lower(F.concat_ws("\n", *[F.when(counts(c), tx.text(c)) for c in text_cols]))
     groups = []
     for category, terms in strategy.items():
         if terms:
@@ -62,8 +65,9 @@ def strategy_filter(
     text_cols: Sequence[str] = ("title", "abstract", "keywords"),
     within: str = "OR",
     between: str = "AND",
+    fields: Column | None = None,
 ) -> DataFrame:
-    return articles.filter(strategy_match(strategy, tx.text(type_col), text_cols, within, between))
+    return articles.filter(strategy_match(strategy, tx.text(type_col), text_cols, within, between, fields))
 
 
 def date_range_filter(articles: DataFrame, start: str, end: str, col: str = "year") -> DataFrame:
@@ -89,13 +93,89 @@ def facet_filter(articles: DataFrame, facets: Mapping[str, Sequence[str]]) -> Da
     return articles
 
 
-def limit_results(articles: DataFrame, max_results: int) -> DataFrame:
-    """The first ``max_results`` articles of each source. Every slice of a source is cut first, then the rest."""
-    slices = articles.withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.lit(CAP_SALTS)))
-    for keys in (["source", "_salt"], ["source"]):
-        order = Window.partitionBy(*keys).orderBy("ord")
-        slices = slices.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_results)
-    return slices.drop("_salt", "_rank")
+# Options of a source that list wanted values, and the article column each is compared with.
+OPTION_COLUMNS = {
+    "languages": "language", "article_types": "publication_type", "species": "species", "subject_areas": "subject_area",
+    "document_types": "document_type", "evidence_types": "evidence_type",
+}
+
+
+def with_options(articles: DataFrame, options: DataFrame) -> DataFrame:
+    """Adds ``options``, the options of the article's source (one small row per source), null where it has none."""
+    rows = options.select(F.col("source"), F.struct(*[c for c in options.columns if c != "source"]).alias("options"))
+    return articles.join(rows, "source", "left")
+
+
+def option_filter(articles: DataFrame) -> DataFrame:
+    """Articles that their source's ``options`` let through: the source is on, the year in range, every list met.
+
+    Blank options and empty lists are no condition. A list for a column that the articles lack is an error.
+    """
+    option = F.col("options")
+    kept = articles.filter(F.coalesce(option["enabled"], F.lit(True)))
+    year = F.expr("try_cast(year AS int)")
+    for name, reaches in (("start", lambda own: year >= own), ("end", lambda own: year <= own)):
+        own = F.substring(option["date_range"][name], 1, 4).try_cast("int")
+        kept = kept.filter(own.isNull() | F.coalesce(reaches(own), F.lit(False)))
+    for name, column in OPTION_COLUMNS.items():
+        wanted = F.transform(option[name], F.lower)
+        asked = F.coalesce(F.size(wanted) > 0, F.lit(False))
+        if column not in articles.columns:
+            problem = f"an option lists {name}, but the articles have no column {column!r}"
+            kept = kept.filter(F.when(asked, F.raise_error(F.lit(problem)).cast("boolean")).otherwise(F.lit(True)))
+            continue
+        if articles.schema[column].dataType.typeName() == "array":
+            met = F.arrays_overlap(F.transform(column, F.lower), wanted)
+        else:
+            met = F.array_contains(wanted, F.lower(tx.text(column)))
+        kept = kept.filter(~asked | F.coalesce(met, F.lit(False)))
+    return kept
+
+
+def source_caps(articles: DataFrame, caps: DataFrame | int) -> DataFrame:
+    """Per source: _key (its name, null told apart), _cap and _last, the place (ord, entry_id) of the last article within it.
+
+    ``caps``: source and max_results, or one number for all. Articles are put in ranges of (source, place), and the sizes of
+    the ranges tell in which one a source's cap falls; only that one is ranked. So a source is spread over tasks whatever its
+    cap is. _last is null where the source has no more articles than that.
+    """
+    place = F.struct("ord", "entry_id").alias("_place")
+    dealt = articles.select(_source_key(), place).repartitionByRange("_key", "_place")
+    dealt = checkpoint(dealt.withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_key").orderBy("_range"))  # a row per range
+    sizes = sizes.withColumn("_upto", upto)
+    if isinstance(caps, int):
+        wanted = sizes.select("_key").distinct().withColumn("_cap", F.lit(caps))
+    else:
+        wanted = caps.select(_source_key(), F.col("max_results").alias("_cap")).filter(F.col("_cap").isNotNull())
+    before = F.col("_upto") - F.col("_n")
+    cut = sizes.join(wanted, "_key").filter((F.col("_upto") > F.col("_cap")) & (before < F.col("_cap")))
+    cut = cut.select("_key", "_range", (F.col("_cap") - before).alias("_left"))
+    in_range = F.row_number().over(Window.partitionBy("_key", "_range").orderBy("_place"))
+    last = dealt.join(cut, ["_key", "_range"]).withColumn("_rank", in_range).filter(F.col("_rank") == F.col("_left"))
+    # a source whose cap falls on the end of a range has its last article there
+    even = sizes.join(wanted, "_key").filter((F.col("_upto") == F.col("_cap"))).select("_key", "_range")
+    ends = dealt.join(even, ["_key", "_range"]).groupBy("_key").agg(F.max("_place").alias("_last"))
+    last = last.select("_key", F.col("_place").alias("_last")).unionByName(ends)
+    return checkpoint(wanted.join(last, "_key", "left"))
+
+
+def _source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("+"), "source"), F.lit("")).alias("_key")
+
+
+def limit_results(articles: DataFrame, max_results: DataFrame | int) -> DataFrame:
+    """The first ``max_results`` articles of each source, by ord and then entry id.
+
+    A number for all sources, or a table of source and max_results; a source without one is not cut. The articles meet one
+    row per source.
+    """
+    caps = source_caps(articles, max_results)
+    met = articles.withColumn("_key", _source_key()).join(caps, "_key", "left")
+    place = F.struct("ord", "entry_id")
+    inside = F.coalesce((F.col("_cap") > 0) & (F.col("_last").isNull() | (place <= F.col("_last"))), F.lit(True))
+    return met.filter(F.when(F.col("_cap").isNull(), F.lit(True)).otherwise(inside)).drop("_key", "_cap", "_last")
 
 
 def enabled_source_filter(articles: DataFrame, enabled: Mapping[str, bool]) -> DataFrame:

@@ -39,35 +39,106 @@ def class_sizes(rows: DataFrame, label: str = "label") -> ClassSizes:
     return ClassSizes(minority, n_min, sum(counts.values()) - n_min, len(counts))
 
 
+class _Sparse:
+    """The non-zero entries of some vectors: per row a stretch of (column, value), columns ascending."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.names = rows["id"].to_numpy()
+        self.sizes = rows["columns"].map(len).to_numpy(dtype=np.int64) if len(rows) else np.zeros(0, np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.columns = np.concatenate([*rows["columns"], np.zeros(0, np.int64)]).astype(np.int64)
+        self.values = np.concatenate([*rows["values"], np.zeros(0)]).astype(np.float64)
+        self.squares = np.add.reduceat(np.append(self.values**2, 0.0), self.ends - self.sizes) * (self.sizes > 0)
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.ends[i] - self.sizes[i], self.ends[i])
+        return self.columns[part], self.values[part]
+
+
+def _products(a: _Sparse, b: _Sparse, low: int, high: int) -> np.ndarray:
+    """Inner products of all rows of ``a`` with the rows ``low`` to ``high`` of ``b``, over the columns that both use."""
+    part = slice(b.ends[low] - b.sizes[low], b.ends[high - 1])
+    columns = np.intersect1d(a.columns, b.columns[part])
+    if not len(columns):
+        return np.zeros((len(a.names), high - low))
+    dense = np.zeros((len(columns), high - low))
+    at = np.searchsorted(columns, b.columns[part])
+    hit = (at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == b.columns[part])
+    owner = np.repeat(np.arange(high - low), b.sizes[low:high])
+    dense[at[hit], owner[hit]] = b.values[part][hit]
+    if len(a.values) * 8 > len(a.names) * len(columns):  # dense vectors: one matrix product
+        left = np.zeros((len(a.names), len(columns)))
+        at = np.searchsorted(columns, a.columns)
+        hit = (at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == a.columns)
+        left[np.repeat(np.arange(len(a.names)), a.sizes)[hit], at[hit]] = a.values[hit]
+        return left @ dense
+    out = np.zeros((len(a.names), high - low))
+    for i in range(len(a.names)):
+        own, values = a.row(i)
+        at = np.searchsorted(columns, own)
+        hit = (at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == own)
+        out[i] = values[hit] @ dense[at[hit]]
+    return out
+
+
+def _exact(a: _Sparse, i: int, b: _Sparse, j: int) -> float:
+    """Squared distance of two rows, summed column by column, so that equal pairs of vectors give equal numbers."""
+    (own, values), (other, others) = a.row(i), b.row(j)
+    columns = np.union1d(own, other)
+    difference = np.zeros(len(columns))
+    difference[np.searchsorted(columns, own)] = values
+    difference[np.searchsorted(columns, other)] -= others
+    return float((difference**2).sum())
+
+
+def _best_of_block(a: _Sparse, b: _Sparse, k: int) -> list[tuple[str, str, float]]:
+    """Per row of ``a`` its ``k`` nearest rows of ``b`` with another id: rough distances first, then the exact ones."""
+    found = []
+    if not len(a.names) or not len(b.names):
+        return found
+    rough = np.empty((len(a.names), len(b.names)))
+    step = max(64, (1 << 24) // max(1, len(np.unique(b.columns))))
+    for low in range(0, len(b.names), step):
+        high = min(len(b.names), low + step)
+        rough[:, low:high] = a.squares[:, None] + b.squares[None, low:high] - 2 * _products(a, b, low, high)
+    rough[a.names[:, None] == b.names[None, :]] = np.inf
+    last = np.partition(rough, min(k, len(b.names)) - 1, axis=1)[:, min(k, len(b.names)) - 1]
+    slack = 1e-9 * (a.squares + b.squares.max() + 1)
+    for i in range(len(a.names)):
+        near = np.flatnonzero(rough[i] <= last[i] + slack[i]) if np.isfinite(last[i]) else np.flatnonzero(np.isfinite(rough[i]))
+        exact = sorted((_exact(a, i, b, j), b.names[j]) for j in near.tolist())
+        found += [(a.names[i], name, distance) for distance, name in exact[:k]]
+    return found
+
+
 def nearest_neighbours(points: DataFrame, k: int, n: int, entry_id: str = "id", vector: str = "features") -> DataFrame:
     """The ``k`` nearest other points of every point (id, slot 1..k, neighbour), exact, ties by id.
 
-    Points are hashed into blocks of about 2048. Each task compares one block with another and keeps the best
-    ``k`` per point, so neither a block pair nor its output grows with the table.
+    Points travel as their non-zero entries and are hashed into blocks of about 2048. A task compares two blocks, both
+    ways at once, by products of the columns that both use, and keeps the best ``k`` per point; so neither a block pair nor
+    its output grows with the table. The number of block pairs grows with the square of the number of blocks.
     """
     blocks = max(1, math.ceil(n / BLOCK_ROWS))
-    base = points.select(
-        F.col(entry_id).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v")
-    ).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = base.withColumnRenamed("block", "i").withColumn("j", every)
-    right = base.withColumnRenamed("block", "j").withColumn("i", every)
-
-    def best_in_block(queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(queries) and len(others):
-            others = others.sort_values("id", ignore_index=True)
-            matrix, names = np.stack(others["v"].to_list()), others["id"].to_numpy()
-            for name, vec in zip(queries["id"], queries["v"]):
-                distance = ((matrix - vec) ** 2).sum(axis=1)
-                distance[names == name] = np.inf
-                nearest = np.argsort(distance, kind="stable")[:k]
-                found += [(name, names[j], float(distance[j])) for j in nearest if np.isfinite(distance[j])]
+    base = points.select(F.col(entry_id).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    places = F.filter(F.sequence(F.lit(0), F.size("v") - 1), lambda i: F.get("v", i) != 0)
+    base = base.select(
+        "id",
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"),
+        F.when(F.size("v") > 0, places).otherwise(F.array().cast("array<int>")).alias("columns"),
+        F.filter("v", lambda x: x != 0).alias("values"),
+    )
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = base.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        first = _Sparse(rows[rows["block"] == key[0]])
+        second = first if key[0] == key[1] else _Sparse(rows[rows["block"] == key[1]])
+        found = _best_of_block(first, second, k)
+        if second is not first:
+            found += _best_of_block(second, first, k)
         return pd.DataFrame(found, columns=["id", "neighbour", "distance"])
 
-    candidates = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(
-        best_in_block, "id string, neighbour string, distance double"
-    )
+    candidates = dealt.groupBy("i", "j").applyInPandas(compare, "id string, neighbour string, distance double")
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
     return (
         candidates.withColumn("slot", F.row_number().over(order))

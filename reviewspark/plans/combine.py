@@ -19,7 +19,11 @@ COMBINED_IDS = ["pmid", "scopus_id", "embase_id", "eid"]
 
 @dataclass
 class Search:
-    """What to keep of the scanned articles. Empty settings are no condition."""
+    """What to keep of the scanned articles. Empty settings are no condition.
+
+    ``options``: the options of each source as a table (`settings.scan_source_options`): on or off, date range, lists of
+    wanted values, the fields that search terms are looked for in, and the cap. They apply besides the common settings.
+    """
 
     strategy: Mapping[str, Sequence[str]] = field(default_factory=dict)
     date_range: tuple[str, str] | None = None
@@ -28,14 +32,20 @@ class Search:
     max_results: int | None = None
     within: str = "OR"
     between: str = "AND"
+    options: DataFrame | None = None
 
 
 def search(articles: DataFrame, wanted: Search) -> DataFrame:
-    out = filters.enabled_source_filter(articles, wanted.enabled)
-    out = filters.strategy_filter(out, wanted.strategy, within=wanted.within, between=wanted.between)
+    out, fields = filters.enabled_source_filter(articles, wanted.enabled), None
+    if wanted.options is not None:
+        out = filters.option_filter(filters.with_options(out, wanted.options))
+        fields = F.col("options")["fields"]
+    out = filters.strategy_filter(out, wanted.strategy, within=wanted.within, between=wanted.between, fields=fields)
     if wanted.date_range:
         out = filters.date_range_filter(out, *wanted.date_range)
     out = filters.facet_filter(out, wanted.facets)
+    if wanted.options is not None:
+        out = filters.limit_results(out.drop("options"), wanted.options)
     return out if wanted.max_results is None else filters.limit_results(out, wanted.max_results)
 
 

@@ -10,6 +10,7 @@ from reviewspark.functions import records
 from reviewspark.functions import text as tx
 from reviewspark.learning.models import hard_vote, soft_vote, vote_decision, weighted_vote
 from reviewspark.operators import active, filters, metrics, ranking, resample, rules
+from reviewspark.plans import combine
 from reviewspark.schema import to_articles
 
 
@@ -292,3 +293,81 @@ def test_row_index(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 1009).alias("k"))
     got = [(r["k"], r["index"]) for r in ranking.row_index(df, "k").collect()]
     assert sorted(got) == [(k, i) for i, k in enumerate(sorted(k for k, _ in got))]
+
+
+def test_limit_ranks_only_the_range_of_the_cap(spark):
+    draw = random.Random(3)
+    rows = [(draw.choice(["hot"] * 9 + ["b", None, ""]), f"e{k}", draw.randrange(10_000) * 1000 + k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "source string, entry_id string, ord long").repartition(5)
+    by_source = {}
+    for source, entry, place in sorted(rows, key=lambda r: r[2]):
+        by_source.setdefault(source, []).append((place, entry))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for cap in (0, 1, 7, 250, 2_000, 10_000):
+            got = {(r.source, r.entry_id) for r in filters.limit_results(df, cap).collect()}
+            assert got == {(s, e) for s, found in by_source.items() for _, e in found[:cap]}
+        caps = spark.createDataFrame([("hot", 1234), ("b", None), (None, 2), ("nowhere", 5)], "source string, max_results int")
+        got = {(r.source, r.entry_id) for r in filters.limit_results(df, caps).collect()}
+        limits = {"hot": 1234, None: 2}
+        assert got == {(s, e) for s, found in by_source.items() for _, e in found[: limits.get(s, len(found))]}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert filters.limit_results(df.limit(0), 3).count() == 0
+
+
+def test_options_differ_per_source(spark):
+    rows = [
+        ("a", "a1", 1, "lung cancer", "x", "2010", "English", ["Review"]),
+        ("a", "a2", 2, "other", "lung cancer", "2011", "english", ["Article"]),
+        ("a", "a3", 3, "lung cancer", "", "2012", "German", ["Review", "Letter"]),
+        ("b", "b1", 4, "lung cancer", "", "", "English", []),
+        ("b", "b2", 5, "lung cancer", "", "2019", "English", ["review"]),
+        ("c", "c1", 6, "lung cancer", "", "2010", "English", ["Review"]),
+        ("d", "d1", 7, "lung cancer", "", "1990", "", []),
+    ]
+    df = spark.createDataFrame(rows, "source string, entry_id string, ord long, title string, abstract string, year string, language string, publication_type array<string>")
+    df = df.withColumn("keywords", F.lit("")).withColumn("entry_type", F.lit("article"))
+    kind = (
+        "source string, enabled boolean, max_results int, fields array<string>, languages array<string>, article_types array<string>, "
+        "species array<string>, subject_areas array<string>, document_types array<string>, evidence_types array<string>, "
+        "date_range struct<start:string,end:string>"
+    )
+    def options(species=None):
+        return spark.createDataFrame(
+            [
+                ("a", True, 1, ["title"], ["ENGLISH"], None, species, None, None, None, ("2010-01-01", None)),
+                ("b", None, None, None, None, ["Review"], None, [], None, None, ("2000-01-01", "2019-12-31")),
+                ("c", False, None, None, None, None, None, None, None, None, None),
+            ],
+            kind,
+        )
+
+    wanted = combine.Search(strategy={"p": ["lung"]}, options=options())
+    assert sorted(r.entry_id for r in combine.search(df, wanted).collect()) == ["a1", "b2", "d1"]
+    everywhere = combine.Search(strategy={"p": ["lung"]}, options=options().withColumn("fields", F.lit(None).cast("array<string>")).withColumn("max_results", F.lit(None).cast("int")))
+    assert sorted(r.entry_id for r in combine.search(df, everywhere).collect()) == ["a1", "a2", "b2", "d1"]
+    with pytest.raises(Exception, match="no column 'species'"):
+        combine.search(df, combine.Search(options=options(["humans"]))).collect()
+
+
+def test_sparse_neighbours_equal_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(resample, "BLOCK_ROWS", 40)
+    draw = np.random.default_rng(6)
+    sparse = draw.random((150, 60)) * (draw.random((150, 60)) < 0.06)
+    sparse[20:25] = sparse[20]  # equal points: ties go by id
+    sparse[30] = 0
+    for matrix in (sparse, draw.standard_normal((90, 7))):
+        rows = [(f"p{i:03d}", v.tolist()) for i, v in enumerate(matrix)]
+        got = resample.nearest_neighbours(spark.createDataFrame(rows, "id string, features array<double>"), 4, len(rows)).collect()
+        found = {(r.id, r.slot): r.neighbour for r in got}
+        assert len(found) == 4 * len(rows)
+        for i, (name, _) in enumerate(rows):
+            distance = ((matrix - matrix[i]) ** 2).sum(1)
+            order = sorted((round(float(d), 12), rows[j][0]) for j, d in enumerate(distance) if j != i)
+            mine = [round(float(distance[int(found[name, s][1:])]), 12) for s in range(1, 5)]
+            assert mine == [d for d, _ in order[:4]]
+            if order[3][0] != order[4][0] and len({d for d, _ in order[:4]}) == 4 or i in range(20, 25):
+                assert [found[name, s] for s in range(1, 5)] == [e for _, e in order[:4]]
