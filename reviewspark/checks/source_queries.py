@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..operators import filters, rules
+from ..plans import combine
 from ..schema import screening_view
 from ..session import scratch_path
 from ..sources import bibtex, databases, settings, tables
@@ -240,6 +241,44 @@ def scan_strategy(spark, sf_dir):
     return filters.strategy_filter(tables.articles(spark, sf_dir), wanted).select("entry_id")
 
 
+OPTIONS = {
+    "database_defaults": {"date_range": {"start": "2001-01-01", "end": "2018-12-31"}, "languages": ["EN", "fr", "es"], "max_results": 25},
+    "databases": {
+        "src0": {"max_results": 3}, "src1": {"languages": ["de"], "max_results": 1000}, "src2": {"enabled": False},
+        "src3": {"date_range": {"start": "2010-06-01", "end": "2012-01-31"}}, "src4": {"fields": ["title"], "article_types": ["Review", "ARTICLE"]},
+        "src5": {"article_types": ["review"]}, "src6": {"max_results": 0}, "src7": {"languages": [], "date_range": {"start": "2015-01-01"}},
+    },
+}
+
+
+def _own(source: str, option: str, default: str) -> str:
+    return f"CASE WHEN source = '{source}' THEN {option} ELSE {default} END"
+
+
+_FROM = _own("src3", "2010", _own("src7", "2015", "2001"))
+_TO = _own("src3", "2012", _own("src7", "NULL", "2018"))
+_CAP = _own("src0", "3", _own("src1", "1000", _own("src6", "0", "25")))
+_STRATEGY_IN_TITLE = STRATEGY_SQL.replace("title || chr(10) || abstract || chr(10) || keywords", "title")
+
+
+@query(
+    "combine_sources_by_options",
+    with_articles(
+        rf"""SELECT source, entry_id FROM articles
+        WHERE source <> 'src2' AND source <> 'src5' AND TRY_CAST(year AS INT) >= {_FROM} AND (TRY_CAST(year AS INT) <= {_TO} OR source = 'src7')
+          AND (source = 'src7' OR (source = 'src1' AND keywords = 'de') OR (source <> 'src1' AND keywords IN ('en', 'fr', 'es')))
+          AND (CASE WHEN source = 'src4' THEN {_STRATEGY_IN_TITLE} ELSE {STRATEGY_SQL} END)
+        QUALIFY row_number() OVER (PARTITION BY source ORDER BY ord) <= {_CAP}"""
+    ),
+)
+def combine_sources_by_options(spark, sf_dir):
+    """The options of every source are read from a settings file: caps, date ranges, lists, fields and switches differ."""
+    rows = tables.articles(spark, sf_dir).withColumn("language", F.col("keywords")).withColumn("publication_type", F.array("entry_type"))
+    names = [f"src{k}" for k in range(20)]
+    options = settings.scan_source_options(spark, _settings_file(spark, OPTIONS), names)
+    return combine.search(rows, combine.Search(strategy=STRATEGY, options=options)).select("source", "entry_id")
+
+
 @query("write_table", with_articles("SELECT entry_id, title, abstract, year, author FROM articles"))
 def write_table(spark, sf_dir):
     out = scratch_path(spark, "json")

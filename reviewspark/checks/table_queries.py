@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..learning.models import hard_vote, soft_vote, vote_decision, weighted_vote
 from ..operators import active, filters, metrics, resample, rules
 from ..plans import combine
+from ..session import checkpoint
 from ..sources import tables
 from ..sources.tables import EXCLUSION, INCLUSION
 from .registry import CLEAN, LABELS_CTE, MEMBERS, query, sql_jaccard, sql_words, with_articles
@@ -324,7 +325,28 @@ def select_diversity(spark, sf_dir):
     return active.select_diversity(predictions(spark, sf_dir)).select("entry_id", "probability")
 
 
-@query("select_diversity_k_center")
+@query(
+    "select_diversity_k_center",
+    """
+WITH RECURSIVE v AS (SELECT CAST(vec_id AS VARCHAR) AS entry_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+d AS MATERIALIZED (
+  SELECT a.entry_id AS a, b.entry_id AS b, 1.0 - list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS away
+  FROM v a JOIN v b ON a.entry_id <> b.entry_id
+), r AS (
+  SELECT 1 AS step, a AS entry_id, away, a AS centre FROM (SELECT entry_id AS a, CAST('Infinity' AS DOUBLE) AS away FROM v ORDER BY md5(entry_id || '|42'), entry_id LIMIT 1)
+  UNION ALL
+  SELECT step, entry_id, away, centre FROM (
+    WITH near AS (
+      SELECT max(r.step) + 1 AS step, d.a, min(d.away) AS away FROM r JOIN d ON d.b = r.centre
+      WHERE d.a NOT IN (SELECT centre FROM r) GROUP BY d.a
+    ), best AS (SELECT step, a, away FROM near ORDER BY away DESC, a LIMIT 1)
+    SELECT step, a AS entry_id, away, a AS centre FROM best
+    UNION ALL SELECT (SELECT max(step) + 1 FROM r), entry_id, away, centre FROM r
+  ) WHERE step <= 10
+)
+SELECT DISTINCT entry_id FROM r WHERE step = 10
+""",
+)
 def select_diversity_k_center(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("entry_id"), "embedding")
     return active.select_diversity(rows, vector="embedding").select("entry_id")
@@ -525,9 +547,41 @@ def smote(spark, sf_dir):
     return resample.oversample(vectors(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("smote_rows")
+@query(
+    "smote_rows",
+    f"""WITH {VECTORS_CTE.strip()} SELECT n_min AS originals, greatest(n_min, floor(0.5 * n_maj)::BIGINT) - n_min AS made,
+      true AS on_the_line, true AS near FROM sizes""",
+)
 def smote_rows(spark, sf_dir):
-    return resample.oversample(vectors(spark, sf_dir))
+    """Every synthetic row lies between a minority row and one of that row's nearest."""
+    rows = vectors(spark, sf_dir)
+    minority = checkpoint(rows.where("label = 1"))
+    sizes = resample.class_sizes(rows)
+    n_new = int(resample.OVERSAMPLING_RATIO * sizes.n_maj) - sizes.n_min
+    made = resample.synthetic_rows(minority, sizes.n_min, n_new, resample.NEIGHBOURS)
+    near = resample.nearest_neighbours(minority, resample.NEIGHBOURS, sizes.n_min)
+    ends = [minority.select(F.col("id").cast("string").alias(c), F.col("features").alias(f"{c}_at")) for c in ("from_id", "neighbour")]
+    met = made.join(ends[0], "from_id").join(ends[1], "neighbour")
+    met = met.join(near.select(F.col("id").alias("from_id"), "neighbour", F.lit(True).alias("near")), ["from_id", "neighbour"], "left")
+    inside = F.forall(
+        F.arrays_zip("features", "from_id_at", "neighbour_at"),
+        lambda z: z["features"].between(F.least(z["from_id_at"], z["neighbour_at"]) - 1e-9, F.greatest(z["from_id_at"], z["neighbour_at"]) + 1e-9),
+    )
+    return met.agg(F.lit(sizes.n_min).cast("long").alias("originals"), F.count("*").alias("made"), F.bool_and(inside).alias("on_the_line"), F.bool_and(F.coalesce("near", F.lit(False))).alias("near"))
+
+
+@query(
+    "nearest_neighbours",
+    f"""WITH {VECTORS_CTE.strip()}, v AS (SELECT 'v' || vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label = 0),
+    d AS (SELECT a.id AS id, b.id AS neighbour, list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS away
+          FROM v a JOIN v b ON a.id <> b.id)
+    SELECT id, neighbour, CAST(row_number() OVER (PARTITION BY id ORDER BY away, neighbour) AS INT) AS slot FROM d
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY away, neighbour) <= 5""",
+)
+def nearest_neighbours(spark, sf_dir):
+    """The neighbours that synthetic rows are drawn between."""
+    rows = vectors(spark, sf_dir).where("label = 1")
+    return resample.nearest_neighbours(rows, resample.NEIGHBOURS, rows.count()).select("id", "slot", "neighbour")
 
 
 @query(

@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .ranking import shuffle_hash
 
 BATCH_SIZE = 10
 OVERSAMPLE = 3  # the combined strategy looks at three times the batch
+CENTRES_KEPT = 16  # centres whose distances are worked out again before the nearest one is written down
 
 
 def uncertainty(probability: Column | str = "probability") -> Column:
@@ -26,7 +28,7 @@ def select_uncertainty(predictions: DataFrame, n: int = BATCH_SIZE) -> DataFrame
 
 
 def select_random(predictions: DataFrame, n: int = BATCH_SIZE, seed: int = 42) -> DataFrame:
-    """Seeded random choice, the reference behaviour of the diversity strategy."""
+    """Seeded random choice: the diversity strategy without vectors."""
     return predictions.orderBy(shuffle_hash("entry_id", seed), "entry_id").limit(n)
 
 
@@ -45,18 +47,26 @@ def select_k_center(
 ) -> DataFrame:
     """Greedy k-centre: start at a seeded random row, then always take the row farthest from all chosen ones.
 
-    Each of the ``n`` rounds is one scan that keeps a single row; the chosen vectors are the only state.
+    Each of the ``n`` rounds is one scan of (id, vector, distance to the nearest centre) that keeps a single row. The
+    distance is written down every `CENTRES_KEPT` rounds, so the work grows with n and no plan holds more than those
+    centres. The driver sees ids and vectors of the batch.
     """
-    chosen = predictions.orderBy(shuffle_hash("entry_id", seed), "entry_id").limit(1).collect()
-    while chosen and len(chosen) < n:
-        distances = [_cosine_distance(F.col(vector), row[vector]) for row in chosen]
-        nearest = distances[0] if len(distances) == 1 else F.least(*distances)
-        rest = predictions.filter(~F.col("entry_id").isin([row["entry_id"] for row in chosen]))
-        farthest = rest.orderBy(F.desc(nearest), "entry_id").limit(1).collect()
-        if not farthest:
+    state = predictions.select("entry_id", F.col(vector).alias("_v"), F.lit(float("inf")).alias("_near"))
+    state = checkpoint(state.filter(F.col("entry_id").isNotNull()))
+    chosen: list[str] = []
+    order = [shuffle_hash("entry_id", seed), F.col("entry_id")]
+    while len(chosen) < n:
+        found = state.orderBy(*order).limit(1).collect()
+        if not found:
             break
-        chosen += farthest
-    return predictions.filter(F.col("entry_id").isin([row["entry_id"] for row in chosen]))
+        chosen.append(found[0]["entry_id"])
+        nearer = F.least("_near", _cosine_distance(F.col("_v"), found[0]["_v"]))
+        state = state.filter(F.col("entry_id") != chosen[-1]).withColumn("_near", nearer)
+        if len(chosen) % CENTRES_KEPT == 0:
+            state = checkpoint(state)
+        order = [F.desc("_near"), F.col("entry_id")]
+    batch = predictions.sparkSession.createDataFrame([(e,) for e in chosen], "entry_id string")
+    return predictions.join(F.broadcast(batch), "entry_id", "left_semi")  # n ids
 
 
 def select_diversity(
@@ -95,6 +105,16 @@ def select_committee(members: Sequence[DataFrame], n: int = BATCH_SIZE) -> DataF
     return committee_join(members).orderBy(F.desc("disagreement"), "ord").limit(n)
 
 
+def select_disagreement(scored: DataFrame, n: int = BATCH_SIZE, votes: str = "votes") -> DataFrame:
+    """Like `select_committee` for rows that hold the votes of all members in one array, null where one has no vote."""
+    given = F.filter(votes, lambda v: v.isNotNull())
+    total = F.aggregate(given, F.lit(0.0), lambda s, v: s + v)
+    mean = total / F.size(given)
+    spread = F.aggregate(given, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(given)
+    some = scored.filter(F.size(given) > 0).withColumn("disagreement", spread)
+    return some.orderBy(F.desc("disagreement"), "ord").limit(n)
+
+
 def select_model_change(
     predictions: DataFrame, n: int = BATCH_SIZE, features_norm: str | None = None
 ) -> DataFrame:
