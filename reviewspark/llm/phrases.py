@@ -11,8 +11,8 @@ What is active is a table of `SLOTS` bytes: the step from which the phrases of a
 first step is the later one of its two parts' slots, so each scan knows which phrases to count without a join. Slots that
 two phrases share only make a scan count more phrases than it must; counts stay exact, and the threshold is checked on them.
 The table is the only thing that is broadcast, and the numbers of newly filled slots the only thing that is gathered; its
-size does not depend on the input. Within one batch of texts phrases are told apart by 64-bit hashes, between batches by
-language and text.
+size does not depend on the input. Within one batch of texts, and for what is active, phrases are told apart by 64-bit
+hashes; the counts of the result are summed by language and text, for the phrases of filled slots only.
 
 Scores come from exact decimal arithmetic. The best phrases of a language are picked in rounds over slices of about
 `SLICE` candidates, so no task ranks a language.
@@ -24,6 +24,7 @@ empty table; a very long text is cut like any other, in one piece of memory; onl
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator, Sequence
 
@@ -41,7 +42,7 @@ from .words import hashes, mixed
 SHARDS = 4
 SLOTS = 1 << 23
 SLICE = 50_000
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 4 << 20
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _NEVER = 255  # a slot that no phrase has filled
 
@@ -89,7 +90,7 @@ class Words:
 
 
 def active_phrases(words: Words, since: np.ndarray, step: int, shards: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per length: (length, place of a first occurrence, slot, first step, count) of the phrases that count in this step."""
+    """Per length: (length, place of a first occurrence, hash, first step, count) of the phrases that count in this step."""
     slots = np.uint64(len(since) - 1)
     n = len(words.hash)
     h, first_step = words.hash, np.zeros(n, np.uint8)
@@ -108,12 +109,12 @@ def active_phrases(words: Words, since: np.ndarray, step: int, shards: int, long
         if len(on):
             _, at, counts = np.unique(h[on], return_index=True, return_counts=True)
             at = on[at]
-            yield length, at, (h[at] & slots).astype(np.int32), first_step[at], counts
+            yield length, at, h[at].view(np.int64), first_step[at], counts
 
 
 def _scan(shard: DataFrame, shared: Broadcast, step: int, shards: int, longest: int) -> DataFrame:
-    """(lang, phrase, length, slot, first_step, c) of one shard, per batch. ``shared``: the steps of all slots."""
-    names = ["lang", "phrase", "length", "slot", "first_step", "c"]
+    """(lang, phrase, length, hash, first_step, c) of one shard, per batch. ``shared``: the steps of all slots."""
+    names = ["lang", "phrase", "length", "hash", "first_step", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         since = shared.value
@@ -122,14 +123,14 @@ def _scan(shard: DataFrame, shared: Broadcast, step: int, shards: int, longest:
             for a, b in chunks(texts, BATCH_CHARS):
                 words = Words(texts[a:b], langs[a:b])
                 own = pa.array(langs[a:b], pa.string())
-                for length, at, slot, first, counts in active_phrases(words, since, step, shards, longest):
+                for length, at, hashed, first, counts in active_phrases(words, since, step, shards, longest):
                     columns = [
                         own.take(pa.array(words.text[at])), words.phrases(at, length), pa.array(np.full(len(at), length, np.int32)),
-                        pa.array(slot), pa.array(first.astype(np.int32)), pa.array(counts),
+                        pa.array(hashed), pa.array(first.astype(np.int32)), pa.array(counts),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, length int, slot int, first_step int, c bigint")
+    return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, length int, hash bigint, first_step int, c bigint")
 
 
 def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -142,30 +143,41 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
     numbered.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     corpus = spark.read.schema("lang string, text string, shard int").parquet(path)
     since = np.full(slots, _NEVER, np.uint8)
-    summed = [F.any_value(x).alias(x) for x in ("length", "slot", "first_step")] + [F.sum("c").alias("c")]  # three follow from the phrase
-    open_counts, done, totals, step, news = None, [], None, 0, 0
+    slot = F.col("hash").bitwiseAND(slots - 1).cast("int").alias("slot")
+    open_counts, tables, step, news = None, [], 0, 0
     while step < news + shards:  # a phrase that became active at step `news` is complete one cycle later
         shared = spark.sparkContext.broadcast(since)
-        counted = _scan(corpus.where(F.col("shard") == step % shards), shared, step, shards, longest)
-        merged = counted if open_counts is None else open_counts.unionByName(counted)
-        merged = saved(merged.groupBy("lang", "phrase").agg(*summed), "phrases-step")
+        scanned = saved(_scan(corpus.where(F.col("shard") == step % shards), shared, step, shards, longest), "phrases-step")
         shared.destroy()
-        if step == shards - 1:  # all words have been counted once
-            totals = merged.where("length = 1").groupBy("lang").agg(F.sum("c").alias("n"))
-        reached = merged.where((F.col("c") >= threshold) & (F.col("length") < longest)).select("slot").distinct().toArrow()
-        fresh = reached["slot"].to_numpy()
+        tables.append(scanned)
+        # which phrases have reached the threshold is told by hash, without their texts
+        merged = scanned.where(F.col("length") < longest).select("hash", "first_step", "c")
+        merged = merged if open_counts is None else open_counts.unionByName(merged)
+        merged = saved(merged.groupBy("hash").agg(F.any_value("first_step").alias("first_step"), F.sum("c").alias("c")), "phrases-open")
+        fresh = merged.where(F.col("c") >= threshold).select(slot).distinct().toArrow()["slot"].to_numpy()
         fresh = fresh[since[fresh] == _NEVER]
         step += 1
         if len(fresh):
             since[fresh] = step
             news = step
-        complete = F.col("first_step") + shards <= step
-        done.append(merged.where(complete & (F.col("c") >= threshold)).select("lang", "phrase", "length", F.col("c").alias("f")))
-        open_counts = merged.where(~complete)
-    phrases = done[0]
-    for more in done[1:]:
-        phrases = phrases.unionByName(more)
-    return saved(phrases, "phrases-frequent"), saved(totals, "phrases-totals")
+        open_counts = merged.where(F.col("first_step") + shards > step)
+
+    every = functools.reduce(DataFrame.unionByName, tables)
+    totals = every.where("length = 1").groupBy("lang").agg(F.sum("c").alias("n"))
+    # phrases of slots that no frequent phrase has filled are not frequent; the longest ones have no slot and are all summed
+    shared = spark.sparkContext.broadcast(np.packbits(since != _NEVER))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = shared.value
+        for batch in batches:
+            at = batch.column(3).to_numpy() & (slots - 1)
+            hit = (filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            yield batch.filter(pa.array(hit | (batch.column(2).to_numpy() == longest)))
+
+    kept = every.mapInArrow(likely, every.schema).groupBy("lang", "phrase").agg(F.any_value("length").alias("length"), F.sum("c").alias("f"))
+    kept = saved(kept.where(F.col("f") >= threshold), "phrases-frequent")
+    shared.destroy()
+    return kept, saved(totals, "phrases-totals")
 
 
 def _cut_scores(phrases: DataFrame, totals: DataFrame) -> DataFrame:
