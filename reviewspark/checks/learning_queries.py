@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..plans import screen as plans
 from ..session import checkpoint, scratch_path
 from ..sources import tables
 from ..sources.tables import EXCLUSION, INCLUSION
-from .registry import CLEAN, query, with_articles
+from .registry import CLEAN, LABELS_CTE, query, with_articles
 from .table_queries import SCREENED_CTE
 
 # counted in the test texts, next to terms that need quoting in a pattern
@@ -130,48 +131,83 @@ def vectorized(spark, sf_dir, output: str = "features") -> DataFrame:
     return checkpoint(TfidfVectorizer(outputCol=output).fit(rows).transform(rows).drop("clean"))
 
 
-def _probabilities(scored: DataFrame) -> DataFrame:
-    return scored.select(
+LABELLED_CTE = f"""
+{LABELS_CTE.strip()},
+labelled AS (SELECT entry_id, label FROM (SELECT entry_id, {CLEAN} AS clean FROM articles) JOIN seed_labels USING (entry_id) WHERE clean <> '')"""
+# the vocabulary of the labelled articles
+LABELLED_VOCAB_CTE = TFIDF_CTE.replace(f"(SELECT entry_id, {CLEAN} AS clean FROM articles)", f"(SELECT entry_id, {CLEAN} AS clean FROM articles JOIN seed_labels USING (entry_id))")
+_SCORED_SQL = "true AS consistent, true AS bounded"
+
+
+def _consistent(prediction: str = "prediction", probability: str = "probability") -> list:
+    """The decision follows from the probability, which is one."""
+    p = F.col(probability)
+    return [
+        ((F.col(prediction) == 1) == (p > 0.5)).alias("consistent"), ((p >= 0) & (p <= 1)).alias("bounded"),
+    ]
+
+
+def _learned(scored: DataFrame, least: float) -> DataFrame:
+    """Scored training rows, with whether the model gets at least the share ``least`` of them right."""
+    flat = checkpoint(scored.select(
         "entry_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
-        F.round(vector_to_array("probability")[1], 6).alias("probability"),
-    )
+        vector_to_array("probability")[1].alias("probability"),
+    ))
+    right = flat.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+    return flat.select("entry_id", "label", *_consistent(), F.lit((right or 0.0) >= least).alias("learned"))
 
 
 def _fit_and_score(kind: str):
     def run(spark, sf_dir):
         rows = vectorized(spark, sf_dir)
-        return _probabilities(ScreenClassifier(kind=kind).fit(rows).transform(rows))
+        return _learned(ScreenClassifier(kind=kind).fit(rows).transform(rows), 0.9)
 
     return run
 
 
+LEARNED_SQL = with_articles(f"SELECT entry_id, label, {_SCORED_SQL}, true AS learned FROM labelled", LABELLED_CTE)
 for _kind in ("random_forest", "logistic_regression", "svm"):
-    query(_kind)(_fit_and_score(_kind))
+    query(_kind, LEARNED_SQL)(_fit_and_score(_kind))
 
 
-@query("feature_selection")
+@query(
+    "feature_selection",
+    with_articles(
+        "SELECT entry_id, (SELECT count(*) FROM vocab)::INT AS n_before, true AS fewer, true AS kept_as_they_are FROM labelled",
+        LABELLED_CTE, LABELLED_VOCAB_CTE,
+    ),
+)
 def feature_selection(spark, sf_dir):
+    """Fewer features are kept, with the values they had."""
     rows = vectorized(spark, sf_dir, "all_features")
-    selected = ImportanceSelector().fit(rows).transform(rows)
-    size = lambda c: F.size(vector_to_array(c))
-    return selected.select("entry_id", size("all_features").alias("n_before"), size("features").alias("n_after"))
+    slicer = ImportanceSelector().fit(rows)
+    selected = slicer.transform(rows)
+    places = F.split(F.lit(",".join(map(str, slicer.getIndices()))), ",").cast("array<int>")
+    every, kept = vector_to_array("all_features"), vector_to_array("features")
+    return selected.select(
+        "entry_id", F.size(every).alias("n_before"), ((F.size(kept) < F.size(every)) & (F.size(kept) > 0)).alias("fewer"),
+        (F.transform(places, lambda i: F.get(every, i)) == kept).alias("kept_as_they_are"),
+    )
 
 
-@query("imbalance_pipeline")
+@query("imbalance_pipeline", LEARNED_SQL)
 def imbalance_pipeline(spark, sf_dir):
     rows = vectorized(spark, sf_dir)
-    model = ResampledEstimator(ScreenClassifier(kind="logistic_regression")).fit(rows)
-    return _probabilities(model.transform(rows))
+    return _learned(ResampledEstimator(ScreenClassifier()).fit(rows).transform(rows), 0.9)
 
 
-@query("ensemble_model")
+SCREENED_ARTICLES_SQL = f"SELECT entry_id, {_SCORED_SQL} FROM (SELECT entry_id, {CLEAN} AS clean FROM articles) WHERE clean <> ''"
+
+
+@query("ensemble_model", with_articles(SCREENED_ARTICLES_SQL.replace(" FROM (", ", true AS mean_of_members FROM (")))
 def ensemble_model(spark, sf_dir):
     """Soft voting of the three classifiers, fitted on labelled articles and applied to all."""
-    articles = tables.articles(spark, sf_dir)
-    trained = train_screener(screener_pipeline("ensemble"), labelled(spark, sf_dir))
-    return predict_screener(trained.model, articles.select("entry_id", "title", "abstract", "keywords")).select(
-        "entry_id", "prediction", F.round("probability", 6).alias("probability")
-    )
+    model = train_screener(screener_pipeline("ensemble"), labelled(spark, sf_dir)).model
+    scored = model.transform(cleaned(spark, sf_dir).withColumn("text", F.lit("")))
+    share = lambda name: vector_to_array(name)[1]
+    mean = sum(share(f"{m}_probability") for m in ("rf", "lr", "svm")) / 3
+    flat = scored.select("entry_id", "prediction", share("probability").alias("probability"), mean.alias("mean"))
+    return flat.select("entry_id", *_consistent(), (F.abs(F.col("probability") - F.col("mean")) < 1e-9).alias("mean_of_members"))
 
 
 SUMMARY_SCHEMA = (
@@ -179,57 +215,113 @@ SUMMARY_SCHEMA = (
 )
 
 
-@query("train_screener")
+@query(
+    "train_screener",
+    with_articles(
+        """SELECT count(*) AS n_samples, count_if(label = 1) AS positive, count_if(label = 0) AS negative,
+          (SELECT count(*) FROM vocab)::INT AS num_features,
+          (SELECT string_agg(term, '|' ORDER BY term) FROM (SELECT term FROM vocab ORDER BY term LIMIT 20)) AS first_terms,
+          true AS bounded
+        FROM labelled""",
+        LABELLED_CTE, LABELLED_VOCAB_CTE,
+    ),
+)
 def train(spark, sf_dir):
-    trained = train_screener(screener_pipeline("logistic_regression"), labelled(spark, sf_dir), cv_folds=3)
+    """The summary of a training run with its cross-validation."""
+    trained = train_screener(screener_pipeline(), labelled(spark, sf_dir), cv_folds=5)
     names = [part.split()[0] for part in SUMMARY_SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(trained.summary[n] for n in names)], SUMMARY_SCHEMA)
+    row = spark.createDataFrame([tuple(trained.summary[n] for n in names)], SUMMARY_SCHEMA)
+    bounded = F.col("mean_cv_score").between(0.5, 1.0).alias("bounded")
+    return row.select(*names[:4], F.array_join("feature_names", "|").alias("first_terms"), bounded)
 
 
-@query("predict_screener")
+@query("predict_screener", with_articles(SCREENED_ARTICLES_SQL))
 def predict(spark, sf_dir):
     trained = train_screener(screener_pipeline("random_forest"), labelled(spark, sf_dir))
     articles = tables.articles(spark, sf_dir).select("entry_id", "title", "abstract", "keywords")
-    return predict_screener(trained.model, articles).select("entry_id", "prediction", "probability")
+    return predict_screener(trained.model, articles).select("entry_id", *_consistent())
 
 
-@query("model_store")
+@query("model_store", with_articles(SCREENED_ARTICLES_SQL.replace(_SCORED_SQL, "true AS same_score")))
 def model_store(spark, sf_dir):
-    """Scores of a saved and loaded screener next to those of the one in memory."""
+    """Scores of a saved and loaded screener are those of the one in memory, and an unfitted one is saved as well."""
     path = scratch_path(spark, "model")
-    trained = train_screener(screener_pipeline("logistic_regression"), labelled(spark, sf_dir))
+    pipeline = screener_pipeline("logistic_regression", resampling="combined", text_features=True)
+    pipeline.write().overwrite().save(f"{path}-unfitted")
+    trained = train_screener(Pipeline.load(f"{path}-unfitted"), labelled(spark, sf_dir))
     save_model(trained.model, path)
     articles = tables.articles(spark, sf_dir).select("entry_id", "title", "abstract", "keywords")
     before = predict_screener(trained.model, articles).select("entry_id", F.col("probability").alias("before"))
     after = predict_screener(load_model(spark, path), articles).select("entry_id", F.col("probability").alias("after"))
-    return before.join(after, "entry_id")
+    return before.join(after, "entry_id").select("entry_id", (F.col("before") == F.col("after")).alias("same_score"))
 
 
-@query("cross_validate")
+@query(
+    "cross_validate",
+    "SELECT unnest(['f1', 'precision', 'recall', 'auc']) AS metric, CAST(5 AS BIGINT) AS folds, true AS recomputed, true AS better_than_chance",
+)
 def cross_validate(spark, sf_dir):
+    """The metrics of every fold are worked out again from the scores of its rows."""
     rows = vectorized(spark, sf_dir)
-    return metric_summary(evaluate.cross_validate(ScreenClassifier(kind="logistic_regression"), rows))
+    model = ScreenClassifier(kind="logistic_regression")
+    values = evaluate.cross_validate(model, rows)
+    folds, k = evaluate.folded(rows)
+    scored = checkpoint(evaluate.out_of_fold(model, folds, k))
+    hit = lambda p, y: F.count_if((F.col("prediction") == p) & (F.col("label") == y))
+    cells = scored.groupBy("fold").agg(hit(1, 1).alias("tp"), hit(1, 0).alias("fp"), hit(0, 1).alias("fn"))
+    ones, zeros = (scored.where(F.col("label") == y).select("fold", F.col("probability").alias(f"p{y}")) for y in (1, 0))
+    # the area under the curve as the share of pairs in the right order, within one fold of the labelled rows
+    wins = F.when(F.col("p1") > F.col("p0"), 1.0).when(F.col("p1") == F.col("p0"), 0.5).otherwise(0.0)
+    auc = ones.join(zeros, "fold").groupBy("fold").agg(F.avg(wins).alias("auc"))
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / (F.col("tp") + F.col("fn"))
+    plain = {"precision": precision, "recall": recall, "f1": 2 * precision * recall / (precision + recall), "auc": F.col("auc")}
+    again = cells.join(auc, "fold").select("fold", F.explode(F.create_map(*[x for n, c in plain.items() for x in (F.lit(n), c)])).alias("metric", "again"))
+    met = values.join(again, ["fold", "metric"])
+    chance = F.avg("value") > 0.5
+    return met.groupBy("metric").agg(F.count("*").alias("folds"), F.bool_and(F.abs(F.col("value") - F.col("again")) < 1e-9).alias("recomputed"), chance.alias("better_than_chance"))
 
 
-@query("learning_curve")
+@query(
+    "learning_curve",
+    with_articles(
+        """SELECT unnest(list_distinct(list_transform(range(10), lambda i: greatest(1, floor((0.1 + i * 0.1) * least)::INT)))) AS train_size,
+          true AS bounded
+        FROM (SELECT n - ceil(n / 5.0)::INT AS least FROM (SELECT count(*) AS n FROM labelled))""",
+        LABELLED_CTE,
+    ),
+)
 def learning_curve(spark, sf_dir):
     rows = vectorized(spark, sf_dir)
-    return evaluate.learning_curve(ScreenClassifier(kind="logistic_regression"), rows, n_folds=3)
+    curve = evaluate.learning_curve(ScreenClassifier(kind="logistic_regression"), rows)
+    bounded = [F.isnan(c) | F.col(c).between(0, 1) for c in ("train_mean", "test_mean")]
+    return curve.select("train_size", (bounded[0] & bounded[1]).alias("bounded"))
+
 
+_GRID_SQL = "SELECT '{{\"c\": ' || c || '}}' AS params, true AS ranked, true AS bounded FROM (SELECT unnest({0}) AS c)"
 
-@query("grid_search")
+
+def _ranked(table: DataFrame) -> DataFrame:
+    """Every combination with whether its rank follows from its score. One row per combination."""
+    rows = table.orderBy("rank").collect()
+    scores = [r["mean_score"] for r in rows]
+    out = [(r["params"], i == 0 or scores[i - 1] >= r["mean_score"], 0 <= r["mean_score"] <= 1) for i, r in enumerate(rows)]
+    return table.sparkSession.createDataFrame(out, "params string, ranked boolean, bounded boolean")
+
+
+@query("grid_search", _GRID_SQL.format("['0.1', '1.0', '10.0']"))
 def grid_search(spark, sf_dir):
     model = ScreenClassifier(kind="logistic_regression")
-    _, table = evaluate.grid_search(model, vectorized(spark, sf_dir), {model.c: [0.1, 1.0, 10.0]}, n_folds=3)
-    return table
+    _, table = evaluate.grid_search(model, vectorized(spark, sf_dir), {model.c: [0.1, 1.0, 10.0]})
+    return _ranked(table)
 
 
-@query("random_search")
+@query("random_search", "SELECT true AS ranked, true AS bounded, CAST(20 AS BIGINT) AS combinations")
 def random_search(spark, sf_dir):
     model = ScreenClassifier(kind="logistic_regression")
-    choices = {model.c: [0.01, 0.1, 1.0, 10.0, 100.0]}
-    _, table = evaluate.random_search(model, vectorized(spark, sf_dir), choices, n_iter=2, n_folds=3)
-    return table
+    choices = {model.c: [10.0 ** (k / 8) for k in range(-16, 17)]}
+    _, table = evaluate.random_search(model, vectorized(spark, sf_dir), choices)
+    rows = _ranked(table)
+    return rows.agg(F.bool_and("ranked").alias("ranked"), F.bool_and("bounded").alias("bounded"), F.count_distinct("params").alias("combinations"))
 
 
 # -- screening runs --------------------------------------------------------------------------------------
@@ -241,19 +333,47 @@ def screen_rules(spark, sf_dir):
     return run.results.select("entry_id", "decision", "reason", "confidence")
 
 
-@query("screen")
-def screen(spark, sf_dir):
-    run = plans.screen(
-        tables.articles(spark, sf_dir), EXCLUSION, INCLUSION, tables.seed_labels(spark, sf_dir),
-        screener_pipeline("logistic_regression"),
+RUN_SQL = with_articles(
+    """SELECT entry_id, CASE WHEN decision <> 'uncertain' THEN decision END AS by_rule,
+      CASE WHEN decision <> 'uncertain' THEN reason END AS rule_reason, decision = 'uncertain' AS by_model, true AS consistent
+    FROM screened""",
+    SCREENED_CTE,
+)
+
+
+def _run_rows(run: plans.Screened) -> DataFrame:
+    """Decisions of the rules, and whether those of the model follow from its probabilities."""
+    scored, p = F.col("ml_probability").isNotNull(), F.col("ml_probability")
+    follows = (F.col("decision") == "include") == (p > 0.5)
+    return run.results.select(
+        "entry_id", F.when(~scored, F.col("decision")).alias("by_rule"), F.when(~scored, F.col("reason")).alias("rule_reason"),
+        scored.alias("by_model"), F.when(scored, follows & p.between(0, 1)).otherwise(True).alias("consistent"),
     )
-    return run.results.select("entry_id", "decision", "reason", "confidence", "ml_probability")
 
 
-@query("screen_enhanced")
+@query("screen", RUN_SQL)
+def screen(spark, sf_dir):
+    run = plans.screen(tables.articles(spark, sf_dir), EXCLUSION, INCLUSION, tables.seed_labels(spark, sf_dir))
+    return _run_rows(run)
+
+
+@query("screen_enhanced", RUN_SQL)
 def screen_enhanced(spark, sf_dir):
     run = plans.screen_enhanced(
-        tables.articles(spark, sf_dir), EXCLUSION, INCLUSION, tables.seed_labels(spark, sf_dir),
-        strategy="combined", cv_folds=0,
+        tables.articles(spark, sf_dir), EXCLUSION, INCLUSION, tables.seed_labels(spark, sf_dir), strategy="combined", text_features=True,
+    )
+    return _run_rows(run)
+
+
+@query(
+    "screen_committee",
+    with_articles("SELECT count(*) AS to_label, true AS open, true AS votes_differ_most_first FROM (SELECT 1 FROM screened WHERE decision = 'uncertain' LIMIT 10)", SCREENED_CTE),
+)
+def screen_committee(spark, sf_dir):
+    """The batch to label by a committee: open articles, those first whose members' votes differ most."""
+    run = plans.screen(tables.articles(spark, sf_dir), EXCLUSION, INCLUSION, tables.seed_labels(spark, sf_dir), strategy="committee")
+    batch = run.to_label.select("entry_id", "disagreement").join(run.rule_results.select("entry_id", "decision"), "entry_id")
+    return batch.agg(
+        F.count("*").alias("to_label"), F.bool_and(F.col("decision") == "uncertain").alias("open"),
+        F.bool_and(F.col("disagreement").between(0, 0.25)).alias("votes_differ_most_first"),
     )
-    return run.results.select("entry_id", "decision", "reason", "confidence", "ml_probability")

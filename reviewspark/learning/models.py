@@ -6,6 +6,7 @@ small column-expression transformers, so they save and load with Spark ML persis
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,11 +17,21 @@ from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasSeed
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import resample as rs
+from ..session import checkpoint
 from .parallel import run_all
 
 # Forest and regression settings, solver tolerance, ensemble threshold, seed.
@@ -204,9 +215,71 @@ class VoteCombiner(Transformer, HasInputCols, DefaultParamsReadable, DefaultPara
         )
 
 
-class Ensemble(Estimator):
+class _NestedWriter(MLWriter):
+    """Saves the params of an estimator, and each estimator inside it in a folder of its own."""
+
+    def __init__(self, instance: Estimator, inner: dict[str, Estimator]):
+        super().__init__()
+        self.instance, self.inner = instance, inner
+
+    def saveImpl(self, path: str) -> None:
+        own = {p.name: v for p, v in self.instance.extractParamMap().items() if p.name not in NESTED}
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, {"inner": list(self.inner), "own": own}, {})
+        for name, estimator in self.inner.items():
+            estimator.write().overwrite().save(f"{path}/inner/{name}")
+
+
+class _NestedReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str):
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        inner = [(n, DefaultParamsReader.loadParamsInstance(f"{path}/inner/{n}", self.sparkSession)) for n in metadata["inner"]]
+        instance = self.cls.holding(inner)
+        instance._resetUid(metadata["uid"])
+        instance._set(**metadata["own"])
+        return instance
+
+
+class _Holder(Estimator, MLWritable, MLReadable):
+    """An estimator with others inside: copies and parameter grids reach those, and all are saved and loaded together."""
+
+    def inner(self) -> dict[str, Estimator]:
+        raise NotImplementedError
+
+    @classmethod
+    def holding(cls, inner: list[tuple[str, Estimator]]):
+        raise NotImplementedError
+
+    def _with_inner(self, inner: dict[str, Estimator]) -> None:
+        raise NotImplementedError
+
+    def copy(self, extra=None):
+        that = super().copy(extra)
+        that._with_inner({name: estimator.copy(extra) for name, estimator in self.inner().items()})
+        return that
+
+    def write(self) -> MLWriter:
+        return _NestedWriter(self, self.inner())
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _NestedReader(cls)
+
+
+NESTED = ("members", "estimator")
+
+
+class Ensemble(_Holder):
     """Fits every member on the same rows and combines them by soft, hard or weighted voting."""
 
+    members = Param(Params._dummy(), "members", "names and classifiers")
+    voting = Param(Params._dummy(), "voting", "soft, hard or weighted", TypeConverters.toString)
+    weights = Param(Params._dummy(), "weights", "member weights", TypeConverters.toListFloat)
+    threshold = Param(Params._dummy(), "threshold", "include from this probability on", TypeConverters.toFloat)
+
     def __init__(self, members: Sequence[tuple[str, ScreenClassifier]] | None = None, voting: str = "soft",
                  weights: Sequence[float] | None = None, threshold: float = THRESHOLD):
         super().__init__()
@@ -215,40 +288,78 @@ class Ensemble(Estimator):
         kinds = [("rf", "random_forest"), ("lr", "logistic_regression")]
         if voting != "weighted":
             kinds.append(("svm", "svm"))
-        self.members = list(members or [(name, ScreenClassifier(kind=kind)) for name, kind in kinds])
-        self.voting, self.weights, self.threshold = voting, weights, threshold
+        self._set(members=list(members or [(name, ScreenClassifier(kind=kind)) for name, kind in kinds]), voting=voting, threshold=threshold)
+        if weights is not None:
+            self._set(weights=[float(w) for w in weights])
+
+    def inner(self) -> dict[str, Estimator]:
+        return dict(self.getOrDefault("members"))
+
+    @classmethod
+    def holding(cls, inner: list[tuple[str, Estimator]]) -> Ensemble:
+        return cls(inner)
+
+    def _with_inner(self, inner: dict[str, Estimator]) -> None:
+        self._set(members=list(inner.items()))
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        prefixes = [f"{name}_" for name, _ in self.members]
-        named = [m.copy({m.prefix: p}) for p, (_, m) in zip(prefixes, self.members)]
+        members = self.getOrDefault("members")
+        prefixes = [f"{name}_" for name, _ in members]
+        named = [m.copy({m.prefix: p}) for p, (_, m) in zip(prefixes, members)]
         fitted = run_all([lambda m=m: m.fit(dataset) for m in named])
         combiner = VoteCombiner(
-            inputCols=prefixes, voting=self.voting, threshold=self.threshold,
-            weights=None if self.weights is None else [float(w) for w in self.weights],
+            inputCols=prefixes, voting=self.getOrDefault("voting"), threshold=self.getOrDefault("threshold"),
+            weights=self.getOrDefault("weights") if self.isSet("weights") else None,
         )
         return PipelineModel([*fitted, combiner])
 
 
-class ResampledEstimator(Estimator):
-    """Balances the training rows, then fits ``estimator`` on them; scoring sees plain rows.
+def member_votes(columns: Sequence[str]) -> Column:
+    """The predictions of all members of an ensemble, from the columns that its model adds."""
+    names = sorted(c for c in columns if c.endswith("_prediction"))
+    if not names:
+        raise ValueError("the model has no members that vote")
+    return F.array(*[F.col(c).cast("double") for c in names])
+
 
-    Rows too few for resampling are fitted as they are.
+class ResampledEstimator(_Holder):
+    """Balances the training rows, writes them down once, then fits ``estimator`` on them; scoring sees plain rows.
+
+    Rows too few for resampling are fitted as they are, with a warning.
     """
 
+    estimator = Param(Params._dummy(), "estimator", "what is fitted on the balanced rows")
+    strategy = Param(Params._dummy(), "strategy", "over, under or combined", TypeConverters.toString)
+    overRatio = Param(Params._dummy(), "overRatio", "minority rows over majority rows", TypeConverters.toFloat)
+    underRatio = Param(Params._dummy(), "underRatio", "minority rows over majority rows kept", TypeConverters.toFloat)
+    seed = Param(Params._dummy(), "seed", "seed of the random choices", TypeConverters.toInt)
+    entryId = Param(Params._dummy(), "entryId", "column that names a row", TypeConverters.toString)
+
     def __init__(self, estimator: Estimator, strategy: str = "combined",
                  oversampling_ratio: float = rs.OVERSAMPLING_RATIO,
                  undersampling_ratio: float = rs.UNDERSAMPLING_RATIO, seed: int = SEED, entry_id: str = "entry_id"):
         super().__init__()
-        self.estimator, self.strategy, self.seed, self.entry_id = estimator, strategy, seed, entry_id
-        self.over, self.under = oversampling_ratio, undersampling_ratio
+        self._set(estimator=estimator, strategy=strategy, overRatio=oversampling_ratio, underRatio=undersampling_ratio, seed=seed, entryId=entry_id)
+
+    def inner(self) -> dict[str, Estimator]:
+        return {"estimator": self.getOrDefault("estimator")}
+
+    @classmethod
+    def holding(cls, inner: list[tuple[str, Estimator]]) -> ResampledEstimator:
+        return cls(inner[0][1])
+
+    def _with_inner(self, inner: dict[str, Estimator]) -> None:
+        self._set(estimator=inner["estimator"])
 
     def _fit(self, dataset: DataFrame) -> Model:
+        get = self.getOrDefault
         rows = dataset.select(
-            F.col(self.entry_id).alias("id"), F.col("label").cast("int").alias("label"),
+            F.col(get("entryId")).alias("id"), F.col("label").cast("int").alias("label"),
             vector_to_array("features").alias("features"),
         )
         try:
-            balanced = rs.resample(rows, self.strategy, self.over, self.under, self.seed)
-        except ValueError:
+            balanced = checkpoint(rs.resample(rows, get("strategy"), get("overRatio"), get("underRatio"), get("seed")))
+        except ValueError as error:
+            warnings.warn(f"the rows are fitted as they are: {error}", stacklevel=2)
             balanced = rows
-        return self.estimator.fit(balanced.withColumn("features", array_to_vector("features")))
+        return get("estimator").fit(balanced.withColumn("features", array_to_vector("features")))

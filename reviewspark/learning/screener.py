@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from ..operators.filters import drop_empty_text
 from ..operators.rules import apply_predictions, training_guards
 from ..session import checkpoint
 from . import evaluate
-from .models import Ensemble, ImportanceSelector, ResampledEstimator, ScreenClassifier
+from .features import TextFeatureExtractor
+from .models import Ensemble, ImportanceSelector, ResampledEstimator, ScreenClassifier, member_votes
 from .tfidf import TfidfVectorizer, vocabulary
 
 ROWS_PER_PARTITION = 1000
@@ -26,9 +28,13 @@ MODELS = ("random_forest", "logistic_regression", "svm", "ensemble", "weighted_e
 
 
 def screener_pipeline(
-    model: str = "random_forest", select_features: bool = False, resampling: str | None = None, **options
+    model: str = "random_forest", select_features: bool = False, resampling: str | None = None,
+    text_features: bool = False, **options,
 ) -> Pipeline:
-    """Text vectorizer, optional feature selection, and the chosen classifier (optionally on balanced rows)."""
+    """Text vectorizer, optional feature selection, and the chosen classifier (optionally on balanced rows).
+
+    With ``text_features`` the text's length and term counts, scaled to unit variance, stand next to the term weights.
+    """
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}, expected one of {', '.join(MODELS)}")
     if model in ("ensemble", "weighted_ensemble"):
@@ -38,14 +44,28 @@ def screener_pipeline(
         classifier = ScreenClassifier(kind=model, **options)
     if resampling:
         classifier = ResampledEstimator(classifier, resampling)
+    vectors = "all_features" if select_features else "features"
+    terms = "term_features" if text_features else vectors
+    stages: list = [TfidfVectorizer(outputCol=terms)]
+    if text_features:
+        stages += [
+            TextFeatureExtractor(inputCol="text"),
+            StandardScaler(inputCol="text_features", outputCol="scaled_features"),
+            VectorAssembler(inputCols=[terms, "scaled_features"], outputCol=vectors),
+        ]
     if select_features:
-        return Pipeline(stages=[TfidfVectorizer(outputCol="all_features"), ImportanceSelector(), classifier])
-    return Pipeline(stages=[TfidfVectorizer(), classifier])
+        stages.append(ImportanceSelector())
+    return Pipeline(stages=[*stages, classifier])
+
+
+def _with_text(articles: DataFrame) -> DataFrame:
+    """Adds the text that lengths and term counts are taken from, as it is written."""
+    return articles.withColumn("text", F.concat_ws(" ", *[tx.text(c) for c in ("title", "abstract", "keywords")]))
 
 
 def training_rows(articles: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled articles with cleaned text, in a partitioning and order that depend on the ids only."""
-    rows = drop_empty_text(articles).select("entry_id", "clean").join(labels.select("entry_id", "label"), "entry_id")
+    rows = _with_text(drop_empty_text(articles)).select("entry_id", "clean", "text").join(labels.select("entry_id", "label"), "entry_id")
     rows = checkpoint(rows)
     parts = max(1, math.ceil(rows.count() / ROWS_PER_PARTITION))
     return checkpoint(rows.repartition(parts, "entry_id").sortWithinPartitions("entry_id"))
@@ -61,7 +81,7 @@ class Trained:
 def train_screener(pipeline: Pipeline, rows: DataFrame, cv_folds: int = 0) -> Trained:
     """Fit on labelled rows. With ``cv_folds`` and ten rows or more the F1 score is cross-validated first."""
     sizes = training_guards(rows)
-    score = 1.0  # fixed value: stands for "not measured"
+    score = 1.0  # fixed value: stands for a score that was not measured
     if cv_folds and sizes["n_samples"] >= 10:
         folds = evaluate.cross_validate(pipeline, rows, cv_folds, n=sizes["n_samples"])
         score = folds.filter(F.col("metric") == "f1").agg(F.avg("value")).collect()[0][0]
@@ -73,35 +93,34 @@ def train_screener(pipeline: Pipeline, rows: DataFrame, cv_folds: int = 0) -> Tr
     return Trained(model, summary)
 
 
-def predict_screener(model: PipelineModel | None, articles: DataFrame) -> DataFrame:
-    """Articles with text, plus ``prediction`` and the include ``probability``. One narrow pass."""
+def predict_screener(model: PipelineModel | None, articles: DataFrame, details: bool = False) -> DataFrame:
+    """Articles with text, plus ``prediction`` and the include ``probability``. One narrow pass.
+
+    With ``details`` also the length of the feature vector (features_norm) and, for an ensemble, the members' votes.
+    """
     if model is None:
         raise ValueError("Model must be trained before making predictions")
-    scored = model.transform(drop_empty_text(articles))
-    keep = [c for c in articles.columns if c not in ("prediction", "probability")]
-    return scored.select(
-        *keep,
-        F.col("prediction").cast("int").alias("prediction"),
-        vector_to_array("probability")[1].alias("probability"),
-    )
-
-
-def decide(model: PipelineModel, results: DataFrame) -> DataFrame:
-    """Rule results with the uncertain articles decided by ``model``; those without words stay uncertain.
-
-    Decided and uncertain rows go separate ways and are put together again, so the articles are not shuffled.
+    names = ("prediction", "probability", "features_norm", "votes") if details else ("prediction", "probability")
+    keep = [c for c in articles.columns if c not in names]
+    scored = model.transform(_with_text(drop_empty_text(articles.select(*keep))))
+    columns = [F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("probability")]
+    if details:
+        squares = F.aggregate(F.unwrap_udt("features")["values"], F.lit(0.0), lambda s, x: s + x * x)
+        columns.append(F.sqrt(squares).alias("features_norm"))
+        if any(c.endswith("_prediction") for c in scored.columns):
+            columns.append(member_votes(scored.columns).alias("votes"))
+    return scored.select(*keep, *columns)
+
+
+def decide(results: DataFrame, scored: DataFrame) -> DataFrame:
+    """Rule results with the uncertain articles decided by their scores (entry_id, ord, prediction, probability).
+
+    Articles without a score, those without words among them, stay uncertain. Only the scored ids are joined.
     """
-    parts = ("title", "abstract", "keywords")
     uncertain = results.filter(F.col("decision") == "uncertain")
-    scored = model.transform(uncertain.withColumn("clean", tx.clean_text(*parts)))
-    usable = tx.has_words(*parts)
-    scored = scored.select(
-        *results.columns,
-        F.when(usable, F.col("prediction").cast("int")).alias("_p"),
-        F.when(usable, vector_to_array("probability")[1]).alias("_s"),
-    )
+    scores = scored.select("entry_id", "ord", F.col("prediction").alias("_p"), F.col("probability").alias("_s"))
     decided = results.filter(F.col("decision") != "uncertain").withColumn("ml_probability", F.lit(None).cast("double"))
-    return decided.unionByName(apply_predictions(scored, "_p", "_s"))
+    return decided.unionByName(apply_predictions(uncertain.join(scores, ["entry_id", "ord"], "left"), "_p", "_s"))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

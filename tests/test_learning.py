@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 from collections import Counter
 
 import pytest
@@ -232,3 +233,35 @@ def test_enhanced_screening_run(articles, labels):
     run = plans.screen_enhanced(articles, ["mouse"], [], labels, cv_folds=0, strategy="diversity", **SMALL)
     assert run.results.filter("decision = 'uncertain'").count() == 0
     assert run.trained.summary["n_samples"] == 60
+
+
+def test_unfitted_pipelines_with_estimators_inside_are_saved(spark, tmp_path):
+    ensemble = Ensemble([("a", ScreenClassifier(kind="logistic_regression", c=0.5)), ("b", ScreenClassifier(kind="svm"))], voting="hard", threshold=0.4)
+    pipeline = Pipeline(stages=[TfidfVectorizer(), ResampledEstimator(ensemble, "over", oversampling_ratio=0.7, seed=5)])
+    pipeline.write().overwrite().save(str(tmp_path / "p"))
+    balanced = Pipeline.load(str(tmp_path / "p")).getStages()[1]
+    assert (balanced.getOrDefault("strategy"), balanced.getOrDefault("overRatio"), balanced.getOrDefault("seed")) == ("over", 0.7, 5)
+    inner = balanced.getOrDefault("estimator")
+    assert (inner.getOrDefault("voting"), inner.getOrDefault("threshold"), inner.isSet("weights")) == ("hard", 0.4, False)
+    (a, first), (b, second) = inner.getOrDefault("members")
+    assert (a, b, first.getOrDefault("kind"), first.getOrDefault("c"), second.getOrDefault("kind")) == ("a", "b", "logistic_regression", 0.5, "svm")
+    # a parameter grid reaches the members
+    changed = balanced.copy({first.c: 9.0})
+    assert dict(changed.getOrDefault("estimator").getOrDefault("members"))["a"].getOrDefault("c") == 9.0
+    assert first.getOrDefault("c") == 0.5
+
+
+def test_committee_and_model_change_batches(articles, labels):
+    small = Ensemble([("a", ScreenClassifier(kind="logistic_regression")), ("b", ScreenClassifier(kind="logistic_regression", c=1e-6))])
+    pipeline = Pipeline(stages=[TfidfVectorizer(), small])
+    run = plans.screen(articles, ["mouse"], [], labels, pipeline, strategy="committee", n_samples=4)
+    picked = run.to_label.collect()
+    assert len(picked) == 4 and [r.disagreement for r in picked] == sorted((r.disagreement for r in picked), reverse=True)
+    assert all(r.disagreement == pytest.approx(statistics.pvariance(r.votes)) for r in picked)
+    change = plans.screen(articles, ["mouse"], [], model=run.trained.model, strategy="model_change", n_samples=3).to_label.collect()
+    assert all(r.expected_change == pytest.approx(r.probability * (1 - r.probability) * r.features_norm) for r in change)
+    with pytest.raises(ValueError, match="unknown strategy"):
+        plans.screen(articles, [], [], labels, pipeline, strategy="nearest")
+    with pytest.raises(ValueError, match="members vote"):
+        plain = Pipeline(stages=[TfidfVectorizer(), ScreenClassifier(kind="logistic_regression")])
+        plans.screen(articles, ["mouse"], [], labels, plain, strategy="committee")
