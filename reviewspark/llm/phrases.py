@@ -162,22 +162,15 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
             news = step
         open_counts = merged.where(F.col("first_step") + shards > step)
 
-    every = functools.reduce(DataFrame.unionByName, tables)
-    totals = every.where("length = 1").groupBy("lang").agg(F.sum("c").alias("n"))
+    # single words are counted in the first cycle only
+    totals = functools.reduce(DataFrame.unionByName, tables[:shards]).where("length = 1").groupBy("lang").agg(F.sum("c").alias("n"))
     # phrases of slots that no frequent phrase has filled are not frequent; the longest ones have no slot and are all summed
-    shared = spark.sparkContext.broadcast(np.packbits(since != _NEVER))
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = shared.value
-        for batch in batches:
-            at = batch.column(3).to_numpy() & (slots - 1)
-            hit = (filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            yield batch.filter(pa.array(hit | (batch.column(2).to_numpy() == longest)))
-
-    kept = every.mapInArrow(likely, every.schema).groupBy("lang", "phrase").agg(F.any_value("length").alias("length"), F.sum("c").alias("f"))
-    kept = saved(kept.where(F.col("f") >= threshold), "phrases-frequent")
-    shared.destroy()
-    return kept, saved(totals, "phrases-totals")
+    filled = np.append(np.flatnonzero(since != _NEVER), -1).astype(np.int32)  # a slot each, whatever the input
+    filled = spark.createDataFrame(pa.table({"slot": filled}))
+    every = functools.reduce(DataFrame.unionByName, tables)
+    every = every.withColumn("slot", F.when(F.col("length") == longest, F.lit(-1)).otherwise(F.col("hash").bitwiseAND(slots - 1).cast("int")))
+    kept = every.join(F.broadcast(filled), "slot", "left_semi").groupBy("lang", "phrase").agg(F.any_value("length").alias("length"), F.sum("c").alias("f"))
+    return saved(kept.where(F.col("f") >= threshold), "phrases-frequent"), saved(totals, "phrases-totals")
 
 
 def _cut_scores(phrases: DataFrame, totals: DataFrame) -> DataFrame:
