@@ -91,6 +91,31 @@ def test_tfidf_weights(spark):
         TfidfVectorizer().fit(docs.filter("entry_id = '3'"))
 
 
+def test_pairs_of_rare_words_are_not_counted_but_none_is_lost(spark):
+    """Only pairs of words as frequent as the last one kept are counted, and the vocabulary is that of counting all."""
+    from reviewspark.learning import tfidf
+
+    rnd = random.Random(9)
+    texts = [(" ".join(rnd.choices(["aa", "bb", "cc"], k=6) + [f"rare{rnd.randrange(40)}" for _ in range(4)]),) for _ in range(60)]
+    docs = spark.createDataFrame([*texts, ("",), (None,)], "clean string").repartition(3)
+    for most in (3, 7, 5000):
+        tf, df = Counter(), Counter()
+        for (text,) in texts:
+            words = text.split()
+            terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+            tf.update(terms)
+            df.update(set(terms))
+        kept = sorted((t for t in tf if 2 <= df[t] <= 0.9 * 62), key=lambda t: (-tf[t], t))[:most]
+        got = [(r.term, r.df, r.tf) for r in tfidf_vocab(docs, max_features=most, max_df=0.9).collect()]
+        assert got == [(t, df[t], tf[t]) for t in kept]
+    words = spark.createDataFrame([(["x", "y", "x", "y", "z"],), (["z", "x", "y"],)], "words array<string>").coalesce(1)
+    import pyarrow as pa
+
+    of = pa.array(["x", "y"])
+    only = words.mapInArrow(lambda batches: tfidf._pairs(batches, of), "term string, d long, f long")
+    assert sorted(tuple(r) for r in only.collect()) == [("x y", 2, 3), ("y x", 1, 1)]
+
+
 def test_text_features(spark, tmp_path):
     rows = [("a", "A Trial", "of treatment; trials", "Cohort, review", "2001"), ("b", None, "", "x", "in press")]
     df = spark.createDataFrame(rows, "entry_id string, title string, abstract string, keywords string, year string")
