@@ -371,3 +371,33 @@ def test_sparse_neighbours_equal_brute_force(spark, monkeypatch):
             assert mine == [d for d, _ in order[:4]]
             if order[3][0] != order[4][0] and len({d for d, _ in order[:4]}) == 4 or i in range(20, 25):
                 assert [found[name, s] for s in range(1, 5)] == [e for _, e in order[:4]]
+
+
+def test_blocks_are_compared_by_the_columns_that_both_use():
+    """All distances of two blocks come from one comparison, at once both ways, and are those worked out pair by pair."""
+    import numpy as np
+    import pandas as pd
+
+    from reviewspark.operators import resample as rs
+
+    rnd = np.random.default_rng(8)
+    dense = np.where(rnd.random((40, 60)) < 0.15, rnd.integers(1, 4, (40, 60)), 0).astype(float)
+    dense[:, 3] = 1.0  # a column that all rows use
+    dense[7] = 0.0
+    dense[9] = dense[30] = dense[12]
+    rows = pd.DataFrame({
+        "id": [f"r{i:02}" for i in range(40)], "columns": [np.flatnonzero(v) for v in dense], "values": [v[v != 0] for v in dense],
+    })
+    a, b = rs._Sparse(rows.iloc[:25]), rs._Sparse(rows.iloc[20:])
+    distance = ((dense[:25, None] - dense[None, 20:]) ** 2).sum(axis=2)
+    rough = rs._squares(a, b)
+    assert np.isinf(rough[[20, 21, 22, 23, 24], range(5)]).all()
+    assert np.allclose(np.where(np.isinf(rough), distance, rough), distance)
+    ids = rows["id"].tolist()
+    for first, second, far, met in ((range(25), range(20, 40), distance, rs._best_of_block(a, b, 3, rough)),
+                                    (range(20, 40), range(25), distance.T, rs._best_of_block(b, a, 3, rough.T))):
+        want = []
+        for x, i in enumerate(first):
+            others = sorted((far[x, y], ids[j]) for y, j in enumerate(second) if i != j)[:3]
+            want += [(ids[i], name, d) for d, name in others]
+        assert met == want
