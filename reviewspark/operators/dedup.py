@@ -23,10 +23,10 @@ def exact_passes(articles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of both exact passes, their survivors, and the titled articles neither pass looked at.
 
     The passes never compete for an article (the second takes articles without a DOI only), so one key column
-    and one shuffle serve both.
+    and one shuffle serve both. The articles are read once; what is compared is written down.
     """
     base = exact.comparison_columns(articles)
-    keyed = base.withColumn("key", F.coalesce(exact.doi_key(), exact.title_key()))
+    keyed = checkpoint(base.withColumn("key", F.coalesce(exact.doi_key(), exact.title_key())))
     groups = checkpoint(exact.first_of_groups(keyed))
     pairs = exact.group_pairs(keyed, groups)
     kept = groups.select("first.*", F.when(F.col("key").startswith("doi:"), 1).otherwise(2).alias("pass"))
@@ -54,6 +54,8 @@ def deduplicate(articles: DataFrame) -> Deduplicated:
 def duplicate_report(articles: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both sides of every pair with source, title, authors and year."""
     articles = exact.last_value_wins(articles.select("entry_id", "ord", "source", "title", "author", "year"))
+    named = pairs.select(F.explode(F.array("primary_id", "dup_id")).alias("entry_id")).distinct()
+    articles = checkpoint(articles.join(named, "entry_id", "left_semi"))
     sizes = pairs.groupBy("primary_id").agg(F.count(F.lit(1)).alias("n"))
     hot = skew.crowded(sizes, "primary_id", "n", exact.ROWS_PER_TASK)
 

@@ -10,8 +10,11 @@ article that later ones are compared with. The jobs below give the result of tha
 * Candidates come from an equi-join on prefix words (Chaudhuri et al. 2006, Xiao et al. 2008): sets with Jaccard
   above t share a word among the first |x| - ceil(t|x|) + 1 of any common word order. Rare words come first. Each
   branch of the rule has its own title threshold and, where authors matter, the hash slot of an author's prefix word
-  in the key. Index rows are narrow: a hashed key, the signature's number, the sizes and the word's position. Sizes
-  and positions drop most pairs in the join; each pair that is left is fetched with its words and verified once.
+  in the key. Index rows are narrow: a hashed key, the signature's number, the sizes, the word's position and 64 bits
+  per word set. Sizes, positions and bits drop most pairs in the join; each pair that is left is fetched with its words
+  and verified once.
+* A word flips one of its set's 64 bits (Sandes et al. 2020), so two sets differ in at least as many words as in bits.
+  That bounds the words they share from above, and no pair that matches is dropped.
 * Pairs of a key that holds many rows on both sides are cut into a grid of tasks.
 * Fates: an open signature that is a sure match of the first one of a key of its own only waits, so the members of a
   group of near copies meet its first one, not each other. The others are compared with what is before them and are
@@ -49,6 +52,7 @@ ROWS_PER_TASK = 200_000
 PAIRS_PER_TASK = 400_000_000
 SIDE_PER_TASK = 20_000
 SIGNATURE = ["title_words", "author_words"]
+BITS = ("t_bits", "a_bits")
 
 
 def with_words(df: DataFrame) -> DataFrame:
@@ -145,14 +149,24 @@ def _index_rows(tag: str, titles: Column, authors: Column | None) -> Column:
     return F.flatten(F.transform(titles, lambda t, at: F.transform(slots, lambda slot: row(t, at, slot))))
 
 
-def index_rows(signatures: DataFrame, frequencies: Column) -> DataFrame:
-    """The candidate index: num, ord, sizes t and a, and one row per key. At most `AUTHOR_SLOTS` rows per title word.
+def _bits(words: str) -> Column:
+    """64 bits of a word set: each word flips the bit of its hash."""
+    flip = lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")))
+    return F.aggregate(words, F.lit(0).cast("bigint"), flip)
+
+
+def with_bits(signatures: DataFrame) -> DataFrame:
+    return signatures.withColumns({"t_bits": _bits("title_words"), "a_bits": _bits("author_words")})
+
+
+def index_rows(signatures: DataFrame, frequencies: Column, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The candidate index: num, ord, sizes t and a, ``carried`` columns, and one row per key. At most `AUTHOR_SLOTS` rows per title word.
 
     ``no_year`` marks targets without a year; null marks both roles at once.
     """
     titles, authors = _rare_first("title_words", frequencies), _rare_first("author_words", frequencies)
     sizes = [F.size("title_words").alias("t"), F.size("author_words").alias("a")]
-    ordered = signatures.select("num", "ord", "no_year", *sizes, titles.alias("_t"), authors.alias("_a"))
+    ordered = signatures.select("num", "ord", "no_year", *carried, *sizes, titles.alias("_t"), authors.alias("_a"))
     high, medium = _prefix(F.col("_t"), 8), _prefix(F.col("_t"), 5)
     loose, strict = _prefix(F.col("_a"), 5), _prefix(F.col("_a"), 7)
     same_year = F.concat(_index_rows("year", high, None), _index_rows("both", medium, strict))
@@ -162,15 +176,22 @@ def index_rows(signatures: DataFrame, frequencies: Column) -> DataFrame:
         .when(F.col("no_year"), same_year)
         .otherwise(other_year)
     )
-    return ordered.select("num", "ord", "t", "a", F.inline(keys))
+    return ordered.select("num", "ord", "t", "a", *carried, F.inline(keys))
 
 
 def _as_target(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(f"r_{c}") for c in df.columns])
 
 
+def _bits_allow(size: str, tenths: Column) -> Column:
+    """Whether the bits of two sets leave room for a Jaccard similarity above ``tenths`` / 10."""
+    both = F.col(size) + F.col(f"r_{size}")
+    twice_shared = both - F.bit_count(F.col(f"{size}_bits").bitwiseXOR(F.col(f"r_{size}_bits")))
+    return twice_shared * (tenths + 10) > both * tenths * 2
+
+
 def _could_match() -> Column:
-    """Whether two rows of a key can belong to a pair that passes the key's branch, by sizes and position.
+    """Whether two rows of a key can belong to a pair that passes the key's branch, by sizes, position and bits.
 
     Words at the positions ``at`` are the first shared ones in the row of a pair that counts; so no more words than are
     left from there can be shared.
@@ -178,7 +199,7 @@ def _could_match() -> Column:
 
     def shares_enough(size: str, tenths: str) -> Column:
         enough = F.least(size, f"r_{size}") * 10 > F.greatest(size, f"r_{size}") * F.col(tenths)
-        return (F.col(tenths) == 0) | enough
+        return (F.col(tenths) == 0) | (enough & _bits_allow(size, F.col(tenths)))
 
     left = F.least(F.col("t") - F.col("at"), F.col("r_t") - F.col("r_at"))
     title = left * (F.col("title_tenths") + 10) > (F.col("t") + F.col("r_t")) * F.col("title_tenths")
@@ -306,7 +327,8 @@ def match_signatures(leftovers: DataFrame, kept: DataFrame, every_target: bool =
     targets = _numbered(targets)
     frequencies = word_frequencies(sources, targets)
     both_roles = sources.withColumn("no_year", F.lit(None).cast("boolean"))
-    return Matcher(sources, targets, checkpoint(index_rows(both_roles, frequencies)), checkpoint(index_rows(targets, frequencies)))
+    index = [checkpoint(index_rows(with_bits(df), frequencies, BITS)) for df in (both_roles, targets)]
+    return Matcher(sources, targets, *index)
 
 
 def _members(articles: DataFrame, signatures: DataFrame, by: list[str], member: str, sid: str) -> DataFrame:
@@ -349,9 +371,10 @@ def _kept_of_open(open_rows: DataFrame, index: DataFrame, sources: DataFrame, ho
         return verified(pairs, sources, alone, SURE).select("num", "r_num", "ord")
 
     # members of a group meet the first one of a key only
-    firsts = index.groupBy("key").agg(F.min(F.struct("ord", "num")).alias("first"))
-    stars = index.join(firsts, "key").where(F.col("first.ord") < F.col("ord")).select("num", F.col("first.num").alias("r_num"))
-    stars = checkpoint(sure(stars.distinct()))
+    firsts = index.groupBy("key").agg(F.min(F.struct("ord", "num", "t", "t_bits")).alias("first"))
+    firsts = firsts.select("key", *[F.col(f"first.{c}").alias(f"r_{c}") for c in ("ord", "num", "t", "t_bits")])
+    stars = index.join(firsts, "key").where(earlier & _bits_allow("t", F.lit(5)))  # no branch takes titles below that
+    stars = checkpoint(sure(stars.select("num", "r_num").distinct()))
     waiting = stars.select("num").distinct()
     free = index.join(waiting, "num", "left_anti")
     matched = checkpoint(sure(candidates(free, index, hot, earlier)).select("num").distinct())

@@ -313,3 +313,56 @@ def test_dedup_with_hot_keys_on_both_sides(spark, monkeypatch):
     got, n = pairs_of(spark, rows)
     expected = twin(rows)
     assert got == expected and n == len(expected)
+
+
+def test_bits_drop_pairs_of_a_key_that_differ_in_too_many_words(spark):
+    """One rare word and the authors in common, the other words all different: compared with no one."""
+    common = [f"common{k}" for k in range(8)]
+    rows = [dict(title=" ".join(common), doi=f"10/c{k}") for k in range(9)]
+    rows += [dict(title=" ".join(["rare", *(f"x{k}v{j}" for j in range(7))]), author="A, B", doi=f"10/{k}") for k in range(20)]
+    rows += [dict(title=" ".join(["rare", *(f"y{k}v{j}" for j in range(7))]), author="A, B") for k in range(20)]
+    rows += [dict(title=" ".join(["rare", *(f"x{k}v{j}" for j in range(6)), "other"]), author="A, B") for k in range(20)]
+    _, kept, leftovers = dedup.exact_passes(make(spark, rows))
+    match = similar.match_signatures(similar.with_words(leftovers), similar.with_words(kept), every_target=True)
+    assert similar.candidates(match.source_index, match.target_index, None).count() <= 25
+    assert match.target_matches().count() == 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bits_never_drop_a_match(spark, seed):
+    """Titles of many words, so that words share bits."""
+    draw = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    bases = [draw.sample(words, draw.randint(30, 120)) for _ in range(8)]
+    rows = []
+    for k in range(60):
+        base = draw.choice(bases)
+        title = draw.sample(base, draw.randint(len(base) // 2, len(base))) + draw.sample(words, draw.randint(0, 12))
+        rows.append(dict(title=" ".join(title), author=draw.choice(["A, B", "A, B and C, D and E, F"]), year=draw.choice(["", "", "2001"]), doi=draw.choice(["", "", f"10/{k}"])))
+    got, n = pairs_of(spark, rows)
+    expected = twin(rows)
+    assert got == expected and n == len(expected) > 0
+
+
+def test_the_passes_read_the_articles_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(title):
+        seen.add(1)
+        return title
+
+    articles = make(spark, BRANCHES).withColumn("title", F.udf(look, "string")("title"))
+    pairs, kept, leftovers = dedup.exact_passes(articles)
+    assert pairs.count() and kept.count() and leftovers.count()
+    assert seen.value == len(BRANCHES)
+
+
+def test_unique_articles_moves_no_abstracts(spark, tmp_path):
+    from reviewspark.checks import dedup_queries
+
+    docs = [(k, "s", "en", f"a{k} b{k} c{k} d{k}.\nBody {k}", 30) for k in range(12)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dedup_queries.unique_articles(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "abstract" not in plan and "journal" not in plan
+    assert got.count() == 12
