@@ -136,7 +136,9 @@ def deduplicate(spark, sf_dir):
 )
 def unique_articles(spark, sf_dir):
     articles = tables.articles(spark, sf_dir)
-    return dedup.unique_articles(articles, dedup.duplicate_pairs(articles)).select("entry_id", "title", "year")
+    pairs = dedup.duplicate_pairs(articles)
+    return dedup.unique_articles(articles.select("entry_id", "ord", "title", "year"), pairs)\
+        .select("entry_id", "title", "year")
 
 
 @query(
