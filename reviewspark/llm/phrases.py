@@ -11,8 +11,11 @@ What is active is a table of `SLOTS` bytes: the step from which the phrases of a
 first step is the later one of its two parts' slots, so each scan knows which phrases to count without a join. Slots that
 two phrases share only make a scan count more phrases than it must; counts stay exact, and the threshold is checked on them.
 The table is the only thing that is broadcast, and the numbers of newly filled slots the only thing that is gathered; its
-size does not depend on the input. Within one batch of texts, and for what is active, phrases are told apart by 64-bit
-hashes; the counts of the result are summed by language and text, for the phrases of filled slots only.
+size does not depend on the input.
+
+Counts travel without texts: per phrase a 64-bit hash with `CHECK_BITS` further bits of another one, by which phrases are
+told apart (within one batch of texts by the 64 bits alone), and one document that holds it. The texts of the phrases that
+reach the threshold are read from those documents at the end, so there is one row per frequent phrase and none per batch.
 
 Scores come from exact decimal arithmetic. The best phrases of a language are picked in rounds over slices of about
 `SLICE` candidates, so no task ranks a language.
@@ -43,7 +46,9 @@ SHARDS = 4
 SLOTS = 1 << 23
 SLICE = 50_000
 BATCH_CHARS = 4 << 20
+CHECK_BITS = 15
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+_CHECK_STEP = np.uint64(0x9E3779B185EBCA87)
 _NEVER = 255  # a slot that no phrase has filled
 
 
@@ -89,48 +94,84 @@ class Words:
         return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
 
 
-def active_phrases(words: Words, since: np.ndarray, step: int, shards: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per length: (length, place of a first occurrence, hash, first step, count) of the phrases that count in this step."""
-    slots = np.uint64(len(since) - 1)
+def runs(words: Words, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per length: (length, hash, check, whether it lies within a piece) of the runs that start at each word."""
     n = len(words.hash)
-    h, first_step = words.hash, np.zeros(n, np.uint8)
-    inside = np.ones(n, bool)
+    other = mixed(words.hash + (words.ends - words.starts).astype(np.uint64)) if n else words.hash
+    h, check, inside = words.hash, other, np.ones(n, bool)
     for length in range(1, longest + 1):
         if length > 1:
             n -= 1
             if n <= 0:
                 return
-            reached = since[(h & slots).astype(np.int64)]  # of the phrases one word shorter
-            reached[~inside] = _NEVER
-            first_step = np.maximum(reached[:-1], reached[1:])
-            inside = inside[:-1] & (words.piece[: n] == words.piece[length - 1 :])
+            inside = inside[:-1] & (words.piece[:n] == words.piece[length - 1 :])
             h = mixed(h[:-1] * _STEP + words.hash[length - 1 :])
+            check = check[:-1] * _CHECK_STEP + other[length - 1 :]
+        yield length, h, (check >> np.uint64(64 - CHECK_BITS)).astype(np.int32), inside
+
+
+def active_phrases(words: Words, since: np.ndarray, step: int, shards: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per length: (place of a first occurrence, hash, tag, count) of the phrases that count in this step."""
+    slots = np.uint64(len(since) - 1)
+    reached = None
+    for length, h, check, inside in runs(words, longest):
+        first_step = np.zeros(len(h), np.uint8) if reached is None else np.maximum(reached[:-1], reached[1:])
         on = np.flatnonzero(inside & (first_step != _NEVER) & (first_step <= step) & (step < first_step.astype(np.int64) + shards))
         if len(on):
             _, at, counts = np.unique(h[on], return_index=True, return_counts=True)
             at = on[at]
-            yield length, at, h[at].view(np.int64), first_step[at], counts
+            tag = (check[at] << 16) | (first_step[at].astype(np.int32) * (longest + 1) + length)
+            yield at, h[at].view(np.int64), tag, counts
+        reached = since[(h & slots).astype(np.int64)]  # of the phrases of this length
+        reached[~inside] = _NEVER
 
 
 def _scan(shard: DataFrame, shared: Broadcast, step: int, shards: int, longest: int) -> DataFrame:
-    """(lang, phrase, length, hash, first_step, c) of one shard, per batch. ``shared``: the steps of all slots."""
-    names = ["lang", "phrase", "length", "hash", "first_step", "c"]
+    """(hash, tag, doc, c) of one shard, per batch. ``shared``: the steps of all slots. A tag holds check bits, first step, length."""
+    names = ["hash", "tag", "doc", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         since = shared.value
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            langs, texts, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for a, b in chunks(texts, BATCH_CHARS):
                 words = Words(texts[a:b], langs[a:b])
-                own = pa.array(langs[a:b], pa.string())
-                for length, at, hashed, first, counts in active_phrases(words, since, step, shards, longest):
-                    columns = [
-                        own.take(pa.array(words.text[at])), words.phrases(at, length), pa.array(np.full(len(at), length, np.int32)),
-                        pa.array(hashed), pa.array(first.astype(np.int32)), pa.array(counts),
-                    ]
+                for at, hashed, tag, counts in active_phrases(words, since, step, shards, longest):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashed, tag, docs[a:b][words.text[at]], counts)], names)
+
+    return shard.select("lang", "text", "doc").mapInArrow(run, "hash bigint, tag int, doc bigint, c bigint")
+
+
+def _named(corpus: DataFrame, found: DataFrame, longest: int) -> DataFrame:
+    """(lang, phrase, length, f) of ``found`` (hash, tag, doc, c), the texts read from the documents ``doc``."""
+    found = found.groupBy("doc").agg(F.collect_list(F.struct("hash", "tag", "c")).alias("found"))
+    met = corpus.join(found, "doc").select("lang", "text", *[F.col(f"found.{c}").alias(c) for c in ("hash", "tag", "c")])
+    names = ["lang", "phrase", "length", "f"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in chunks(texts, BATCH_CHARS):
+                hashed, tags, counts = (batch.column(k).slice(a, b - a).flatten().to_numpy() for k in (2, 3, 4))
+                order = np.lexsort((tags, hashed))
+                hashed, tags, counts = hashed[order], tags[order], counts[order]
+                words, own = Words(texts[a:b], langs[a:b]), pa.array(langs[a:b], pa.string())
+                for length, h, check, inside in runs(words, longest):
+                    mine = np.flatnonzero((tags & 0xFFFF) % (longest + 1) == length)
+                    if not len(mine):
+                        continue
+                    # each phrase that is looked for, at the first place where hash and check agree
+                    on = np.flatnonzero(inside)
+                    on = on[np.isin(h[on].view(np.int64), hashed[mine])]
+                    have = np.rec.fromarrays([h[on].view(np.int64), check[on]], names="h,c")
+                    look = np.rec.fromarrays([hashed[mine], tags[mine] >> 16], names="h,c")
+                    keys, at = np.unique(have, return_index=True)
+                    _, place, which = np.intersect1d(keys, look, assume_unique=True, return_indices=True)
+                    at, which = on[at[place]], mine[which]
+                    columns = [own.take(pa.array(words.text[at])), words.phrases(at, length), pa.array(np.full(len(at), length, np.int32)), pa.array(counts[which])]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, length int, hash bigint, first_step int, c bigint")
+    return met.mapInArrow(run, "lang string, phrase string, length int, f bigint")
 
 
 def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -139,38 +180,34 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
         raise ValueError("steps are kept in a byte: fewer shards or shorter phrases")
     spark = docs.sparkSession
     path = scratch_path(spark, "phrases-shards")
-    numbered = docs.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
+    numbered = docs.withColumn("doc", F.monotonically_increasing_id())
+    numbered = numbered.withColumn("shard", F.pmod("doc", F.lit(shards)).cast("int"))
     numbered.write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    corpus = spark.read.schema("lang string, text string, shard int").parquet(path)
+    corpus = spark.read.schema("lang string, text string, doc bigint, shard int").parquet(path)
     since = np.full(slots, _NEVER, np.uint8)
     slot = F.col("hash").bitwiseAND(slots - 1).cast("int").alias("slot")
-    open_counts, tables, step, news = None, [], 0, 0
+    kind = F.col("tag").bitwiseAND(0xFFFF)
+    length, first_step = kind % (longest + 1), F.floor(kind / (longest + 1))
+    open_counts, found, step, news = None, [], 0, 0
     while step < news + shards:  # a phrase that became active at step `news` is complete one cycle later
         shared = spark.sparkContext.broadcast(since)
-        scanned = saved(_scan(corpus.where(F.col("shard") == step % shards), shared, step, shards, longest), "phrases-step")
-        shared.destroy()
-        tables.append(scanned)
-        # which phrases have reached the threshold is told by hash, without their texts
-        merged = scanned.where(F.col("length") < longest).select("hash", "first_step", "c")
+        merged = _scan(corpus.where(F.col("shard") == step % shards), shared, step, shards, longest)
         merged = merged if open_counts is None else open_counts.unionByName(merged)
-        merged = saved(merged.groupBy("hash").agg(F.any_value("first_step").alias("first_step"), F.sum("c").alias("c")), "phrases-open")
-        fresh = merged.where(F.col("c") >= threshold).select(slot).distinct().toArrow()["slot"].to_numpy()
+        merged = saved(merged.groupBy("hash", "tag").agg(F.min("doc").alias("doc"), F.sum("c").alias("c")), "phrases-open")
+        shared.destroy()
+        frequent = merged.where(F.col("c") >= threshold)
+        fresh = frequent.where(length < longest).select(slot).distinct().toArrow()["slot"].to_numpy()
         fresh = fresh[since[fresh] == _NEVER]
         step += 1
         if len(fresh):
             since[fresh] = step
             news = step
-        open_counts = merged.where(F.col("first_step") + shards > step)
-
-    # single words are counted in the first cycle only
-    totals = functools.reduce(DataFrame.unionByName, tables[:shards]).where("length = 1").groupBy("lang").agg(F.sum("c").alias("n"))
-    # phrases of slots that no frequent phrase has filled are not frequent; the longest ones have no slot and are all summed
-    filled = np.append(np.flatnonzero(since != _NEVER), -1).astype(np.int32)  # a slot each, whatever the input
-    filled = spark.createDataFrame(pa.table({"slot": filled}))
-    every = functools.reduce(DataFrame.unionByName, tables)
-    every = every.withColumn("slot", F.when(F.col("length") == longest, F.lit(-1)).otherwise(F.col("hash").bitwiseAND(slots - 1).cast("int")))
-    kept = every.join(F.broadcast(filled), "slot", "left_semi").groupBy("lang", "phrase").agg(F.any_value("length").alias("length"), F.sum("c").alias("f"))
-    return saved(kept.where(F.col("f") >= threshold), "phrases-frequent"), saved(totals, "phrases-totals")
+        found.append(frequent.where(first_step + shards == step))
+        open_counts = merged.where(first_step + shards > step)
+
+    named = _named(corpus, functools.reduce(DataFrame.unionByName, found), longest)
+    totals = corpus.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(r"[^.,;:!?\x0A-\x0D\x20\x09]+"))).cast("bigint").alias("n"))
+    return saved(named, "phrases-frequent"), saved(totals, "phrases-totals")
 
 
 def _cut_scores(phrases: DataFrame, totals: DataFrame) -> DataFrame:

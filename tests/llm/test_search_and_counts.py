@@ -259,3 +259,24 @@ def test_one_id_with_many_vectors_is_one_candidate(spark):
     vectors = [(1, draw.standard_normal(8).tolist())] + [(2, draw.standard_normal(8).tolist()) for _ in range(40)] + [(k, draw.standard_normal(8).tolist()) for k in range(3, 9)]
     got = found_neighbours(spark, vectors, F.col("id") == 1, k=5, first_share=1.0)
     assert same(got[1], plain_neighbours(vectors, lambda i: i == 1, 5)[1])
+
+
+def test_counts_travel_without_texts(spark, monkeypatch):
+    """Tables between the scans hold a row per phrase, and texts are written for frequent phrases only."""
+    written, plain = {}, phrases.saved
+
+    def looked_at(df, label):
+        got = plain(df, label)
+        written.setdefault(label, []).append(got)
+        return got
+
+    monkeypatch.setattr(phrases, "saved", looked_at)
+    rows = [("en", f"one two three four w{k} x{k} y{k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(8)
+    found, totals = phrases.frequent_phrases(docs, threshold=30, longest=3, shards=2)
+    assert totals.collect()[0].n == 40 * 7
+    assert {(r.phrase, r.f) for r in found.collect()} == {(p, 40) for p in ("one", "two", "three", "four", "one two", "two three", "three four", "one two three", "two three four")}
+    with_text = [label for label, dfs in written.items() if any("phrase" in df.columns for df in dfs)]
+    assert with_text == ["phrases-frequent"]
+    for df in written["phrases-open"]:
+        assert df.count() == df.select("hash", "tag").distinct().count()
