@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reviewspark.llm import induced, suffix_dedup
@@ -73,3 +75,39 @@ def test_kept_text_carries_columns(spark):
     table = spark.createDataFrame([(1, "héllo wörld, héllo", "s"), (2, "wörld, héllo!", "t")], "doc_id long, text string, source string")
     rows = suffix_dedup.remove_repeats(table, 12, keep_text=True).orderBy("doc_id").collect()
     assert [(r.source, r.kept_text) for r in rows] == [("s", "héllo "), ("t", "!")]
+
+
+def test_a_shard_takes_few_bytes_per_byte():
+    draw = np.random.default_rng(2)
+    words = [bytes(draw.integers(99, 124, int(k)).astype(np.uint8)) for k in draw.integers(2, 9, 5000)]
+    raw = b"\x22".join(words[i] for i in draw.zipf(1.2, 200_000) % len(words))
+    raw = (raw + raw[:200_000] + raw)[:1_500_000]
+    text = np.append(np.frombuffer(raw, np.uint8).astype(np.uint16) + 2, [1, 0]).astype(np.uint16)
+    ends = np.array([0]), np.array([0]), np.array([len(raw) - 399])
+    suffix_dedup._repeated_starts(text[-5000:], ends[0], ends[1], np.array([4000]), 400)
+    tracemalloc.start()
+    (starts, stops), *_ = suffix_dedup._repeated_starts(text, *ends, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert starts and stops
+    assert peak < 30 * len(raw)
+
+
+def test_no_shard_is_larger_than_its_bound(spark):
+    random.seed(3)
+    sizes = [(a, random.choice([90, 2000, 5100, 9999, 10_000])) for a in (random.getrandbits(62) - 2**61 for _ in range(400))]
+    rows = suffix_dedup._dealt(spark.createDataFrame(sizes, "anchor long, size long"), 10_000).collect()
+    held = collections.Counter()
+    for r in rows:
+        held[r.slice, r.shard] += r.size
+    assert sorted((r.anchor, r.size) for r in rows) == sorted(sizes)
+    assert max(held.values()) <= 10_000
+    assert len(held) <= 3 * sum(size for _, size in sizes) // 10_000
+    assert suffix_dedup._dealt(spark.createDataFrame([], "anchor long, size long"), 10_000).count() == 0
+
+
+def test_a_segment_that_comes_many_times_is_sorted_once():
+    raw = "abcdefghij0123456789abcdefghij".encode()
+    row = pa.RecordBatch.from_pylist([{"anchor": 5, "whole": 6, "low": 0, "high": 21, "bytes": raw}])
+    found = [r for b in suffix_dedup._shard_runs(10)(iter([row] * 50)) for r in b.to_pylist()]
+    assert found == [{"anchor": 5, "whole": 6, "starts": [0, 20], "stops": [1, 21]}]
