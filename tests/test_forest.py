@@ -76,3 +76,57 @@ def test_forest_keeps_its_settings_and_saves(spark, points, tmp_path):
     assert shown(again) == shown(model)
     right = model.transform(points).agg(F.avg((F.col("label") == F.col("rf_prediction")).cast("double"))).first()[0]
     assert right > 0.8
+
+
+def test_large_nodes_are_split_by_their_columns_alike(points, monkeypatch):
+    """Inside a task, nodes above `DENSE_ROWS` rows read the columns they try; the trees are those of dense blocks."""
+    chunk = forest.Chunk.joined([c for _, c in forest._chunks(forest.binned(points, "features", forest.bin_edges(points, "features", 30)).toArrow().to_batches())])
+    shape = forest.Shape(4, 9, 2, 5, (1.0, 2.0), forest.bin_edges(points, "features", 30))
+    top, times = forest.Top.of(shape), forest._draws(shape, 0, len(chunk.labels))
+    at = [np.flatnonzero(times[:, t]) for t in range(4)]
+    rows, roots = np.concatenate(at), np.repeat(np.arange(4), [len(a) for a in at])
+    given = shape, chunk.take(rows), times[rows, roots], roots, top.salt, top.depth
+    dense = forest.grown(*given)
+    monkeypatch.setattr(forest, "DENSE_ROWS", 20)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 50)
+
+    def walked(tree, at=0):
+        inner = tree["feature"][at] >= 0
+        below = [walked(tree, tree["left"][at] + i) for i in (0, 1)] if inner else []
+        return tuple(tree[c][at] for c in ("depth", "feature", "bin", "zeros", "ones")), below
+
+    columns = forest.grown(*given)
+    assert [walked(t) for t in columns] == [walked(t) for t in dense] and all(len(t["left"]) > 9 for t in dense)
+
+
+def test_model_is_a_table_with_one_packed_row_per_tree(spark, points):
+    """No node becomes an object of the driver; scores are the mean share of class 1 in the leaves."""
+    model = _fit(points, minInstancesPerNode=2)(10_000)
+    table = model._table("trees").orderBy("tree").collect()
+    assert not hasattr(model, "_java_obj") and [r["tree"] for r in table] == list(range(8))
+    assert [t.numNodes for t in model.trees] == [r["size"] for r in table]
+    edges = forest.bin_edges(points, "features", 30)
+    kinds = [("feature", np.int32), ("bin", np.uint8), ("left", np.int32), ("zeros", np.int64), ("ones", np.int64)]
+    trees = [[forest._read(bytes(r[name]), kind) for name, kind in kinds] for r in table]
+    for row in model.transform(points).collect():
+        shares = []
+        for feature, cut, left, zeros, ones in trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] + (row["features"][int(feature[at])] > edges[feature[at], cut[at]])
+            shares.append(2.0 * ones[at] / (zeros[at] + 2.0 * ones[at]))
+        assert row["probability"][1] == pytest.approx(np.mean(shares)) and row["rawPrediction"][1] == pytest.approx(sum(shares))
+        assert row["prediction"] == (row["probability"][1] > 0.5)
+
+
+def test_bin_edges_are_quantiles_of_each_feature(spark):
+    rnd = np.random.default_rng(1)
+    values = [rnd.normal(size=3000).round(3), np.where(rnd.random(3000) < 0.1, rnd.random(3000), 0.0), np.zeros(3000)]
+    rows = spark.createDataFrame([(0, Vectors.dense(*x)) for x in zip(*values)], ["label", "features"]).repartition(2)
+    edges = forest.bin_edges(rows, "features", 3)
+    assert np.isinf(edges[2]).all()
+    for own, x in zip(edges, values[:2]):
+        x, own = np.sort(x[x != 0]), own[np.isfinite(own)]
+        assert (np.diff(own) > 0).all() and len(own) >= 28 and x[x > 0].min() / 2 in own and own.max() < x.max()
+        ranks = np.searchsorted(x, own, side="right") / len(x)
+        assert all(np.abs(ranks - k / 29).min() < 2 / forest.ACCURACY + 0.002 for k in range(1, 29))
