@@ -401,3 +401,26 @@ def test_blocks_are_compared_by_the_columns_that_both_use():
             others = sorted((far[x, y], ids[j]) for y, j in enumerate(second) if i != j)[:3]
             want += [(ids[i], name, d) for d, name in others]
         assert met == want
+
+
+def test_vectors_are_resampled_as_sparse_as_arrays(spark, monkeypatch):
+    """Vectors give the rows that arrays give, without a value for every place; groups of blocks change no neighbour."""
+    import numpy as np
+    from pyspark.ml.linalg import DenseVector, SparseVector, Vectors
+
+    draw = np.random.default_rng(4)
+    points = draw.random((160, 50)) * (draw.random((160, 50)) < 0.1)
+    points[5] = 0.0
+    names = [(f"p{i:03d}", int(i >= 40)) for i in range(160)]
+    arrays = spark.createDataFrame([(*n, v.tolist()) for n, v in zip(names, points)], "id string, label int, features array<double>")
+    kinds = [Vectors.sparse(50, {j: v[j] for j in np.flatnonzero(v)}) if i % 3 else DenseVector(v) for i, v in enumerate(points)]
+    vectors = spark.createDataFrame([(*n, v) for n, v in zip(names, kinds)], ["id", "label", "features"])
+    want = {r.id: r.features for r in resample.resample(arrays).collect()}
+    for block, group in ((2048, 16384), (9, 20)):
+        monkeypatch.setattr(resample, "BLOCK_ROWS", block)
+        monkeypatch.setattr(resample, "GROUP_ROWS", group)
+        made = resample.resample(vectors).collect()
+        assert {r.id for r in made} == want.keys() and len(made) == len(want)
+        assert all(np.array_equal(r.features.toArray(), want[r.id]) for r in made)
+        new = [r.features for r in made if r.id.startswith("synthetic_")]
+        assert new and all(isinstance(v, SparseVector) and (v.values != 0).all() for v in new)
