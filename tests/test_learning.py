@@ -290,3 +290,25 @@ def test_committee_and_model_change_batches(articles, labels):
     with pytest.raises(ValueError, match="members vote"):
         plain = Pipeline(stages=[TfidfVectorizer(), ScreenClassifier(kind="logistic_regression")])
         plans.screen(articles, ["mouse"], [], labels, plain, strategy="committee")
+
+
+def test_term_weights_work_through_batches_of_texts(spark, tmp_path):
+    """One model counts words and pairs of any script, of blank and missing texts too, and is saved with its weights."""
+    from reviewspark.learning.tfidf import TermWeights
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choices(["über", "été", "x", "the", "naïve", "中文", "red", "dog"], k=9)) for _ in range(40)] + ["", None]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "entry_id string, clean string").repartition(3)
+    model = TfidfVectorizer(minDF=1, maxDF=1.0).fit(docs)
+    assert isinstance(model, TermWeights)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    terms, idf = vocabulary(model), dict(zip(vocabulary(model), model.getOrDefault("idf")))
+    for m in (model, TermWeights.load(str(tmp_path / "m"))):
+        got = {r.entry_id: r.features for r in m.transform(docs).collect()}
+        for i, text in enumerate(texts):
+            words = [w for w in (text or "").split() if len(w) > 1 and w != "the"]
+            want = Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+            norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in want.items())) or 1.0
+            found = dict(zip([terms[j] for j in got[str(i)].indices], got[str(i)].values))
+            assert got[str(i)].size == len(terms) and found.keys() == want.keys()
+            assert all(abs(found[t] - n * idf[t] / norm) < 1e-12 for t, n in want.items())
