@@ -312,3 +312,14 @@ def test_term_weights_work_through_batches_of_texts(spark, tmp_path):
             found = dict(zip([terms[j] for j in got[str(i)].indices], got[str(i)].values))
             assert got[str(i)].size == len(terms) and found.keys() == want.keys()
             assert all(abs(found[t] - n * idf[t] / norm) < 1e-12 for t, n in want.items())
+
+
+def test_stages_that_learn_nothing_run_once_for_all_folds(rows, monkeypatch):
+    """Term counts do not depend on the fold: they are worked out before the fits, and the model still has them."""
+    seen = []
+    plain = TextFeatureExtractor._transform
+    monkeypatch.setattr(TextFeatureExtractor, "_transform", lambda self, df: seen.append(1) or plain(self, df))
+    trained = screener.train_screener(screener.screener_pipeline("logistic_regression", text_features=True), rows, cv_folds=3)
+    assert len(seen) == 1 and isinstance(trained.model.stages[0], TextFeatureExtractor)
+    assert 0.5 < trained.summary["mean_cv_score"] <= 1 and trained.summary["num_features"] > 0
+    check_scores(trained.model.transform(rows), 60)
