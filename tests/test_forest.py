@@ -97,9 +97,8 @@ def test_large_nodes_are_split_by_their_columns_alike(points, monkeypatch):
 
     columns = forest.grown(*given)
     assert [walked(t) for t in columns] == [walked(t) for t in dense] and all(len(t["left"]) > 9 for t in dense)
-    every = forest._columns(shape, chunk, np.arange(len(chunk.labels)))
-    for t in range(4):  # the columns of all rows, those that the tree does not draw among them
-        own = forest.grown(shape, chunk, times[:, t], np.zeros(len(times), np.int64), top.salt[[t]], top.depth[[t]], every)
+    for t in range(4):  # rows that the tree does not draw stay out
+        own = forest.grown(shape, chunk, times[:, t], np.zeros(len(times), np.int64), top.salt[[t]], top.depth[[t]])
         assert walked(own[0]) == walked(dense[t])
 
 
