@@ -323,3 +323,11 @@ def test_stages_that_learn_nothing_run_once_for_all_folds(rows, monkeypatch):
     assert len(seen) == 1 and isinstance(trained.model.stages[0], TextFeatureExtractor)
     assert 0.5 < trained.summary["mean_cv_score"] <= 1 and trained.summary["num_features"] > 0
     check_scores(trained.model.transform(rows), 60)
+
+
+def test_selected_features_are_compared_with_arrays_made_once(spark, sf_dir):
+    from reviewspark.checks import learning_queries as lq
+
+    plan = lq.feature_selection(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    compared = next(line for line in plan.splitlines() if "kept_as_they_are" in line)
+    assert "transform(" in compared and "UDF" not in compared
